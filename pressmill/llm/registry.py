@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .language import op6_language_id
+from .licenses import op4_license_scan
 
 QUERIES = {
+    "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
 }
 
