@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .language import op6_language_id
 from .licenses import op4_license_scan
+from .quality import op2_quality_rules
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
 }
