@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .chat import op1_chat_windows
 from .language import op6_language_id
 from .licenses import op4_license_scan
 from .quality import op2_quality_rules
+from .secret_scan import op5_secret_scan
 
 QUERIES = {
+    "op1_chat_windows": op1_chat_windows,
+    "op5_secret_scan": op5_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
