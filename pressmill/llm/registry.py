@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op7_additive_quantisation
 from .chat import op1_chat_windows
 from .language import op6_language_id
 from .licenses import op4_license_scan
@@ -9,6 +10,7 @@ from .quality import op2_quality_rules
 from .secret_scan import op5_secret_scan
 
 QUERIES = {
+    "op7_additive_quantisation": op7_additive_quantisation,
     "op1_chat_windows": op1_chat_windows,
     "op5_secret_scan": op5_secret_scan,
     "op2_quality_rules": op2_quality_rules,
