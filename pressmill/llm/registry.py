@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op7_additive_quantisation
 from .chat import op1_chat_windows
+from .decontaminate import op8_decontamination
 from .html_text import op3_wrapper_induction
 from .language import op6_language_id
 from .licenses import op4_license_scan
@@ -11,6 +12,7 @@ from .quality import op2_quality_rules
 from .secret_scan import op5_secret_scan
 
 QUERIES = {
+    "op8_decontamination": op8_decontamination,
     "op3_wrapper_induction": op3_wrapper_induction,
     "op7_additive_quantisation": op7_additive_quantisation,
     "op1_chat_windows": op1_chat_windows,
