@@ -1,6 +1,6 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts are sequences of words. Windows of about an item's length are embedded by random walks (CGK): a walk reads a word
+Texts are sequences of words in lower case. Windows of about an item's length are embedded by random walks (CGK): a walk reads a word
 at each step and moves on by a random bit of word and step, so that a small edit distance becomes a small Hamming
 distance of what two walks read. Each repetition samples SAMPLED steps of a walk; a window and an item that agree in all
 sampled words of a repetition are a candidate pair. Pairs are verified by the exact edit distance between the item and
@@ -213,6 +213,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> D
     """doc_id, item id, first_word, n_words (of the item) and edits, for each document and item that it holds."""
     spark = docs.sparkSession
     n_repetitions = repetitions()
+    docs, benchmark = (x.withColumn("text", F.lower("text")) for x in (docs, benchmark))
     rung = F.udf(ladder, "int", useArrow=False)
     items = stored(_word_rows(benchmark, key).where(F.col("n_item_words") >= MIN_WORDS).withColumn("rung", rung("n_item_words")))
     measured = items.groupBy("rung").agg(F.max("n_item_words").alias("longest"), F.count("*").alias("n"), F.sum("n_item_words").alias("words")).collect()
