@@ -6,12 +6,14 @@ from .ann import op7_additive_quantisation
 from .chat import op1_chat_windows
 from .decontaminate import op8_decontamination
 from .html_text import op3_wrapper_induction
+from .jaccard import op9_ngram_jaccard
 from .language import op6_language_id
 from .licenses import op4_license_scan
 from .quality import op2_quality_rules
 from .secret_scan import op5_secret_scan
 
 QUERIES = {
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op8_decontamination": op8_decontamination,
     "op3_wrapper_induction": op3_wrapper_induction,
     "op7_additive_quantisation": op7_additive_quantisation,
