@@ -9,10 +9,12 @@ from .html_text import op3_wrapper_induction
 from .jaccard import op9_ngram_jaccard
 from .language import op6_language_id
 from .licenses import op4_license_scan
+from . import mixture
 from .quality import op2_quality_rules
 from .secret_scan import op5_secret_scan
 
 QUERIES = {
+    "op10_mixture": mixture.op10_mixture,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op8_decontamination": op8_decontamination,
     "op3_wrapper_induction": op3_wrapper_induction,
@@ -24,4 +26,6 @@ QUERIES = {
     "op6_language_id": op6_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_mixture": mixture.ORACLE_SQL,
+}
