@@ -6,12 +6,12 @@ distance of what two walks read. Each repetition samples SAMPLED steps of a walk
 sampled words of a repetition are a candidate pair. Pairs are verified by the exact edit distance between the item and
 any stretch of the window's surroundings.
 
-A window is embedded only if it holds as many of the benchmark's word pairs as the q-gram lemma asks of any text within
-the edit bound (a bit map of fixed largest size answers for a pair, with false alarms but no misses), so this loses no
-match. The number of repetitions follows from the target recall and the share of steps on which walks agree at the edit
+A window is embedded only if it holds as many word pairs of items of its own length as the q-gram lemma asks of any text
+within the edit bound, so this loses no match. A table of fixed largest size answers for a pair of words in which lengths
+of items it occurs, with false alarms but no misses. The number of repetitions follows from the target recall and the share of steps on which walks agree at the edit
 bound.
 
-Bounds: the bit map has at most 2**MAX_BITS bits; items are broadcast only if they are measured to be at most
+Bounds: the table has at most 2**MAX_BITS entries of 64 bits; items are broadcast only if they are measured to be at most
 BROADCAST_ITEMS, and are else joined by shuffle.
 
 Defined results: items with fewer than MIN_WORDS words, or null, are not searched; null and empty documents match
@@ -41,7 +41,7 @@ SAMPLED = 2
 TARGET_RECALL = 0.99
 #: Share of steps on which the walks of a text and of an edited copy agree, measured at edits near the bound.
 AGREEMENT = 0.45
-MAX_BITS = 27
+MAX_BITS = 22
 BROADCAST_ITEMS = 20_000
 
 
@@ -117,26 +117,31 @@ def _word_rows(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, item_words binary, n_item_words long")
 
 
-def _bit_map(items: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each slot that a pair of neighbouring words of an item falls in."""
+def _bit(rung: int) -> np.uint64:
+    """The bit of a window length; lengths far apart may share one, which only lets more windows through."""
+    return np.uint64(1) << np.uint64(round(math.log(rung / MIN_WORDS, LADDER)) % 64)
+
+
+def _pair_table(items: DataFrame, bits: int) -> np.ndarray:
+    """For each slot that a pair of neighbouring words falls in, the bits of the lengths of items that hold the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros((1 << bits) // 8, np.uint8)
+        own = np.zeros(1 << bits, np.uint64)
         for batch in batches:
-            for x in batch.column("item_words"):
+            for x, rung in zip(batch.column("item_words"), batch.column("rung").to_pylist(), strict=True):
                 slots = words.grams(np.frombuffer(x.as_py(), np.uint64), 2) >> np.uint64(64 - bits)
-                np.bitwise_or.at(own, (slots >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (slots & np.uint64(7)).astype(np.uint8)))
+                np.bitwise_or.at(own, slots.astype(np.int64), _bit(rung))
         yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["bits"])
 
-    whole = np.zeros((1 << bits) // 8, np.uint8)
-    for row in items.select("item_words").mapInArrow(run, "bits binary").toLocalIterator():
-        whole |= np.frombuffer(row["bits"], np.uint8)
+    whole = np.zeros(1 << bits, np.uint64)
+    for row in items.select("item_words", "rung").mapInArrow(run, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(row["bits"], np.uint64)
     return whole
 
 
-def _windows(docs: DataFrame, rungs: dict[int, int], bit_map: np.ndarray, bits: int, n_repetitions: int) -> DataFrame:
+def _windows(docs: DataFrame, rungs: dict[int, int], pair_table: np.ndarray, bits: int, n_repetitions: int) -> DataFrame:
     """doc_id, place, rung, around (words about a window, as bytes) and its signatures. rungs: the longest item of each."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map)
+    shared = docs.sparkSession.sparkContext.broadcast(pair_table)
     least = {c: c - 1 - 2 * int(max_edits(longest)) for c, longest in rungs.items()}
 
     def of_chunk(found: words.Words) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
@@ -144,23 +149,26 @@ def _windows(docs: DataFrame, rungs: dict[int, int], bit_map: np.ndarray, bits:
         if n < 2:
             return
         slots = words.grams(found.hashes, 2) >> np.uint64(64 - bits)
-        known = np.zeros(n, np.int64)
-        known[:-1] = (shared.value[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1
+        of_lengths = np.zeros(n, np.uint64)
+        of_lengths[:-1] = shared.value[slots.astype(np.int64)]
         doc_end = np.repeat(found.first[1:], np.diff(found.first))
         last = found.first[1:] - 1
-        known[last[last >= 0]] = 0
-        sums = np.concatenate([[0], np.cumsum(known)])
+        of_lengths[last[last >= 0]] = 0
+        sums = np.concatenate([[0], np.cumsum(of_lengths != 0)])
         every = np.arange(n)
         longest = max(rungs)
         some = np.flatnonzero(sums[np.minimum(every + longest - 1, doc_end - 1)] - sums[every] >= max(1, min(least.values())))
+        if not len(some):
+            return
         for c, at_least in least.items():
+            sums[1:] = np.cumsum((of_lengths & _bit(c)) != 0)
             held = sums[np.minimum(some + c - 1, doc_end[some] - 1)] - sums[some]
             starts = some[held >= max(1, at_least)]
             if not len(starts):
                 continue
             held = held[held >= max(1, at_least)]
             # Of near starts the one that holds most; near means far less than a window's length.
-            stride = max(1, c // 20)
+            stride = max(1, c // 10)
             group = np.flatnonzero(np.concatenate([[True], (starts[1:] // stride != starts[:-1] // stride) | (doc_end[starts[1:]] != doc_end[starts[:-1]])]))
             best = np.maximum.reduceat(held, group)
             size = np.diff(np.concatenate([group, [len(starts)]]))
@@ -223,7 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> D
         return spark.createDataFrame([], schema)
     bits = min(MAX_BITS, max(16, math.ceil(math.log2(64 * sum(r["words"] for r in measured)))))
     rungs = {r["rung"]: r["longest"] for r in sorted(measured, key=lambda r: r["rung"])}
-    windows = _windows(docs, rungs, _bit_map(items, bits), bits, n_repetitions)
+    windows = _windows(docs, rungs, _pair_table(items, bits), bits, n_repetitions)
     asked = _item_signatures(items, n_repetitions, key).select(key, "item_words", "n_item_words", "rung", F.posexplode("item_signatures").alias("repetition", "signature"))
     if sum(r["n"] for r in measured) <= BROADCAST_ITEMS:
         asked = F.broadcast(asked)
