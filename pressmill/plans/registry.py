@@ -1,12 +1,393 @@
-"""The queries over the shared tables, and SQL that gives the same rows."""
+"""The queries over the shared tables, and SQL that gives the same rows.
+
+The shared tables stand in for feeds, articles and links; every query runs over its whole table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from ..functions import text as X
+from ..functions import url as U
+from ..operators import articles as A
+from ..operators import merge as M
+from ..operators import reads as R
+from ..sources import feeds as feed_source
+from ..sources import rss
+from .ingest import ORDER, counters
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Time of the runs that the queries stand for.
+NOW = "2024-01-01 00:00:00"
+
+
+def now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+# SQL for the canonical form of the URLs in pages: http and https, no ports, no user, no ;parameters.
+CANONICAL = r"""
+  (WITH u AS (SELECT *, regexp_extract(url, '^([A-Za-z]+)://', 1) AS scheme, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host,
+      regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages),
+  k AS (SELECT *, list_sort(list_filter(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''),
+      lambda x: {'k': url_decode(replace(regexp_extract(x, '^([^=]*)', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))}),
+      lambda p: lower(p.k) NOT IN ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','mc_cid','mc_eid'))) AS pairs FROM u)
+  SELECT page_id, url, html, lower(scheme) || '://' || lower(host) || CASE WHEN path IN ('', '/') THEN '/' ELSE rtrim(path, '/') END
+    || CASE WHEN len(pairs) > 0 THEN '?' || array_to_string(list_transform(pairs, lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&') ELSE '' END AS canonical
+  FROM k)"""
+SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
+COLLAPSED = f"nullif(trim(regexp_replace(text, '{SPACES}', ' ', 'g')), '')"
+
+
+def keyed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last page of each article key, in page order; html stays out of the exchange."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", U.canonical_url(F.col("url")).alias("url"))
+    return M.last_per_key(pages.withColumn("article_key", X.sha256_hex(F.col("url"))), ["article_key"], F.col("page_id"))
+
+
+@query(f"SELECT sha256(canonical) AS article_key, max(page_id) AS page_id, any_value(canonical) AS url FROM {CANONICAL} GROUP BY canonical")
+def articles_from_pages(spark, sf_dir):
+    return keyed_pages(spark, sf_dir).select("article_key", "page_id", "url")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return articles_from_pages(spark, sf_dir)
+
+
+@query(f"SELECT page_id, canonical AS canonical_url FROM {CANONICAL}")
+def url_canonical(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical_url"))
+
+
+@query(f"SELECT page_id, sha256(canonical) AS article_key FROM {CANONICAL}")
+def article_key(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", X.sha256_hex(U.canonical_url(F.col("url"))).alias("article_key"))
+
+
+@query(f"SELECT doc_id, {COLLAPSED} AS text FROM documents")
+def text_normalize(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", X.collapse_space(F.col("text")).alias("text"))
+
+
+@query(f"SELECT content_hash, count(*) AS n_docs, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256({COLLAPSED}) AS content_hash FROM documents) GROUP BY content_hash")
+def content_hash(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", X.sha256_hex(X.collapse_space(F.col("text"))).alias("content_hash"))
+    return rows.groupBy("content_hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published_at FROM events")
+def published_time(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    # Weekdays are wrong on purpose: they must not matter.
+    said = F.concat(F.lit("Fri, "), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    return events.select("event_id", F.date_format(X.feed_time(said), "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+
+
+def _links(pages: DataFrame) -> DataFrame:
+    """Even pages are reached through a wrapper."""
+    return pages.select("page_id", "url", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://news.google.com/rss/articles/T"), F.col("page_id"), F.lit("?oc=5"))).otherwise(F.col("url")).alias("link"))
+
+
+@query("SELECT page_id, page_id % 2 = 0 AS is_wrapper, CASE WHEN page_id % 2 = 0 THEN 'T' || page_id END AS token FROM pages")
+def wrapper_token(spark, sf_dir):
+    return _links(_table(spark, sf_dir, "pages")).select("page_id", U.is_wrapper(F.col("link")).alias("is_wrapper"), U.wrapper_token(F.col("link")).alias("token"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 AND page_id % 4 <> 0 THEN 'https://news.google.com/rss/articles/T' || page_id || '?oc=5' ELSE url END AS article_url FROM pages")
+def resolve_fallback(spark, sf_dir):
+    links = _links(_table(spark, sf_dir, "pages"))
+    # Every second wrapper resolves.
+    publishers = links.where("page_id % 4 = 0").select(F.col("link").alias("wrapper_url"), F.col("url").alias("publisher_url"))
+    return A.resolve(links.withColumnRenamed("link", "wrapper_link"), publishers).select("page_id", "article_url")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url END AS decoded FROM pages")
+def decode_response(spark, sf_dir):
+    body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(")]}'\n"), F.to_json(F.array(F.array(F.lit("wrb.fr"), F.col("url"), F.lit("http://later"))))))
+    body = body.when(F.col("page_id") % 3 == 1, F.concat(F.lit(")]}'\n["), F.to_json(F.struct("url")), F.lit("]"))).otherwise("no json")
+    return _table(spark, sf_dir, "pages").select("page_id", U.decoded_url(body).alias("decoded"))
+
+
+@query(
+    "SELECT page_id, nullif(regexp_extract(html, 'charset=\"([^\"]+)\"', 1), '') AS signature, CAST(page_id AS VARCHAR) AS timestamp FROM pages WHERE page_id % 2 = 0"
+)
+def decoding_parameters(spark, sf_dir):
+    charset = F.regexp_extract("html", 'charset="([^"]+)"', 1)
+    page = F.concat(F.lit('<c-wiz data-n-a-sg="'), charset, F.lit('" '), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('data-n-a-ts="'), F.col("page_id"), F.lit('"'))).otherwise(""), F.lit(">"))
+    found = _table(spark, sf_dir, "pages").select("page_id", U.decoding_parameters(page).alias("p")).where("p is not null")
+    return found.select("page_id", "p.signature", "p.timestamp")
+
+
+@query("SELECT doc_id, 'https://news.google.com/rss/search?q=' || replace(url_encode(substr(text, 1, 40)), '%20', '+') || '&hl=en-IN&gl=IN&ceid=IN%3Aen' AS feed_url FROM documents")
+def rss_build_url(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("query"))
+    return feed_source.with_url(docs, feed_source.Settings()).select("doc_id", "feed_url")
+
+
+@query(f"""
+  SELECT 'feed' || doc_id AS feed_id, n AS entry_ord, nullif(trim(regexp_replace(substr(text, 1 + 30 * n, 30), '^{SPACES}|{SPACES}$', '', 'g')), '') AS rss_title,
+    CASE WHEN n = 0 THEN 'Fri, 05 Sep 2026 10:00:00 GMT' END AS rss_published, CASE WHEN n = 0 THEN source END AS rss_source, 'https://a.example/' || doc_id || '/' || n AS wrapper_link
+  FROM documents, (VALUES (0), (1)) AS v(n)""")
+def rss_parse(spark, sf_dir):
+    def escaped(c):
+        return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    def item(n: int):
+        more = F.concat(F.lit("<pubDate>Fri, 05 Sep 2026 10:00:00 GMT</pubDate><source url='http://s.example'> "), escaped(F.col("source")), F.lit("\n</source>")) if n == 0 else F.lit("")
+        title = F.concat(F.lit("<title>"), escaped(F.substring("text", 1 + 30 * n, 30)), F.lit("</title>"))
+        return F.concat(F.lit("<item>"), title, F.lit("<link>https://a.example/"), F.col("doc_id").cast("string"), F.lit(f"/{n}</link>"), more, F.lit("</item>"))
+
+    content = F.concat(F.lit("<?xml version='1.0'?><rss version='2.0'><channel><title>c</title>"), item(0), item(1), F.lit("</channel></rss>"))
+    payloads = _table(spark, sf_dir, "documents").select(F.concat(F.lit("feed"), F.col("doc_id")).alias("feed_id"), F.lit(0).alias("feed_ord"), F.encode(content, "UTF-8").alias("content"))
+    return rss.parse(payloads).drop("feed_ord")
+
+
+@query()
+def html_extract(spark, sf_dir):
+    from ..functions.html import extraction
+
+    pages = _table(spark, sf_dir, "pages")
+    x = extraction()("url", "html", F.when(F.col("page_id") % 10 == 9, 403).otherwise(200), F.lit(None).cast("string"))
+    return pages.select("page_id", x.alias("x")).select("page_id", "x.title", "x.content", "x.top_image", "x.status", "x.error")
+
+
+@query("""
+  SELECT doc_id, coalesce(nullif(CASE WHEN quality = 1 THEN left(text, 20) END, ''), source) AS title, lang AS source
+  FROM documents LEFT JOIN labels USING (doc_id)""")
+def field_precedence(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    null = F.lit(None).cast("string")
+    fields = A.precedence(F.when(F.col("quality") == 1, F.substring("text", 1, 20)), F.col("source"), null, F.col("lang"), null.cast("timestamp"), null)
+    return rows.select("doc_id", fields["title"].alias("title"), fields["source"].alias("source"))
+
+
+@query(f"""
+  SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'entry has no link' WHEN page_id % 5 = 0 THEN 'HTTP 500' END AS failure,
+    canonical AS url, sha256(canonical) AS article_key FROM {CANONICAL}""")
+def reject_entries(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    link = F.when(F.col("page_id") % 7 == 0, " \t").otherwise(F.col("url"))
+    failed = F.col("page_id") % 5 == 0
+    out = A.normalised(F.col("url"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    failure = A.rejection(link, F.when(failed, "failed").otherwise("success"), F.when(failed, "HTTP 500"), out["article_key"])
+    return pages.select("page_id", failure.alias("failure"), out["url"].alias("url"), out["article_key"].alias("article_key"))
+
+
+@query("""
+  SELECT p_partkey, CASE WHEN p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 50 = 0) THEN 'feed_type'
+      WHEN (p_type, p_brand) NOT IN (SELECT (p_type, p_brand) FROM part WHERE p_partkey % 50 = 0 OR p_partkey % 3 = 0) THEN 'feed_value'
+      WHEN p_partkey > min(p_partkey) OVER (PARTITION BY p_type, p_brand) THEN 'duplicate' WHEN p_size < 10 THEN 'query' END AS violation
+  FROM part""")
+def feed_validate(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    allowed = part.where("p_partkey % 50 = 0 or p_partkey % 3 = 0").join(F.broadcast(part.where("p_partkey % 50 = 0").select("p_type").distinct()), "p_type", "left_semi")
+    feeds = part.select(
+        F.col("p_partkey").alias("feed_ord"), F.concat_ws("_", "p_type", "p_brand").alias("feed_id"), F.col("p_type").alias("feed_type"), F.col("p_brand").alias("feed_value"),
+        F.when(F.col("p_size") < 10, "  ").otherwise(F.col("p_name")).alias("query"), F.lit(True).alias("enabled"),
+    )
+    checked = feed_source.validate(feeds, allowed.select(F.col("p_type").alias("feed_type"), F.col("p_brand").alias("feed_value")))
+    return checked.select(F.col("feed_ord").alias("p_partkey"), "violation")
+
+
+def _customers(spark, sf_dir):
+    """Customers as feeds: those with money are enabled."""
+    return _table(spark, sf_dir, "customer").select(F.concat(F.lit("c_"), F.col("c_custkey")).alias("feed_id"), F.lower("c_mktsegment").alias("feed_type"), F.col("c_name").alias("query"), (F.col("c_acctbal") > 0).alias("enabled"))
+
+
+CUSTOMERS = "(SELECT 'c_' || c_custkey AS feed_id, lower(c_mktsegment) AS feed_type, c_name AS query, c_acctbal > 0 AS enabled FROM customer)"
+
+
+@query(f"SELECT * FROM {CUSTOMERS} ORDER BY feed_id")
+def feed_all(spark, sf_dir):
+    return R.all_feeds(_customers(spark, sf_dir))
+
+
+@query(f"SELECT * FROM {CUSTOMERS} WHERE enabled ORDER BY feed_id")
+def feed_enabled(spark, sf_dir):
+    return R.enabled_feeds(_customers(spark, sf_dir))
+
+
+@query(f"SELECT * FROM {CUSTOMERS} WHERE feed_id = 'c_7'")
+def feed_get(spark, sf_dir):
+    return R.feed_by_id(_customers(spark, sf_dir), "c_7")
+
+
+@query(f"SELECT count(*) AS n_feeds FROM {CUSTOMERS}")
+def feed_count(spark, sf_dir):
+    return _customers(spark, sf_dir).agg(F.count("*").alias("n_feeds"))
+
+
+@query(f"""
+  SELECT coalesce(n.feed_id, o.feed_id) AS feed_id, CASE WHEN n.feed_id IS NULL THEN 'old' ELSE 'supplier' END AS feed_type,
+    CASE WHEN n.feed_id IS NULL THEN 'v' ELSE n.s_name END AS feed_value, CASE WHEN n.feed_id IS NULL THEN 'q' ELSE n.s_name END AS query,
+    CASE WHEN n.feed_id IS NULL THEN true ELSE n.s_acctbal > 0 END AS enabled, coalesce(o.created_at, TIMESTAMP '{NOW}') AS created_at
+  FROM (SELECT 's_' || s_suppkey AS feed_id, * FROM supplier WHERE s_suppkey % 2 = 0) n
+  FULL JOIN (SELECT 's_' || s_suppkey AS feed_id, TIMESTAMP '2020-01-01' AS created_at FROM supplier WHERE s_suppkey % 3 = 0) o ON n.feed_id = o.feed_id""")
+def feed_upsert(spark, sf_dir):
+    s = _table(spark, sf_dir, "supplier").withColumn("feed_id", F.concat(F.lit("s_"), F.col("s_suppkey")))
+    old = s.where("s_suppkey % 3 = 0").select("feed_id", F.lit("old").alias("feed_type"), F.lit("v").alias("feed_value"), F.lit("q").alias("query"), F.lit(True).alias("enabled"), F.lit("2020-01-01").cast("timestamp_ntz").alias("created_at"))
+    new = s.where("s_suppkey % 2 = 0").select("feed_id", F.lit("supplier").alias("feed_type"), F.col("s_name").alias("feed_value"), F.col("s_name").alias("query"), (F.col("s_acctbal") > 0).alias("enabled"))
+    return M.upsert_feeds(old, new, now())
+
+
+def _sightings(spark, sf_dir):
+    """Documents as sightings of 300 articles, in the order of their ids; and the articles stored before."""
+    docs = _table(spark, sf_dir, "documents")
+    time = F.lit("2020-01-01").cast("timestamp_ntz")
+    fields = (F.concat(F.lit("k"), F.col("doc_id") % 300).alias("article_key"), F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("title"), F.concat(F.lit("u"), F.col("doc_id")).alias("url"), F.col("source"), F.array("source").alias("authors"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.sha2("text", 256).alias("content"), F.lit(None).cast("string").alias("content_hash"))
+    new = docs.where("doc_id >= 100").select(*fields, "doc_id")
+    old = docs.where("doc_id < 100").select(*fields, F.when(F.col("doc_id") % 2 == 0, F.lit("s")).alias("summary"), F.when(F.col("doc_id") % 2 == 0, F.lit("summarized")).otherwise("pending").alias("processing_status"), time.alias("created_at"), time.alias("updated_at"))
+    return new, old
+
+
+SEEN = "(SELECT 'k' || doc_id % 300 AS article_key, CASE WHEN doc_id % 11 <> 0 THEN lang END AS title, 'u' || doc_id AS url, source, sha256(text) AS content, doc_id FROM documents)"
+
+
+@query(f"""
+  WITH n AS (SELECT article_key, max_by({{'title': title, 'url': url, 'source': source, 'content': content}}, doc_id) AS x FROM {SEEN} WHERE doc_id >= 100 GROUP BY article_key),
+  o AS (SELECT * FROM {SEEN} WHERE doc_id < 100)
+  SELECT coalesce(n.article_key, o.article_key) AS article_key, CASE WHEN n.x IS NULL THEN o.title ELSE n.x.title END AS title,
+    CASE WHEN n.x IS NULL THEN o.url ELSE n.x.url END AS url, CASE WHEN n.x IS NULL THEN o.source ELSE n.x.source END AS author, CASE WHEN n.x IS NULL THEN o.content ELSE n.x.content END AS content,
+    CASE WHEN o.doc_id % 2 = 0 THEN 's' END AS summary, CASE WHEN o.doc_id % 2 = 0 THEN 'summarized' ELSE 'pending' END AS processing_status,
+    CASE WHEN o.doc_id IS NULL THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '2020-01-01' END AS created_at, CASE WHEN n.x IS NULL THEN TIMESTAMP '2020-01-01' ELSE TIMESTAMP '{NOW}' END AS updated_at
+  FROM n FULL JOIN o ON n.article_key = o.article_key""")
+def article_upsert(spark, sf_dir):
+    new, old = _sightings(spark, sf_dir)
+    out = M.upsert_articles(old.drop("doc_id"), M.last_per_key(new, ["article_key"], F.col("doc_id")), now())
+    return out.select("article_key", "title", "url", F.element_at("authors", 1).alias("author"), "content", "summary", "processing_status", "created_at", "updated_at")
+
+
+@query(f"""SELECT article_key, '{{"article_key":"' || article_key || '"}}' AS message FROM (SELECT DISTINCT article_key FROM {SEEN} WHERE doc_id >= 100 AND article_key NOT IN (SELECT article_key FROM {SEEN} WHERE doc_id < 100))""")
+def publish_new(spark, sf_dir):
+    new, old = _sightings(spark, sf_dir)
+    return M.messages(M.new_keys(new, old))
+
+
+@query(f"SELECT doc_id, article_key, article_key IN (SELECT article_key FROM {SEEN} WHERE doc_id < 100) AS is_known FROM {SEEN} WHERE doc_id >= 100")
+def article_exists(spark, sf_dir):
+    new, old = _sightings(spark, sf_dir)
+    return M.with_existing(new, old).select("doc_id", "article_key", "is_known")
+
+
+def _event_links(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("article_key"), F.col("event_type").alias("feed_id"), F.col("ts").alias("first_seen_at"), "event_id")
+
+
+EVENT_LINKS = "(SELECT 'u' || user_id AS article_key, event_type AS feed_id, ts AS first_seen_at, event_id FROM events)"
+
+
+@query(f"""
+  WITH o AS (SELECT article_key, feed_id, max(first_seen_at) AS first_seen_at FROM {EVENT_LINKS} WHERE event_id % 10 = 0 GROUP BY ALL),
+  n AS (SELECT article_key, feed_id, min(first_seen_at) AS first_seen_at FROM {EVENT_LINKS} WHERE event_id % 10 <> 0 GROUP BY ALL)
+  SELECT * FROM o UNION ALL SELECT * FROM n WHERE (article_key, feed_id) NOT IN (SELECT (article_key, feed_id) FROM o)""")
+def link_insert_ignore(spark, sf_dir):
+    links = _event_links(spark, sf_dir)
+    old = links.where("event_id % 10 = 0").groupBy("article_key", "feed_id").agg(F.max("first_seen_at").alias("first_seen_at"))
+    return M.add_links(old, links.where("event_id % 10 <> 0").drop("event_id"))
+
+
+@query("""
+  WITH e AS (SELECT *, 'u' || user_id AS k, event_type <> 'error' AS good FROM events), o AS (SELECT DISTINCT k FROM e WHERE event_id % 10 = 0), n AS (SELECT count(DISTINCT k) AS c FROM e WHERE good AND k NOT IN (SELECT k FROM o))
+  SELECT 5::BIGINT AS feeds_processed, count(*)::BIGINT AS rss_entries, count(*) FILTER (good)::BIGINT AS articles_discovered, any_value(c)::BIGINT AS articles_inserted,
+    (count(*) FILTER (good) - any_value(c))::BIGINT AS articles_updated, count(*) FILTER (NOT good)::BIGINT AS articles_failed, any_value(c)::BIGINT AS messages_published FROM e, n""")
+def ingest_stats(spark, sf_dir):
+    events = _event_links(spark, sf_dir)
+    staged = events.withColumn("failure", F.when(F.col("feed_id") == "error", "failed"))
+    return counters(staged, 5, events.where("event_id % 10 = 0").select("article_key").distinct())
+
+
+def _orders(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("article_key"), F.lit(None).cast("string").alias("summary"), F.col("o_orderstatus").alias("processing_status"), F.col("o_orderdate").alias("updated_at"))
+
+
+@query(f"""
+  SELECT 'o' || o_orderkey AS article_key, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS summary, CASE WHEN o_orderkey % 3 = 0 THEN 'summarized' ELSE o_orderstatus END AS processing_status,
+    CASE WHEN o_orderkey % 3 = 0 THEN TIMESTAMP '{NOW}' ELSE o_orderdate END AS updated_at FROM orders""")
+def update_summary(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("article_key"), F.col("o_orderpriority").alias("summary"))
+    unknown = spark.createDataFrame([("nobody", "s")], orders.schema)
+    return M.update_summary(_orders(spark, sf_dir), orders.unionAll(unknown), now())
+
+
+@query(f"""
+  SELECT 'o' || o_orderkey AS article_key, NULL::VARCHAR AS summary, CASE WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE o_orderstatus END AS processing_status,
+    CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '{NOW}' ELSE o_orderdate END AS updated_at FROM orders""")
+def update_status(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("article_key"), F.lit("failed").alias("processing_status"))
+    return M.update_status(_orders(spark, sf_dir), orders, now())
+
+
+def _event_articles(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id")).alias("article_key"), F.col("props").alias("content"), F.when(F.col("event_type") == "view", "pending").otherwise(F.col("event_type")).alias("processing_status"), F.col("ts").alias("created_at"))
+
+
+EVENT_ARTICLES = "(SELECT 'e' || event_id AS article_key, props AS content, CASE WHEN event_type = 'view' THEN 'pending' ELSE event_type END AS processing_status, ts AS created_at FROM events)"
+
+
+@query(f"SELECT * FROM {EVENT_ARTICLES} WHERE article_key = 'e42'")
+def article_get(spark, sf_dir):
+    return R.article_by_key(_event_articles(spark, sf_dir), "e42")
+
+
+@query(f"SELECT * FROM {EVENT_ARTICLES} WHERE processing_status = 'pending' ORDER BY created_at, article_key LIMIT 100")
+def pending_topk(spark, sf_dir):
+    return R.pending_articles(_event_articles(spark, sf_dir))
+
+
+@query(f"SELECT article_key, array_to_string(list_sort(list(DISTINCT feed_id)), ',') AS feed_ids FROM {EVENT_LINKS} GROUP BY article_key")
+def article_feeds(spark, sf_dir):
+    return R.feeds_of_articles(_event_links(spark, sf_dir)).select("article_key", F.array_join("feed_ids", ",").alias("feed_ids"))
+
+
+@query(f"SELECT DISTINCT feed_id FROM {EVENT_LINKS} WHERE article_key = 'u3' ORDER BY feed_id")
+def feeds_of_article(spark, sf_dir):
+    return R.feeds_of_article(_event_links(spark, sf_dir).select("article_key", "feed_id").distinct(), "u3")
+
+
+@query(f"SELECT 'u' || c_custkey AS article_key, 'click' AS feed_id FROM customer WHERE ('u' || c_custkey, 'click') IN (SELECT (article_key, feed_id) FROM {EVENT_LINKS})")
+def link_exists(spark, sf_dir):
+    asked = _table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey")).alias("article_key"), F.lit("click").alias("feed_id"))
+    return R.existing_links(asked, _event_links(spark, sf_dir))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def fk_validate(spark, sf_dir):
+    links = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_key"), F.col("l_suppkey").alias("feed_id"), "l_linenumber")
+    orders = _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("article_key"))
+    suppliers = _table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("feed_id"))
+    return M.valid_links(links, orders, suppliers).select(F.col("article_key").alias("l_orderkey"), "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def cascade_delete(spark, sf_dir):
+    links = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_key"), "l_linenumber")
+    deleted = _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("article_key"))
+    return M.cascade_delete(links, deleted, "article_key").select(F.col("article_key").alias("l_orderkey"), "l_linenumber")
+
+
+@query(f"""
+  SELECT 'k' || doc_id % 300 AS article_key, max(doc_id) AS last_doc, count(*) AS sightings, max_by(lang, doc_id) AS lang FROM documents GROUP BY ALL""")
+def ordered_fold(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select(F.concat(F.lit("k"), F.col("doc_id") % 300).alias("article_key"), (F.col("doc_id") / 300).cast("int").alias("feed_ord"), (F.col("doc_id") % 300).cast("int").alias("entry_ord"), F.col("doc_id"), "lang")
+    last = M.last_per_key(rows, ["article_key"], ORDER)
+    seen = rows.groupBy("article_key").agg(F.count("*").alias("sightings"))
+    return last.join(seen, "article_key").select("article_key", F.col("doc_id").alias("last_doc"), "sightings", "lang")
