@@ -5,13 +5,15 @@ shingles last. By the prefix bound, two sets that are similar enough share a shi
 n - ceil(0.75 n) + 1 of each, so only these prefixes are dealt out, by shingle.
 
 1. Prefix shingles that two classes share become rows; each shingle's hub is the class whose prefix is shared most.
-   Members are joined with their hubs, and the links found give first components: large groups of near copies close here
-   in a number of comparisons that grows with their size, not with its square.
-2. Only pairs in different components are left. Such a pair is a candidate if it shares as many prefix shingles as the
-   bound on what remains of the shorter walk asks, and the sizes allow the similarity.
-3. Candidate pairs are grouped by one side, whose partners' ordered sets are stored in a prefix tree. One traversal per
-   group shares the overlap counted so far among all sets below a node and prunes a subtree when the shingles that
-   remain on both sides can't reach the overlap asked for.
+   Members are joined with their hubs, and the links found give first components: large groups of near copies mostly
+   close here, in a number of comparisons that grows with their size, not with its square.
+2. Classes that meet one hub most are a family. Those left outside the family's main component are compared with all of
+   the family, in blocks.
+3. Other pairs in different components are candidates if they share as many prefix shingles as the bound on what remains
+   of both asks, and the sizes allow the similarity.
+   In each step the candidates' ordered sets are stored in prefix trees. One traversal shares the overlap counted so far
+   among all sets below a node and prunes a subtree when the shingles that remain on both sides can't reach the overlap
+   asked for.
 4. Components of all links give each document the smallest id that it reaches.
 
 The order needs only be the same everywhere, so a bounded table of the most frequent shingles (HEAVY) is enough for it;
@@ -45,6 +47,10 @@ BUCKET_SHINGLES = 400_000
 FILTER_BITS = 25
 #: Partners of a class that are joined in one prefix tree.
 TREE_SETS = 256
+#: Sets in each of the two blocks that meet in a task of one family.
+FAMILY_BLOCK = 128
+#: Chains of hubs up to 2 to this power are followed to their end; longer ones only make smaller families.
+FAMILY_DOUBLINGS = 3
 #: Tree nodes per set that are walked one by one; the rest of each path is one leaf, counted at once.
 TREE_DEPTH = 24
 
@@ -277,6 +283,42 @@ def _links(pairs: DataFrame, docs: DataFrame, order) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _family_links(placed: DataFrame, docs: DataFrame, order) -> DataFrame:
+    """Links (a, b) between different components of one family: those outside its main component against all of it.
+
+    Both sides come in blocks, so a task holds two blocks however large a family is; a block of members is a prefix tree.
+    Of the links of one class into one component the first is enough.
+    """
+    counted = placed.groupBy("family", "component").agg(F.count("*").alias("size"))
+    families = counted.groupBy("family").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("members")).where(F.col("members") > F.col("main.size"))
+    blocks = lambda size: F.ceil(size / FAMILY_BLOCK).cast("int")
+    families = families.select("family", F.col("main.component").alias("main"), blocks(F.col("members")).alias("n_blocks"), blocks(F.col("members") - F.col("main.size")).alias("n_asking"))
+    members = stored(placed.select("family", "class", "component").join(families, "family"))
+    rows = members.join(_ordered_sets(docs, order, members.select("class")), "class")
+    own = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = rows.select("family", own(F.col("n_blocks"), 1).alias("block"), every(F.col("n_asking")).alias("asking"), F.lit(False).alias("asks"), "class", "component", "members")
+    asking = rows.where("component <> main").select("family", every(F.col("n_blocks")).alias("block"), own(F.col("n_asking"), 2).alias("asking"), F.lit(True).alias("asks"), "class", "component", "members")
+
+    def run(group: pa.Table) -> pa.Table:
+        tree, names, parts = _Tree(), {}, []
+        for asks, c, component, members in zip(*(group[k].to_pylist() for k in ("asks", "class", "component", "members")), strict=True):
+            x = np.frombuffer(members, np.uint64)
+            if asks:
+                parts.append((c, component, x))
+            else:
+                tree.add(c, x)
+                names[c] = component
+        left, right = [], []
+        for c, component, x in parts:
+            met = {names[y]: y for y in tree.similar(x) if names[y] != component} if names else {}
+            left += [c] * len(met)
+            right += met.values()
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return asked.unionByName(asking).groupBy("family", "block", "asking").applyInArrow(run, "a long, b long")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
@@ -294,32 +336,44 @@ def join(docs: DataFrame) -> DataFrame:
     weights = stored(weights.select("class", "n", p.alias("p"), (F.col("sum") / p).alias("weight"), "n_shared"))
     weighted = stored(shared.join(weights, "class").select("shingle", "class", "n", "p", "weight"))
     hubs = weighted.groupBy("shingle").agg(F.max(F.struct("weight", "class", "n")).alias("hub"))
-    to_hub = (
+    to_hub = stored(
         weighted.join(hubs, "shingle")
         .where((F.col("class") != F.col("hub.class")) & (F.least("n", "hub.n") * DENOMINATOR >= F.greatest("n", "hub.n") * NUMERATOR))
         .groupBy(F.col("hub.class").alias("a"), F.col("class").alias("b"))
         .agg(F.count("*").alias("times"), F.first("p").alias("p"))
-        # A pair seldom met is left to the next step.
+        # A pair seldom met is left to the next steps.
         .where(F.col("times") * 4 >= F.col("p"))
-        .select("a", "b")
     )
-    first_links = stored(_links(to_hub, docs, order))
-    first = components(first_links)
-    # Pairs of different components that share enough of their prefixes.
-    placed = weighted.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    placed = stored(placed.join(mixed, "shingle").select("shingle", "class", "n", "p", "component"))
+    first_links = stored(_links(to_hub.select("a", "b"), docs, order))
+    first = stored(components(first_links))
+    # A class's family is the hub it meets most, that one's hub, and so on up: hubs only follow hubs of greater weight.
+    families = to_hub.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("b").alias("class"), F.col("m.a").alias("family"))
+    for _ in range(FAMILY_DOUBLINGS):
+        families = stored(families)
+        above = families.select(F.col("class").alias("family"), F.col("family").alias("above"))
+        families = families.join(above, "family", "left").select("class", F.coalesce("above", "family").alias("family"))
+    placed = weights.select("class", "n", "p").join(families, "class", "left").join(first.withColumnRenamed("node", "class"), "class", "left")
+    placed = stored(placed.select("class", "n", "p", F.coalesce("family", "class").alias("family"), F.coalesce("component", "class").alias("component")))
+    family_links = stored(_family_links(placed, docs, order))
+    # Pairs of different families and components that share enough of their prefixes.
+    placed = stored(shared.select("shingle", "class").join(placed, "class"))
+    mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("family").alias("first"), F.max("family").alias("last")).where("lo <> hi and first <> last").select("shingle")
+    placed = stored(placed.join(mixed, "shingle"))
+    # No partner shares more than what is left of a prefix here.
+    placed = stored(placed.join(placed.groupBy("class").agg(F.count("*").alias("left")), "class"))
     x, y = placed.alias("x"), placed.alias("y")
     n, m, p, q = F.col("x.n"), F.col("y.n"), F.col("x.p"), F.col("y.p")
+    overlap = F.ceil((n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    enough = F.greatest(F.lit(1), overlap - F.greatest(n - p, m - q))
     meeting = x.join(
         y,
         (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.component") != F.col("y.component"))
+        & (F.col("x.family") != F.col("y.family"))
         & ((n > m) | ((n == m) & (F.col("x.class") > F.col("y.class"))))
-        & (m * DENOMINATOR >= n * NUMERATOR),
+        & (m * DENOMINATOR >= n * NUMERATOR)
+        & (F.least("x.left", "y.left") >= enough),
     )
-    overlap = F.ceil((n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    enough = F.greatest(F.lit(1), overlap - F.greatest(n - p, m - q))
     crossing = (
         meeting.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), enough.alias("enough"))
         .groupBy("a", "b")
@@ -327,7 +381,7 @@ def join(docs: DataFrame) -> DataFrame:
         .where("times >= enough")
         .select("a", "b")
     )
-    links = first_links.unionAll(_links(crossing, docs, order))
+    links = first_links.unionAll(family_links).unionAll(_links(crossing, docs, order))
     groups = components(links).withColumnRenamed("node", "class")
     # From classes back to documents: the smallest id of each component, through the classes' smallest ids.
     smallest = of_docs.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("own"))
