@@ -89,7 +89,7 @@ def with_existing(incoming: DataFrame, stored: DataFrame, key: str = "article_ke
 
 def valid_links(links: DataFrame, articles: DataFrame, feeds: DataFrame) -> DataFrame:
     """Links whose article and feed both exist."""
-    return links.join(articles.select("article_key"), "article_key", "left_semi").join(feeds.select("feed_id"), "feed_id", "left_semi")
+    return links.join(articles.select("article_key"), "article_key", "left_semi").join(feeds.select("feed_id"), "feed_id", "left_semi").select(links.columns)
 
 
 def cascade_delete(links: DataFrame, deleted: DataFrame, key: str) -> DataFrame:

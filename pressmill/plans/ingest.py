@@ -19,8 +19,9 @@ from ..sources.feeds import FeedRegistry
 from .sinks import COUNTERS, QueueSink
 from .store import SnapshotStore
 
-#: Where an entry stands in the stream: feeds in file order, entries in document order.
-ORDER = F.struct("feed_ord", "entry_ord")
+def stream_order() -> Column:
+    """Where an entry stands in the stream: feeds in file order, entries in document order."""
+    return F.struct("feed_ord", "entry_ord")
 
 
 def sync_feeds(store: SnapshotStore, registry: FeedRegistry, now: Column) -> int:
@@ -37,7 +38,7 @@ def fold(staged: DataFrame, stored_articles: DataFrame, stored_links: DataFrame,
     """The new articles, links and messages that a staged stream makes of the stored tables."""
     good = staged.where("failure is null")
     columns = ("article_key", *M.UPDATED)
-    last = M.last_per_key(good.select(*columns, "feed_ord", "entry_ord"), ["article_key"], ORDER).select(*columns)
+    last = M.last_per_key(good.select(*columns, "feed_ord", "entry_ord"), ["article_key"], stream_order()).select(*columns)
     links = good.select("article_key", "feed_id", now.alias("first_seen_at"))
     return {
         "articles": M.upsert_articles(stored_articles, last, now),

@@ -17,7 +17,7 @@ from ..operators import merge as M
 from ..operators import reads as R
 from ..sources import feeds as feed_source
 from ..sources import rss
-from .ingest import ORDER, counters
+from .ingest import counters, stream_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -388,6 +388,6 @@ def cascade_delete(spark, sf_dir):
   SELECT 'k' || doc_id % 300 AS article_key, max(doc_id) AS last_doc, count(*) AS sightings, max_by(lang, doc_id) AS lang FROM documents GROUP BY ALL""")
 def ordered_fold(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select(F.concat(F.lit("k"), F.col("doc_id") % 300).alias("article_key"), (F.col("doc_id") / 300).cast("int").alias("feed_ord"), (F.col("doc_id") % 300).cast("int").alias("entry_ord"), F.col("doc_id"), "lang")
-    last = M.last_per_key(rows, ["article_key"], ORDER)
+    last = M.last_per_key(rows, ["article_key"], stream_order())
     seen = rows.groupBy("article_key").agg(F.count("*").alias("sightings"))
     return last.join(seen, "article_key").select("article_key", F.col("doc_id").alias("last_doc"), "sightings", "lang")

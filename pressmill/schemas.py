@@ -14,9 +14,9 @@ S, B, TS, I = T.StringType(), T.BooleanType(), T.TimestampType(), T.IntegerType(
 FEED_CONFIG = _struct(("feed_ord", I, False), ("feed_id", S, False), ("feed_type", S, False), ("feed_value", S, False), ("query", S, False), ("enabled", B, False))
 FEEDS = _struct(("feed_id", S, False), ("feed_type", S, False), ("feed_value", S, False), ("query", S, False), ("enabled", B, False), ("created_at", TS, True))
 ENTRIES = _struct(("feed_id", S, False), ("feed_ord", I, False), ("entry_ord", I, False), ("rss_title", S, True), ("rss_published", S, True), ("rss_source", S, True), ("wrapper_link", S, True))
-EXTRACTION = _struct(("url", S, True), ("title", S, True), ("authors", T.ArrayType(S, False), False), ("published_at", TS, True), ("content", S, True), ("top_image", S, True), ("status", S, False), ("error", S, True))
+EXTRACTION = _struct(("url", S, True), ("title", S, True), ("authors", T.ArrayType(S), False), ("published_at", TS, True), ("content", S, True), ("top_image", S, True), ("status", S, False), ("error", S, True))
 ARTICLES = _struct(
-    ("article_key", S, False), ("title", S, True), ("url", S, False), ("source", S, True), ("authors", T.ArrayType(S, False), False), ("published_at", TS, True),
+    ("article_key", S, False), ("title", S, True), ("url", S, False), ("source", S, True), ("authors", T.ArrayType(S), False), ("published_at", TS, True),
     ("content", S, True), ("content_hash", S, True), ("summary", S, True), ("processing_status", S, False), ("created_at", TS, True), ("updated_at", TS, True),
 )
 ARTICLE_FEEDS = _struct(("article_key", S, False), ("feed_id", S, False), ("first_seen_at", TS, True))
