@@ -37,10 +37,12 @@ MIN_WORDS = 5
 EDIT_SHARE = 0.25
 #: Lengths of windows grow by this factor.
 LADDER = 1.1
-SAMPLED = 2
+SAMPLED = 3
+#: Repetitions that sample the same walk.
+PER_WALK = 3
 TARGET_RECALL = 0.99
 #: Share of steps on which the walks of a text and of an edited copy agree, measured at edits near the bound.
-AGREEMENT = 0.45
+AGREEMENT = 0.42
 MAX_BITS = 22
 BROADCAST_ITEMS = 20_000
 
@@ -68,20 +70,25 @@ def embed(rows: np.ndarray, rung: int, n_repetitions: int) -> np.ndarray:
     steps = 3 * rung
     out = np.empty((n, n_repetitions), np.uint64)
     every = np.arange(n)
-    for r in range(n_repetitions):
-        rng = np.random.default_rng(1000 + r)
-        salts = rng.integers(1, 1 << 63, steps, dtype=np.uint64)
+    for walk in range(0, n_repetitions, PER_WALK):
+        rng = np.random.default_rng(1000 + walk)
+        salts = rng.integers(1, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         # Walks move on by one on every second step; sampling the first two thirds keeps them inside the text.
-        sampled = set(rng.choice(2 * rung, SAMPLED, replace=False).tolist())
+        chosen = [rng.choice(2 * rung, SAMPLED, replace=False).tolist() for _ in range(walk, min(walk + PER_WALK, n_repetitions))]
+        last = max(max(c) for c in chosen)
         at = np.zeros(n, np.int64)
-        signature = np.full(n, np.uint64(r * 65_537 + rung))
-        for j in range(max(sampled) + 1):
+        signatures = [np.full(n, np.uint64((walk + i) * 65_537 + rung)) for i in range(len(chosen))]
+        for j in range(last + 1):
             word = padded[every, np.minimum(at, width)]
-            if j in sampled:
-                with np.errstate(over="ignore"):
-                    signature = words.mix(signature * words.PLACES[1] + word)
-            at += (words.mix(word ^ salts[j]) & np.uint64(1)).astype(np.int64)
-        out[:, r] = signature
+            for i, c in enumerate(chosen):
+                if j in c:
+                    with np.errstate(over="ignore"):
+                        signatures[i] = signatures[i] * words.PLACES[1] + word
+            # Hashes of words are mixed already: the top bit of a product with an odd number is as good as random.
+            with np.errstate(over="ignore"):
+                at += ((word * salts[j]) >> np.uint64(63)).astype(np.int64)
+        for i, signature in enumerate(signatures):
+            out[:, walk + i] = words.mix(signature)
     return out
 
 
@@ -105,16 +112,18 @@ def distances(items: np.ndarray, lengths: np.ndarray, around: np.ndarray) -> tup
 
 
 def _word_rows(texts: DataFrame, key: str) -> DataFrame:
-    """key, and the words' hashes as bytes and as a count."""
+    """key, the words' hashes as bytes, their number and that of pairs of words that occurred before in the item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, found in words.chunks(batch.column("text"), words.LETTER_DIGIT):
                 rows = [found.hashes[a:b].tobytes() for a, b in zip(found.first, found.first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(at, len(found)), pa.array(rows, pa.binary()), pa.array(np.diff(found.first))], names=[key, "item_words", "n_item_words"])
+                pairs = [words.grams(found.hashes[a:b], 2) for a, b in zip(found.first, found.first[1:], strict=False)]
+                repeated = pa.array([len(x) - len(np.unique(x)) for x in pairs], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(at, len(found)), pa.array(rows, pa.binary()), pa.array(np.diff(found.first)), repeated], names=[key, "item_words", "n_item_words", "n_repeated"])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, item_words binary, n_item_words long")
+    return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, item_words binary, n_item_words long, n_repeated long")
 
 
 def _bit(rung: int) -> np.uint64:
@@ -139,50 +148,71 @@ def _pair_table(items: DataFrame, bits: int) -> np.ndarray:
     return whole
 
 
-def _windows(docs: DataFrame, rungs: dict[int, int], pair_table: np.ndarray, bits: int, n_repetitions: int) -> DataFrame:
-    """doc_id, place, rung, around (words about a window, as bytes) and its signatures. rungs: the longest item of each."""
+def _windows(docs: DataFrame, rungs: dict[int, tuple[int, int]], pair_table: np.ndarray, bits: int, n_repetitions: int) -> DataFrame:
+    """doc_id, place, rung, around (words about a window, as bytes) and its signatures.
+
+    rungs: the longest item of each, and how many of an item's pairs may be repeats.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(pair_table)
-    least = {c: c - 1 - 2 * int(max_edits(longest)) for c, longest in rungs.items()}
+    least = {c: c - 1 - 2 * int(max_edits(longest)) for c, (longest, _) in rungs.items()}
 
     def of_chunk(found: words.Words) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
         n = len(found.hashes)
         if n < 2:
             return
         slots = words.grams(found.hashes, 2) >> np.uint64(64 - bits)
-        of_lengths = np.zeros(n, np.uint64)
-        of_lengths[:-1] = shared.value[slots.astype(np.int64)]
-        doc_end = np.repeat(found.first[1:], np.diff(found.first))
+        of_lengths = shared.value[slots.astype(np.int64)]
         last = found.first[1:] - 1
-        of_lengths[last[last >= 0]] = 0
-        sums = np.concatenate([[0], np.cumsum(of_lengths != 0)])
-        every = np.arange(n)
-        longest = max(rungs)
-        some = np.flatnonzero(sums[np.minimum(every + longest - 1, doc_end - 1)] - sums[every] >= max(1, min(least.values())))
-        if not len(some):
-            return
+        of_lengths[last[(last >= 0) & (last < n - 1)]] = 0
+        known, none = np.flatnonzero(of_lengths), np.uint64((1 << 64) - 1)
+        of_known = of_lengths[known]
         for c, at_least in least.items():
-            sums[1:] = np.cumsum((of_lengths & _bit(c)) != 0)
-            held = sums[np.minimum(some + c - 1, doc_end[some] - 1)] - sums[some]
-            starts = some[held >= max(1, at_least)]
-            if not len(starts):
+            # Where at_least pairs stand within one window of the same document.
+            hits = known[(of_known & _bit(c)) != 0]
+            t = max(1, at_least)
+            if len(hits) < t:
                 continue
-            held = held[held >= max(1, at_least)]
+            left, right = hits[: len(hits) - t + 1], hits[t - 1 :]
+            near = np.flatnonzero(right - left <= c - 2)
+            if not len(near):
+                continue
+            left, right = left[near], right[near]
+            doc = np.searchsorted(found.first, left, side="right") - 1
+            same = right < found.first[doc + 1]
+            left, right, doc = left[same], right[same], doc[same]
+            if not len(left):
+                continue
+            # All starts of windows that cover such a run, each once.
+            lo = np.maximum(found.first[doc], right - c + 2)
+            size = left - lo + 1
+            starts = np.unique(np.repeat(left - np.cumsum(size) + 1, size) + np.arange(size.sum()))
+            held = np.searchsorted(hits, starts + c - 1) - np.searchsorted(hits, starts)
+            doc_end = found.first[np.searchsorted(found.first, starts, side="right")]
             # Of near starts the one that holds most; near means far less than a window's length.
             stride = max(1, c // 10)
-            group = np.flatnonzero(np.concatenate([[True], (starts[1:] // stride != starts[:-1] // stride) | (doc_end[starts[1:]] != doc_end[starts[:-1]])]))
+            group = np.flatnonzero(np.concatenate([[True], (starts[1:] // stride != starts[:-1] // stride) | (doc_end[1:] != doc_end[:-1])]))
             best = np.maximum.reduceat(held, group)
-            size = np.diff(np.concatenate([group, [len(starts)]]))
+            size = np.diff(np.append(group, len(starts)))
             is_best = np.flatnonzero(held == np.repeat(best, size))
             chosen = is_best[np.unique(np.repeat(np.arange(len(group)), size)[is_best], return_index=True)[1]]
-            starts = starts[chosen]
+            starts, doc_end = starts[chosen], doc_end[chosen]
+            # What repeats in the window but not in an item doesn't count twice.
+            at = np.minimum(starts[:, None] + np.arange(c - 1), n - 2)
+            inside = ((of_lengths[at] & _bit(c)) != 0) & (starts[:, None] + np.arange(c - 1) < doc_end[:, None] - 1)
+            pairs = np.sort(np.where(inside, slots[at], none), axis=1)
+            distinct = (pairs[:, 0] != none).astype(np.int64) + ((pairs[:, 1:] != pairs[:, :-1]) & (pairs[:, 1:] != none)).sum(1)
+            enough = distinct >= t - rungs[c][1]
+            starts, doc_end = starts[enough], doc_end[enough]
+            if not len(starts):
+                continue
             columns = starts[:, None] + np.arange(c)
-            inside = columns < doc_end[starts][:, None]
+            inside = columns < doc_end[:, None]
             rows = np.where(inside, found.hashes[np.minimum(columns, n - 1)], np.uint64(0))
             signatures = embed(rows, c, n_repetitions)
-            pad = int(max_edits(rungs[c])) + stride + 2
+            pad = int(max_edits(rungs[c][0])) + stride + 2
             doc = np.searchsorted(found.first, starts, side="right") - 1
             for i, s in enumerate(starts):
-                lo, hi = max(found.first[doc[i]], s - pad), min(doc_end[s], s + rungs[c] + pad)
+                lo, hi = max(found.first[doc[i]], s - pad), min(doc_end[i], s + rungs[c][0] + pad)
                 yield int(doc[i]), int(lo - found.first[doc[i]]), c, found.hashes[lo:hi], signatures[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +254,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> D
     docs, benchmark = (x.withColumn("text", F.lower("text")) for x in (docs, benchmark))
     rung = F.udf(ladder, "int", useArrow=False)
     items = stored(_word_rows(benchmark, key).where(F.col("n_item_words") >= MIN_WORDS).withColumn("rung", rung("n_item_words")))
-    measured = items.groupBy("rung").agg(F.max("n_item_words").alias("longest"), F.count("*").alias("n"), F.sum("n_item_words").alias("words")).collect()
+    measured = items.groupBy("rung").agg(F.max("n_item_words").alias("longest"), F.count("*").alias("n"), F.sum("n_item_words").alias("words"), F.max("n_repeated").alias("repeated")).collect()
     doc_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, key)))
     schema = f"doc_id {doc_kind}, {key} {item_kind}, first_word long, n_words long, edits long"
     if not measured:
         return spark.createDataFrame([], schema)
     bits = min(MAX_BITS, max(16, math.ceil(math.log2(64 * sum(r["words"] for r in measured)))))
-    rungs = {r["rung"]: r["longest"] for r in sorted(measured, key=lambda r: r["rung"])}
+    rungs = {r["rung"]: (r["longest"], r["repeated"]) for r in sorted(measured, key=lambda r: r["rung"])}
     windows = _windows(docs, rungs, _pair_table(items, bits), bits, n_repetitions)
     asked = _item_signatures(items, n_repetitions, key).select(key, "item_words", "n_item_words", "rung", F.posexplode("item_signatures").alias("repetition", "signature"))
     if sum(r["n"] for r in measured) <= BROADCAST_ITEMS:
@@ -240,15 +270,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> D
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 wanted, around = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in ("item_words", "around"))
                 lengths = np.array([len(x) for x in wanted])
                 left = np.zeros((len(wanted), lengths.max(initial=0)), np.uint64)
                 right = np.zeros((len(around), max((len(x) for x in around), default=0)), np.uint64)
                 for i, (a, b) in enumerate(zip(wanted, around, strict=True)):
                     left[i, : len(a)], right[i, : len(b)] = a, b
-                edits, end = distances(left, lengths, right)
+                # An item within the bound has most of its words there: few pairs need the whole computation.
+                common = (left[:, :, None] == right[:, None, :]).any(2) & (left != 0)
+                hopeful = np.flatnonzero(common.sum(1) >= lengths - max_edits(lengths))
+                edits, end = lengths.copy(), np.zeros(len(lengths), np.int64)
+                edits[hopeful], end[hopeful] = distances(left[hopeful], lengths[hopeful], right[hopeful])
                 keep = pa.array(edits <= max_edits(lengths))
                 first = np.maximum(0, end - lengths) + batch.column("place").to_numpy()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(key), pa.array(first), pa.array(lengths, pa.int64()), pa.array(edits, pa.int64())], names=["doc_id", key, "first_word", "n_words", "edits"]).filter(keep)
