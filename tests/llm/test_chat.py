@@ -1,0 +1,59 @@
+import hashlib
+
+from pressmill.llm import chat
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def expected(rows):
+    by = {}
+    for c, t, r, x in rows:
+        by.setdefault(c, []).append((-1 if t is None else t, r or "", x or ""))
+    out = {}
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        out[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def digest(formatted):
+    return {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.read_back(formatted).collect()}
+
+
+ODD = [
+    (None, 1, "user", None), (None, None, None, "x"), (1, 1, "assistant", "dup"), (1, 1, "assistant", "dup"), (2, 0, "system", "S ### </turn>\\"), (2, 1, "user", "q" * 9000),
+    (2, 2, "assistant", "a " * 3000), (2, 9000, "assistant", "\\### Assistant: </turn> ok"), (3, 0, "we\nird: ###", "</turn>\n\\"), (4, 5, "system", ""), (-5, -3, "user", "é😀"),
+]
+
+
+def test_round_trip(spark):
+    assert digest(chat.windows(spark.createDataFrame(ODD, SCHEMA))) == expected(ODD)
+    assert chat.read_back(chat.windows(spark.createDataFrame([], SCHEMA))).isEmpty()
+
+
+def test_query(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-7, 0, "user", chat.PROBE), (-7, 1, "assistant", chat.PROBE)]
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.op1_chat_windows(spark, sf).collect()}
+    assert got == expected(rows)
+
+
+def test_windows(spark):
+    rows = [(1, 0, "system", "be kind")] + [(1, i, "user" if i % 2 else "assistant", f"{i} " + "word " * (10 + i % 30)) for i in range(1, 700)]
+    found = chat.windows(spark.createDataFrame(rows, SCHEMA), max_tokens=256, history_tokens=64).orderBy("window").collect()
+    own = [t["idx"] for w in found for t in w["turns"] if not t["repeated"]]
+    assert own == list(range(700)) and len(found) > 20
+    for w in found:
+        assert w["n_tokens"] <= 256 and not w["over_budget"] and w["turns"][0]["idx"] == 0
+        assert w["text"].startswith("### system:\nbe kind\n</turn>\n")
+        repeated = [t["idx"] for t in w["turns"] if t["repeated"] and t["idx"]]
+        mine = [t["idx"] for t in w["turns"] if not t["repeated"]]
+        assert repeated == list(range(mine[0] - len(repeated), mine[0])) and mine == list(range(mine[0], mine[-1] + 1))
+        assert not any(t["loss"] for t in w["turns"] if t["repeated"])
+    assert any(t["repeated"] and t["idx"] for w in found for t in w["turns"])
+
+
+def test_plan_is_native(spark, sf):
+    plan = chat.op1_chat_windows(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
