@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import mixture, oracles
 from .ann import op7_additive_quantisation
 from .chat import op1_chat_windows
 from .decontaminate import op8_decontamination
@@ -9,23 +10,26 @@ from .html_text import op3_wrapper_induction
 from .jaccard import op9_ngram_jaccard
 from .language import op6_language_id
 from .licenses import op4_license_scan
-from . import mixture
 from .quality import op2_quality_rules
 from .secret_scan import op5_secret_scan
 
 QUERIES = {
-    "op10_mixture": mixture.op10_mixture,
-    "op9_ngram_jaccard": op9_ngram_jaccard,
-    "op8_decontamination": op8_decontamination,
-    "op3_wrapper_induction": op3_wrapper_induction,
-    "op7_additive_quantisation": op7_additive_quantisation,
     "op1_chat_windows": op1_chat_windows,
-    "op5_secret_scan": op5_secret_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_wrapper_induction": op3_wrapper_induction,
     "op4_license_scan": op4_license_scan,
+    "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
+    "op7_additive_quantisation": op7_additive_quantisation,
+    "op8_decontamination": op8_decontamination,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_mixture": mixture.op10_mixture,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_windows": oracles.CHAT,
+    "op4_license_scan": oracles.LICENSES,
+    "op5_secret_scan": oracles.SECRETS,
+    "op9_ngram_jaccard": oracles.JACCARD,
     "op10_mixture": mixture.ORACLE_SQL,
 }
