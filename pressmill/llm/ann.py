@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 
 @dataclass(frozen=True)
@@ -148,8 +148,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, train_rows: int = 8192, bl
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("ids", "codes", "factors", "vectors"))]))
 
     packed = "block int, ids binary, codes binary, factors binary, vectors binary"
-    candidates = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).mapInArrow(pack, packed)
-    queries = rows.where(is_query(F.col("id"))).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_query_blocks)).cast("int")).mapInArrow(pack, packed)
+    candidates = map_arrow(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")), pack, packed)
+    queries = map_arrow(rows.where(is_query(F.col("id"))).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_query_blocks)).cast("int")), pack, packed)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     met = candidates.select(F.col("block").alias("c"), every(n_query_blocks).alias("q"), F.lit(False).alias("asks"), "ids", "codes", "factors", "vectors").unionByName(
         queries.select(every(n_blocks).alias("c"), F.col("block").alias("q"), F.lit(True).alias("asks"), "ids", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("factors"), "vectors")

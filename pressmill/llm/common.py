@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,32 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches are made no larger than this.
+BATCH_BYTES = 16 << 20
+
+
+def tidy(run):
+    """run, a function of batches, that gives back its memory when it ends: Python workers live on between tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, as texts may be long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(tidy(run), schema)
+
+
 def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's text leaves that remainder; an id that is null belongs to no fold."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))

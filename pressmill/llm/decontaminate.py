@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import stored, table
+from .common import map_arrow, stored, table
 
 MIN_WORDS = 5
 #: A stretch matches an item of n words within this share of n edits (words put in, left out or replaced).
@@ -123,7 +123,7 @@ def _word_rows(texts: DataFrame, key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(at, len(found)), pa.array(rows, pa.binary()), pa.array(np.diff(found.first)), repeated], names=[key, "item_words", "n_item_words", "n_repeated"])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, item_words binary, n_item_words long, n_repeated long")
+    return map_arrow(texts.select(key, "text"), run, f"{key} {kind}, item_words binary, n_item_words long, n_repeated long")
 
 
 def _bit(rung: int) -> np.uint64:
@@ -143,7 +143,7 @@ def _pair_table(items: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["bits"])
 
     whole = np.zeros(1 << bits, np.uint64)
-    for row in items.select("item_words", "rung").mapInArrow(run, "bits binary").toLocalIterator():
+    for row in map_arrow(items.select("item_words", "rung"), run, "bits binary").toLocalIterator():
         whole |= np.frombuffer(row["bits"], np.uint64)
     return whole
 
@@ -232,7 +232,7 @@ def _windows(docs: DataFrame, rungs: dict[int, tuple[int, int]], pair_table: np.
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, place long, rung int, around binary, signatures array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, place long, rung int, around binary, signatures array<long>")
 
 
 def _item_signatures(items: DataFrame, n_repetitions: int, key: str) -> DataFrame:
@@ -244,7 +244,7 @@ def _item_signatures(items: DataFrame, n_repetitions: int, key: str) -> DataFram
                 found.append(embed(row, c, n_repetitions)[0].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "item_signatures"])
 
-    return items.mapInArrow(run, items.schema.simpleString()[7:-1].replace(":", " ") + ", item_signatures array<long>")
+    return map_arrow(items, run, items.schema.simpleString()[7:-1].replace(":", " ") + ", item_signatures array<long>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> DataFrame:
@@ -287,7 +287,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> D
                 first = np.maximum(0, end - lengths) + batch.column("place").to_numpy()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(key), pa.array(first), pa.array(lengths, pa.int64()), pa.array(edits, pa.int64())], names=["doc_id", key, "first_word", "n_words", "edits"]).filter(keep)
 
-    verified = pairs.select("doc_id", "place", key, "around", "item_words").mapInArrow(verify, schema)
+    verified = map_arrow(pairs.select("doc_id", "place", key, "around", "item_words"), verify, schema)
     best = F.min(F.struct("edits", "first_word", "n_words")).alias("b")
     return verified.groupBy("doc_id", key).agg(best).select("doc_id", key, "b.first_word", "b.n_words", "b.edits")
 

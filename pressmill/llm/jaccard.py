@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import stored, table
+from .common import map_arrow, stored, table
 from .components import components
 
 SHINGLE = 5
@@ -109,7 +109,7 @@ def _documents_and_heavy(docs: DataFrame) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, n long, class long")
+    return map_arrow(docs.select("doc_id", "text"), run, f"kind int, doc_id {kind}, n long, class long")
 
 
 class _Order:
@@ -175,7 +175,7 @@ def _shared_prefixes(docs: DataFrame, order, n_buckets: int) -> DataFrame:
         keep = df > 1
         return pa.table({"shingle": s[keep].view(np.int64), "class": c[keep], "df": df[keep].astype(np.int64)})
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, shingles binary, classes binary")
+    dealt = map_arrow(docs.select("text"), deal, "bucket int, shingles binary, classes binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "shingle long, class long, df long")
 
 
@@ -189,7 +189,7 @@ def _bit_map(classes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
 
     whole = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in classes.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in map_arrow(classes.coalesce(64), run, "bits binary").toLocalIterator():
         whole |= np.frombuffer(row["bits"], np.uint8)
     return whole
 
@@ -212,7 +212,7 @@ def _ordered_sets(docs: DataFrame, order, wanted: DataFrame) -> DataFrame:
                     sets.append(order.value.sort(x).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["class", "members"])
 
-    return docs.select("text").mapInArrow(run, "class long, members binary").dropDuplicates(["class"])
+    return map_arrow(docs.select("text"), run, "class long, members binary").dropDuplicates(["class"])
 
 
 class _Tree:
@@ -280,7 +280,7 @@ def _links(pairs: DataFrame, docs: DataFrame, order) -> DataFrame:
                 right += found
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return map_arrow(joined, run, "a long, b long")
 
 
 def _family_links(placed: DataFrame, docs: DataFrame, order) -> DataFrame:

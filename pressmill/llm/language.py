@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_fold
+from .common import in_fold, map_arrow
 
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
                 names=[*kept, "lang_pred", "score", "accepted"],
             )
 
-    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*kept, F.col("text").alias("_text")), run, schema)
 
 
 def accepted_only(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -151,7 +151,7 @@ def accepted_only(docs: DataFrame, model: LanguageModel) -> DataFrame:
             _, _, accepted = _predictions(shared.value, batch.column("text"), sizer)
             yield batch.filter(pc.fill_null(pa.array(accepted, pa.bool_()), False))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; a longer text is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LOWER = np.arange(256, dtype=np.uint8)
