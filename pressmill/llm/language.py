@@ -5,11 +5,12 @@ whole with every dictionary; the one that makes it smallest names the language.
 again at a stronger level, and are rejected if the margin stays narrow. Texts and dictionaries are compared in lower
 case.
 
-Bounds: a model reads at most ``docs_per_language`` training documents of each language (those with the smallest
-hash of their id) and keeps ``dictionary_bytes`` of them. Everything else covers all rows.
+Bounds: a model learns the ``max_languages`` languages with the most texts; of each it reads at most ``docs_per_language``
+training documents (those with the smallest hash of their id) and keeps ``dictionary_bytes`` of them. Everything else
+covers all rows.
 
 Defined results: null texts and texts without a letter give ``und``, score 0 and are rejected; equal sizes go to the
-alphabetically first language; repeated rows give repeated results; an empty table gives an empty result; without
+language with the most training texts; repeated rows give repeated results; an empty table gives an empty result; without
 any training text every row gives ``und``.
 """
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +34,7 @@ LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """dictionaries: (language, raw content), in the order of the languages."""
+    """dictionaries: (language, raw content), languages with the most training texts first."""
 
     dictionaries: tuple[tuple[str, bytes], ...]
     level: int = 6
@@ -44,34 +45,23 @@ class LanguageModel:
     margin: float = 0.002
 
 
-def fit(train: DataFrame, docs_per_language: int = 160, dictionary_bytes: int = 64 * 1024) -> LanguageModel:
+def fit(train: DataFrame, docs_per_language: int = 160, dictionary_bytes: int = 64 * 1024, max_languages: int = 200) -> LanguageModel:
     """Learn from columns doc_id, text and lang; rows with null text or lang teach nothing."""
     known = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Only ids and languages are ranked; texts are read again for the few documents chosen.
-    chosen = (
-        known.select("doc_id", "lang")
-        .distinct()
-        .withColumn("_rank", F.row_number().over(by_hash))
-        .where(F.col("_rank") <= docs_per_language)
-    )
-    rows = (
-        known.select("doc_id", "lang", "text")
-        .join(F.broadcast(chosen), ["doc_id", "lang"])
-        .select("lang", "_rank", F.col("text").substr(1, dictionary_bytes).alias("text"))
-    )
-    texts: dict[str, list[tuple[int, str]]] = {}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n_texts")).orderBy(F.desc("n_texts"), "lang").limit(max_languages)
+    # A cut of the hash lets through about twice what is kept, so that no task ranks a language's rows.
+    place = F.xxhash64("doc_id") / float(1 << 64) + 0.5
+    rows = known.join(F.broadcast(counts), "lang").where(place * F.col("n_texts") <= F.greatest(F.lit(2 * docs_per_language), F.col("n_texts") * (F.col("n_texts") < 4 * docs_per_language).cast("int")))
+    found = rows.select("lang", "n_texts", place.alias("place"), F.col("text").substr(1, dictionary_bytes).alias("text")).collect()
+    texts: dict[str, list[str]] = {}
     sizes: dict[str, int] = {}
-    for row in rows.sort("lang", "_rank", "text").toLocalIterator():
-        if sizes.get(row["lang"], 0) < 2 * dictionary_bytes:
-            texts.setdefault(row["lang"], []).append((row["_rank"], row["text"]))
-            sizes[row["lang"]] = sizes.get(row["lang"], 0) + len(row["text"])
-    return LanguageModel(
-        tuple(
-            (lang, b"\n".join(t.lower().encode() for _, t in found)[:dictionary_bytes])
-            for lang, found in sorted(texts.items())
-        )
-    )
+    for row in sorted(found, key=lambda r: (r["place"], r["text"])):
+        own = texts.setdefault(row["lang"], [])
+        if len(own) < docs_per_language:
+            own.append(row["text"].lower())
+        sizes[row["lang"]] = row["n_texts"]
+    by_size = sorted(texts, key=lambda k: (-sizes[k], k))
+    return LanguageModel(tuple((k, b"\n".join(t.encode() for t in texts[k])[:dictionary_bytes]) for k in by_size))
 
 
 class _Sizer:
@@ -87,8 +77,11 @@ class _Sizer:
         import zstandard
 
         if level not in self._at:
-            params = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
-            self._at[level] = [zstandard.ZstdCompressor(level=level, dict_data=d, **params) for d in self._raw]
+            # Parameters for a dictionary of this size: short matches count, and tables take some 2 MB each.
+            flags = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
+            size = max(len(d) for _, d in self.model.dictionaries)
+            params = zstandard.ZstdCompressionParameters.from_level(level, dict_size=size, **flags)
+            self._at[level] = [zstandard.ZstdCompressor(compression_params=params, dict_data=d) for d in self._raw]
         return self._at[level]
 
     def _sizes(self, data: bytes, level: int) -> list[int]:
@@ -98,7 +91,7 @@ class _Sizer:
         """Language, score and whether the margin is wide enough."""
         if not self.names or text is None or not LETTER.search(text):
             return UNDETERMINED, 0.0, False
-        data = text.lower().encode("utf-8", "surrogatepass")
+        data = f" {text.lower()} ".encode("utf-8", "surrogatepass")  # spaces let the first and last word match
         sizes = self._sizes(data, self.model.level)
         best, second = self._best(sizes)
         if second - best < self.model.recheck * second:
