@@ -165,7 +165,8 @@ def fit(labelled: DataFrame, max_rows: int = 20_000) -> RuleEnsemble:
     # Ids are ranked first, so that statistics are taken of the chosen texts alone.
     chosen = known.select("doc_id", F.xxhash64("doc_id").alias("_h")).distinct().orderBy("_h", "doc_id").limit(max_rows)
     rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("quality"), *(c.cast("double").alias(k) for k, c in statistics(F.col("text")).items()))
-    found = rows.sort(*names, "quality").toPandas()
+    # Sorted here, so that the order in which partitions come doesn't matter.
+    found = rows.toPandas().sort_values([*names, "quality"])
     return fit_arrays(found[names].to_numpy(np.float64), found["quality"].to_numpy(np.float64), names)
 
 
