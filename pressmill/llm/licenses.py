@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
+from .common import map_arrow, table
 
 #: Phrases and their labels.
 PHRASES = (
@@ -145,7 +146,7 @@ def rolling_grams(docs: DataFrame) -> DataFrame:
                 key += len(found)
 
     schema = f"row_key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, short_grams array<long>, long_grams array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -178,22 +179,21 @@ def spans(docs: DataFrame) -> DataFrame:
         F.max("tpos").alias("thi"),
     )
     votes = votes.join(F.broadcast(templates(spark)), "template", "left")
-    # Phrases and the documents' own rows stand as they are; a notice's neighbouring diagonals become one span.
-    whole = votes.where((F.col("template") == -1) | (F.col("phrase") & (F.col("votes") == F.col("n_grams")))).select(
-        "row_key", "doc_id", "n_words", "template", "label", "phrase", F.col("lo").cast("long").alias("first_word"), (F.col("lo") + F.col("n_template_words")).cast("long").alias("last_word"), F.lit(1.0).alias("score")
-    )
+    # A notice's neighbouring diagonals become one span; those of a phrase and a document's own row stay apart.
     by_diagonal = Window.partitionBy("row_key", "template").orderBy("diagonal")
+    notice = F.coalesce(~F.col("phrase"), F.lit(False))
+    apart = F.when(notice, F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > DRIFT).otherwise(True)
     merged = (
-        votes.where(~F.col("phrase"))
-        .withColumn("_new", (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > DRIFT).cast("int"))
-        .withColumn("_group", F.sum(F.coalesce("_new", F.lit(0))).over(by_diagonal))
+        votes.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int"))
+        .withColumn("_group", F.sum("_new").over(by_diagonal))
         .groupBy("row_key", "template", "_group")
-        .agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "phrase", "n_grams")), F.sum("votes").alias("votes"), F.min("lo").cast("long").alias("first_word"), (F.max("hi") + NOTICE_K).cast("long").alias("last_word"), F.min("tlo").alias("tlo"), F.max("thi").alias("thi"))
-        .withColumn("score", F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")))
-        .where((F.col("score") >= COVERAGE) & (F.col("thi") - F.col("tlo") + 1 >= F.col("votes") * 0.5))
-        .select(*whole.columns)
+        .agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "phrase", "n_grams")), F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("tlo").alias("tlo"), F.max("thi").alias("thi"))
+        .withColumn("score", F.coalesce(F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")), F.lit(0.0)))
     )
-    return whole.unionByName(merged)
+    whole = (F.col("template") == -1) | (F.col("phrase") & (F.col("votes") == F.col("n_grams")))
+    verified = notice & (F.col("score") >= COVERAGE) & (F.col("thi") - F.col("tlo") + 1 >= F.col("votes") * 0.5)
+    k = F.when(notice, NOTICE_K).otherwise(PHRASE_K)
+    return merged.where(whole | verified).select("row_key", "doc_id", "n_words", "template", "label", "phrase", F.col("lo").cast("long").alias("first_word"), (F.col("hi") + k).cast("long").alias("last_word"), "score")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -217,8 +217,6 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return scan(table(spark, sf_dir, "documents"))
 
 
