@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     """node and component, the least node it reaches, for every node of links (a, b)."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    while True:
+    while not edges.isEmpty():
         edges = stored(_star(stored(_star(edges, True)), False))
         # The same edges again: every component is a star about its least node.
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

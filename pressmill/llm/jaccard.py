@@ -260,6 +260,8 @@ class _Tree:
 def _links(pairs: DataFrame, docs: DataFrame, order) -> DataFrame:
     """The pairs (a, b) of classes that are similar."""
     pairs = stored(pairs)
+    if pairs.isEmpty():  # then no document needs to be read again
+        return pairs
     sets = stored(_ordered_sets(docs, order, pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b"))))
     # Partners are gathered with their sets, at most TREE_SETS in a row, however many a class has.
     partners = pairs.join(sets, F.col("b") == F.col("class")).select("a", F.struct("b", "members").alias("partner"))
@@ -294,6 +296,8 @@ def _family_links(placed: DataFrame, docs: DataFrame, order) -> DataFrame:
     blocks = lambda size: F.ceil(size / FAMILY_BLOCK).cast("int")
     families = families.select("family", F.col("main.component").alias("main"), blocks(F.col("members")).alias("n_blocks"), blocks(F.col("members") - F.col("main.size")).alias("n_asking"))
     members = stored(placed.select("family", "class", "component").join(families, "family"))
+    if members.isEmpty():
+        return members.select(F.col("class").alias("a"), F.col("class").alias("b"))
     rows = members.join(_ordered_sets(docs, order, members.select("class")), "class")
     own = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
