@@ -19,6 +19,19 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in language.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_every_part_of_a_long_text_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('en', 'fr')")
+    sizer = language._Sizer(language.fit(language.training_rows(docs)))
+    prose = {k: " ".join(r["text"] for r in docs.where(docs.lang == k).orderBy("doc_id").select("text").collect() if r["text"]) for k in ("en", "fr")}
+    text = {k: (v * (1 + 1_000_000 // len(v)))[:1_000_000] for k, v in prose.items()}
+    for first, main in (("fr", "en"), ("en", "fr")):
+        name, _, accepted = sizer.predict(text[first][:130_000] + " " + text[main])
+        assert (name, accepted) == (main, True)
+    for k, v in text.items():
+        name, score, accepted = sizer.predict(v)
+        assert (name, accepted) == (k, True) and score > 0.5 * sizer.predict(v[:30_000])[1]
+
+
 def test_quality(spark, odd):
     sf = "/root/testdata/sf0.01"
     got = quality.op2_quality_rules(spark, sf)
