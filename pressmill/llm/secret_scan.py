@@ -28,7 +28,8 @@ STRONG = (
 )
 WEAK = (
     ("id", r"""(?i:client_?id|access_?key_?id|account_?id|user_?name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""),
-    ("key", r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"),
+    # NAME=key, and a key before a full stop, count; parts of longer runs, and what follows or bears padding, don't.
+    ("key", r"(?<![A-Za-z0-9+/_.-]|==)[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-]|\.[A-Za-z0-9+/=_.-])"),
     ("url", r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?"),
 )
 KINDS = (*STRONG, *WEAK)
