@@ -1,8 +1,9 @@
 """Secret scans with multipart credential linking, in built-in expressions only.
 
 Three strong kinds are reported wherever they match. Weak parts (other identifiers, bare 40-character keys, endpoints)
-are reported only where parts that complete them stand near: within one document, the scope, the starts of the parts
-are joined by interval, as counts over a range of LINK_CHARS before and after each.
+are reported only where parts that complete them stand near: within one document, the scope, the parts are joined by
+interval where the gap from the end of one to the start of the other is at most LINK_CHARS, as maxima over a range of
+the points at which parts start and end.
 
 Positions are in code points, end exclusive. A text is split at the matches of a kind, so that a match starts at the
 sum of all pieces and matches before it; those sums are window sums over a document's matches.
@@ -79,18 +80,23 @@ def _matches(docs: DataFrame) -> DataFrame:
 def _reported(matches: DataFrame) -> DataFrame:
     """Without the weak parts that nothing near completes."""
     name = {k: i for i, (k, _) in enumerate(KINDS)}
-    near = Window.partitionBy("row_key").orderBy("start").rangeBetween(-LINK_CHARS, LINK_CHARS)
+    # Of the parts that start up to LINK_CHARS after the end of this one, one is near if the last end isn't too far before its start.
+    points = matches.select("*", F.posexplode(F.array("start", "end")).alias("_is_end", "_at"))
+    upto = Window.partitionBy("row_key").orderBy("_at").rangeBetween(Window.unboundedPreceding, LINK_CHARS)
     kind = F.col("kind")
-    identifiers = F.count_if(kind.isin(name["access"], name["id"])).over(near)
-    secrets = F.count_if(kind.isin(name["assign"], name["hex"], name["key"])).over(near)
-    linked = matches.withColumn("_ids", identifiers).withColumn("_secrets", secrets)
+
+    def last_end(*kinds: str) -> Column:
+        return F.max(F.when((F.col("_is_end") == 0) & kind.isin(*(name[k] for k in kinds)), F.col("end"))).over(upto)
+
+    linked = points.withColumn("_ids", last_end("access", "id")).withColumn("_secrets", last_end("assign", "hex", "key")).where("_is_end = 1")
+    near_id, near_secret = (F.coalesce(F.col(c) >= F.col("start") - LINK_CHARS, F.lit(False)) for c in ("_ids", "_secrets"))
     keep = (
         (kind < len(STRONG))
-        | ((kind == name["id"]) & (F.col("_secrets") > 0))
-        | ((kind == name["key"]) & (F.col("_ids") > 0))
-        | ((kind == name["url"]) & (F.col("_ids") > 0) & (F.col("_secrets") > 0))
+        | ((kind == name["id"]) & near_secret)
+        | ((kind == name["key"]) & near_id)
+        | ((kind == name["url"]) & near_id & near_secret)
     )
-    return linked.where(keep).drop("_ids", "_secrets")
+    return linked.where(keep).drop("_ids", "_secrets", "_is_end", "_at")
 
 
 def _listing(spans: Column) -> Column:

@@ -63,6 +63,27 @@ def test_keys_in_environment_form(spark):
     assert f"key:{at}:{at + 40}" in spans[0].split(",")
 
 
+def test_links_are_gaps_between_parts(spark):
+    long, name = "token=" + "aB3." * 100, "client_id=abcd1234"
+    texts = [
+        f"{long} {name}",
+        f"{name} {long}",
+        f"https://host.example {name} {long} https://host.example",
+        f"{KEY}{' ' * 240}{name}",
+        f"{KEY}{' ' * 241}{name}",
+        f"{name}{' ' * 240}{KEY}",
+        f"{name}{' ' * 241}{KEY}",
+        f"{long}{' ' * 240}{name}",
+        f"{long}{' ' * 241}{name}",
+        f"password={'x' * 300}{name}{' ' * 300}https://host.example",
+    ]
+    spans = check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kinds = {i: [x.split(":")[0] for x in s.split(",") if x] for i, s in spans.items()}
+    assert kinds[0] == ["assign", "id"] and kinds[1] == ["id", "assign"] and kinds[2] == ["url", "id", "assign"]
+    assert kinds[3] == ["key", "id"] and kinds[4] == [] and kinds[5] == ["id", "key"] and kinds[6] == []
+    assert kinds[7] == ["assign", "id"] and kinds[8] == ["assign"] and kinds[9] == ["assign", "id"]
+
+
 def test_redaction(spark, odd, sf):
     texts = ["keep token = abcdefgh12 tail", "clean text", None, f"x {'a' * 40}y secret: {'b' * 40} z", "token = abcdefgh12", "token = abcdefgh12"]
     docs = spark.createDataFrame([(min(i, 4), t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
