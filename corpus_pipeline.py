@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return the columns of documents; the last adds the columns that say where and how often a document is taken.
+
+Stages decide on rows, not on ids: a row is known by the file and place that it is read from, so rows with one id, or
+with none, each have a decision of their own. Empty tables pass every stage as empty tables, and extra columns go through
+all of them.
 """
 
 from __future__ import annotations
@@ -10,34 +14,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.llm import decontaminate, jaccard, language, mixture, secret_scan
-from pressmill.llm.common import stored, table, without
+from pressmill.llm.common import ROW_KEY, keyed, stored, table, without
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go: no letters, or two languages that compress them alike."""
+    """Documents whose language is rejected go: no letters, or two languages that compress them alike.
+
+    Null and empty texts have no letters and go. Every part of a long text counts. Repeated rows are decided alike.
+    """
     model = language.fit(language.training_rows(docs))
     return language.accepted_only(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays."""
-    groups = jaccard.join(docs)
-    return without(docs, stored(groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()))
+    """Of each group of similar documents one row stays: that with the smallest id, rows without an id last.
+
+    Of rows with one id the first in file order stays. Null and empty texts are like nothing, and all stay.
+    """
+    rows = keyed(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW_KEY)
+    groups = jaccard.join(rows.select(place.alias("doc_id"), "text"))
+    return without(rows, groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id.*"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or an edited copy of one, go."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, stored(leaks.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()))
+    """Documents that hold a benchmark item, or an edited copy of one, go.
+
+    Null and empty texts hold nothing and stay. Of rows with one id, or with none, those go whose own text leaks.
+    """
+    rows = keyed(docs)
+    leaks = decontaminate.find_leaks(rows.select(F.struct(*ROW_KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, leaks.select("doc_id.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay; the secrets in their texts are replaced, and n_chars follows the text."""
+    """Documents stay; the secrets in their texts are replaced, and n_chars follows the text (null texts: null).
+
+    Repeated rows are redacted each; a null id is no hindrance.
+    """
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the target mixture, once for each epoch that takes them."""
+    """The documents of the target mixture, once for each epoch that takes them.
+
+    Null texts have one token; null languages and sources are a leaf of their own; rows with one id are taken together.
+    """
     return mixture.select(docs)
 
 

@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import few_tasks, stored, table
 
 LEVELS = ("domain", "language", "source_name")
 ADDED = ("domain", "language", "source_name", "n_tokens", "epoch")
@@ -101,7 +101,7 @@ def select(docs: DataFrame, target: Target = TARGET) -> DataFrame:
     """The rows of docs, once for each epoch that takes them, with the columns in ADDED."""
     names = [F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("source_name")]
     light = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), *names, tokens_of(F.col("text")).alias("n_tokens"))
-    leaves = stored(light.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("available"), F.count("*").alias("n_docs")))
+    leaves = stored(light.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("available"), F.count("*").alias("n_docs")), few_tasks(docs.sparkSession))
     given = budgets(leaves, target).join(leaves.select(*LEVELS, "n_docs"), list(LEVELS))
     whole = F.floor(F.col("given") / F.col("available"))
     given = stored(
@@ -111,7 +111,8 @@ def select(docs: DataFrame, target: Target = TARGET) -> DataFrame:
             F.floor(F.col("given") - whole * F.col("available")).cast("long").alias("rest"),
             # As many ranges as documents in a range.
             F.ceil(F.sqrt("n_docs")).cast("long").alias("ranges"),
-        )
+        ),
+        few_tasks(docs.sparkSession),
     )
     hint = F.broadcast if given.count() <= BROADCAST_LEAVES else (lambda df: df)
     at = place(target.seed, F.col("whole_epochs"), F.col("doc_id"))
@@ -126,7 +127,7 @@ def select(docs: DataFrame, target: Target = TARGET) -> DataFrame:
     inside = placed.join(hint(split), [*LEVELS, "range"]).groupBy(*LEVELS, "range", "at").agg(F.sum("n_tokens").alias("n"), F.first("left_over").alias("left_over"))
     in_order = Window.partitionBy(*LEVELS, "range").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = inside.withColumn("upto", F.sum("n").over(in_order)).where("upto > left_over").groupBy(*LEVELS).agg(F.min("at").alias("cut"))
-    cuts = stored(given.drop("rest", "ranges").join(last, list(LEVELS), "left").join(given.where("rest > 0").select(*LEVELS, F.lit(True).alias("partial")), list(LEVELS), "left"))
+    cuts = stored(given.drop("rest", "ranges").join(last, list(LEVELS), "left").join(given.where("rest > 0").select(*LEVELS, F.lit(True).alias("partial")), list(LEVELS), "left"), few_tasks(docs.sparkSession))
     kept = [c for c in docs.columns if c not in ADDED]
     wide = docs.select(*kept, domain_of(F.col("source")).alias("domain"), *names, tokens_of(F.col("text")).alias("n_tokens"))
     wide = wide.join(hint(cuts), list(LEVELS))
