@@ -2,8 +2,9 @@
 
 Documents with the same set are one class, named by a hash of the set. All sets are put in one global order, frequent
 shingles last. By the prefix bound, two sets that are similar enough share a shingle among the first
-n - ceil(0.75 n) + 1 of each, so only these prefixes are dealt out, by shingle. Texts are read three times: for classes and
-frequent shingles, for prefixes, and for the sets of those classes that share a prefix shingle, which are stored in order.
+n - ceil(0.75 n) + 1 of each, so only these prefixes are dealt out, by shingle. Texts are read for classes and frequent
+shingles, for prefixes, and for the sets of the classes that are compared, with hubs and then with others; these sets are
+stored in order.
 
 1. Where classes meet in a prefix shingle, the one whose prefix is most frequent is the shingle's hub. Members are joined
    with the hubs that they meet often, and the links found give first components: large groups of near copies mostly close
@@ -280,14 +281,25 @@ class _Tree:
 
 
 class _Join:
-    """What the steps of one join share: stored tables, and the ordered sets of the classes that are compared."""
+    """What the steps of one join share: stored tables, the documents and the order of their sets."""
 
-    def __init__(self, steps: Steps, sets: DataFrame, tasks: int):
-        self.steps, self.sets, self.tasks = steps, sets, tasks
+    def __init__(self, steps: Steps, docs: DataFrame, order, tasks: int):
+        self.steps, self.docs, self.order, self.tasks = steps, docs, order, tasks
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b; n and m are their sizes) of classes that are similar, as a stored table of a and b."""
-        pairs, found = self.steps.store(pairs, self.tasks, rows=F.count(F.lit(1)), bytes=F.sum((F.col("n") + F.col("m")) * 8))
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """class and members, its ordered set, of each of classes (class, n), as a stored table."""
+        wanted, found = self.steps.store(classes.groupBy("class").agg(F.first("n").alias("n")), self.tasks, rows=F.count(F.lit(1)), shingles=F.sum("n"))
+        if not found["rows"]:  # then no text needs to be read
+            return wanted.select("class", F.lit(None).cast("binary").alias("members"))
+        sets = _ordered_sets(self.docs, self.order).join(small(wanted.select("class"), found["rows"]), "class", "left_semi")
+        return self.steps.store(sets.dropDuplicates(["class"]), 12 + found["shingles"] * 8 // BLOCK_BYTES)[0]
+
+    def pairs(self, pairs: DataFrame) -> tuple[DataFrame, dict]:
+        """pairs (a, b; n and m are their sizes), stored, with their number and the bytes of their sets."""
+        return self.steps.store(pairs, self.tasks, rows=F.count(F.lit(1)), bytes=F.sum((F.col("n") + F.col("m")) * 8))
+
+    def links(self, pairs: DataFrame, found: dict, sets: DataFrame) -> DataFrame:
+        """The pairs, as pairs() gives them, of classes that are similar, as a stored table of a and b."""
         if not found["rows"]:
             return pairs.select("a", "b")
         side = math.ceil(max(found["bytes"] / BLOCK_BYTES, found["rows"] / BLOCK_PAIRS) ** 0.5)
@@ -295,7 +307,7 @@ class _Join:
         roles = F.array(F.struct(F.col("a").alias("class"), F.col("b").alias("partner")), F.struct(F.col("b").alias("class"), F.lit(None).cast("long").alias("partner")))
         placed = pairs.select(block.alias("block"), F.explode(roles).alias("x")).groupBy("block", "x.class")
         placed = placed.agg(F.collect_list("x.partner").alias("partners"), F.bool_or(F.col("x.partner").isNull()).alias("asked"))
-        rows = placed.join(self.sets, "class")
+        rows = placed.join(sets, "class")
 
         def run(group: pa.Table) -> pa.Table:
             tree, numbers, probes = _Tree(), {}, {}
@@ -313,11 +325,8 @@ class _Join:
 
         return self.steps.store(rows.groupBy("block").applyInArrow(run, "a long, b long"), max(12, side * side))[0]
 
-    def family_links(self, members: DataFrame) -> DataFrame | None:
-        """Components (a, b) of one family that are linked: those outside its main component against all of it.
-
-        Both sides come in blocks, so a task holds two blocks however large a family is.
-        """
+    def families(self, members: DataFrame) -> tuple[DataFrame, dict]:
+        """The members of families that have classes outside their main component, and the number of blocks to compare."""
         counted = members.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
         families = (
             counted.groupBy("family")
@@ -330,10 +339,16 @@ class _Join:
             blocks(F.col("size") - F.col("main.size"), F.col("shingles") - F.col("main.shingles")).alias("n_asking"),
         )
         families, found = self.steps.store(families, self.tasks, n=F.count(F.lit(1)), cells=F.sum(F.col("n_blocks") * F.col("n_asking")))
+        return members.join(small(families, found["n"]), "family"), found
+
+    def family_links(self, members: DataFrame, found: dict, sets: DataFrame) -> DataFrame:
+        """Components (a, b) of one family that are linked: those outside its main component against all of it.
+
+        Both sides come in blocks, so a task holds two blocks however large a family is.
+        """
         if not found["n"]:
-            return None
-        members = members.select("family", "class", "component").join(small(families, found["n"]), "family")
-        rows = members.join(self.sets, "class")
+            return members.select(F.col("component").alias("a"), F.col("component").alias("b"))
+        rows = members.drop("n").join(sets, "class")
         own = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), n).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         asked = rows.select("family", own(F.col("n_blocks"), 1).alias("block"), every(F.col("n_asking")).alias("asking"), F.lit(False).alias("asks"), "component", "members")
@@ -394,19 +409,17 @@ def join(docs: DataFrame) -> DataFrame:
     shared, found = steps.store(_shared_prefixes(docs, order, n_buckets), n_buckets, n=F.count(F.lit(1)))
     # No later table has more rows than this, but for pairs that step 3 counts.
     tasks = tasks_for(found["n"])
-    classes, found = steps.store(shared.groupBy("class").agg(F.first("n").alias("n")), tasks, n=F.count(F.lit(1)), shingles=F.sum("n"))
-    sets, _ = steps.store(_ordered_sets(docs, order).join(small(classes.select("class"), found["n"]), "class", "left_semi").dropDuplicates(["class"]), 12 + (found["shingles"] or 0) * 8 // BLOCK_BYTES)
-    made = _Join(steps, sets, tasks)
+    made = _Join(steps, docs, order, tasks)
     behind = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) - 1
-    to_hub, _ = steps.store(
+    to_hub, found = made.pairs(
         shared.where((F.col("class") != F.col("hub")) & (F.least("n", "hub_n") * DENOMINATOR >= F.greatest("n", "hub_n") * NUMERATOR))
         .groupBy(F.col("hub").alias("a"), F.col("class").alias("b"))
         .agg(F.count("*").alias("times"), F.first("hub_n").alias("n"), F.first("n").alias("m"), F.first(F.col("n") - behind).alias("p"))
         # A pair seldom met is left to the next steps.
-        .where(F.col("times") * 4 >= F.col("p")),
-        tasks,
+        .where(F.col("times") * 4 >= F.col("p"))
     )
-    first_links = made.links(to_hub.select("a", "b", "n", "m"))
+    sides = lambda pairs: pairs.select(F.explode(F.array(F.struct(F.col("a").alias("class"), "n"), F.struct(F.col("b").alias("class"), F.col("m").alias("n")))).alias("x")).select("x.*")
+    first_links = made.links(to_hub, found, made.sets(sides(to_hub)))
 
     def top(hubs: DataFrame, name: str) -> DataFrame:
         """class and the hub that it meets most (rows of a and b), or the one that this hub meets most."""
@@ -415,14 +428,16 @@ def join(docs: DataFrame) -> DataFrame:
         return best.join(above, "hub", "left").select("class", F.coalesce("above", "hub").alias(name))
 
     # A class's family follows the hubs that it meets, its first component those that it is linked with.
-    members = classes.join(top(to_hub, "family"), "class", "left").join(top(to_hub.join(first_links, ["a", "b"]), "component"), "class", "left")
+    members = shared.groupBy("class").agg(F.first("n").alias("n")).join(top(to_hub, "family"), "class", "left").join(top(to_hub.join(first_links, ["a", "b"]), "component"), "class", "left")
     members, _ = steps.store(members.select("class", "n", F.coalesce("family", "class").alias("family"), F.coalesce("component", "class").alias("component")), tasks)
-    links = first_links.unionAll(made.links(_crossing(shared, members)))
+    crossing, n_crossing = made.pairs(_crossing(shared, members))
+    of_families, n_families = made.families(members)
+    sets = made.sets(sides(crossing).unionByName(of_families.select("class", "n")))
+    links = first_links.unionAll(made.links(crossing, n_crossing, sets))
     for side in ("a", "b"):
         links = links.join(members.select(F.col("class").alias(side), F.col("component").alias(f"of_{side}")), side)
     links = links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    of_families = made.family_links(members)
-    groups = components(links if of_families is None else links.unionAll(of_families), steps, tasks).select(F.col("node").alias("first"), F.col("component").alias("last"))
+    groups = components(links.unionAll(made.family_links(of_families, n_families, sets)), steps, tasks).select(F.col("node").alias("first"), F.col("component").alias("last"))
     groups = members.select("class", F.col("component").alias("first")).join(groups, "first", "left").select("class", F.coalesce("last", "first").alias("component"))
     # From classes back to documents: the smallest id of each component, through the classes' smallest ids.
     smallest = of_docs.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("own"))
