@@ -1,8 +1,9 @@
 """The run: feeds to articles, links and messages, as one plan.
 
 Everything up to the normalised entries is one DataFrame. It is written once to a staging folder, and all results are
-taken from there, so pages are never fetched or extracted again. Messages go to an outbox table that is written with the
-articles and published afterwards: a crash between the two publishes late, and never loses a message.
+taken from there, so pages are never fetched or extracted again. The messages of new articles are added to an outbox table
+before the articles are stored, and leave it only when they have been published: a stop at any point publishes late, or
+twice, and never loses a message. What is in the outbox without an article waits for the article.
 """
 
 from __future__ import annotations
@@ -34,19 +35,43 @@ def entries_to_articles(payloads: DataFrame, publishers: DataFrame, pages: DataF
     return A.normalise(A.extract(A.resolve(rss.parse(payloads), publishers), pages, primary))
 
 
-def fold(staged: DataFrame, stored_articles: DataFrame, stored_links: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """The new articles, links and messages that a staged stream makes of the stored tables."""
+def incoming(staged: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The last sighting of each article of a staged stream, and the links that it makes."""
     good = staged.where("failure is null")
     columns = ("article_key", *M.UPDATED)
     last = M.last_per_key(good.select(*columns, "feed_ord", "entry_ord"), ["article_key"], stream_order()).select(*columns)
-    links = good.select("article_key", "feed_id", now.alias("first_seen_at"))
+    return last, good.select("article_key", "feed_id", now.alias("first_seen_at"))
+
+
+def fold(staged: DataFrame, stored_articles: DataFrame, stored_links: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """The new articles, links and messages that a staged stream makes of the stored tables."""
+    last, links = incoming(staged, now)
     return {
         "articles": M.upsert_articles(stored_articles, last, now),
         "article_feeds": M.add_links(stored_links, links),
-        "messages": M.messages(M.new_keys(good, stored_articles)),
+        "messages": M.messages(M.new_keys(last, stored_articles)),
     }
 
 
+def commit(store: SnapshotStore, staged: DataFrame, now: Column) -> None:
+    """Store what a staged stream makes of the store's tables; only buckets that its keys fall in are read and rewritten."""
+    last, links = incoming(staged, now)
+    known = store.read("articles", store.touched("articles", last))
+    waiting = store.read("outbox")
+    # The outbox goes first: what is stored as an article always has its message.
+    store.write("outbox", waiting.unionByName(M.messages(M.new_keys(M.new_keys(last, known), waiting))))
+    store.merge("article_feeds", links, lambda rows: M.add_links(rows, links))
+    store.merge("articles", last, lambda rows: M.upsert_articles(rows, last, now))
+
+
+def publish_waiting(store: SnapshotStore, sink: QueueSink) -> None:
+    """Publish the messages of stored articles, and take them out of the outbox when that is done."""
+    waiting = store.read("outbox")
+    known = store.read("articles", store.touched("articles", waiting)).select("article_key")
+    sink.publish(waiting.join(known, "article_key", "left_semi").select(waiting.columns))
+    store.write("outbox", waiting.join(known, "article_key", "left_anti").select(waiting.columns))
+
+
 def counters(staged: DataFrame, feeds_processed: int, stored_articles: DataFrame) -> DataFrame:
     """One row of counters. Entries are discovered or failed; discovered ones are inserted or updated."""
     inserted = M.new_keys(staged.where("failure is null"), stored_articles).agg(F.count("*").alias("articles_inserted"))
@@ -67,13 +92,9 @@ def ingest(spark: SparkSession, store: SnapshotStore, payloads: DataFrame, publi
     path = f"{store.root}/staging/{uuid.uuid4().hex}"
     entries_to_articles(payloads, publishers, pages, primary).write.parquet(path)
     staged = spark.read.parquet(path)
-    old = store.read("articles")
-    stats = counters(staged, feeds_processed, old).first().asDict()
-    out = fold(staged, old, store.read("article_feeds"), now)
-    # The outbox goes first: what is stored as an article always has its message.
-    store.write("outbox", out["messages"])
-    store.write("article_feeds", out["article_feeds"])
-    store.write("articles", out["articles"])
+    known = store.read("articles", store.touched("articles", staged.where("failure is null")))
+    stats = counters(staged, feeds_processed, known).first().asDict()
+    commit(store, staged, now)
     if sink is not None:
-        sink.publish(store.read("outbox"))
+        publish_waiting(store, sink)
     return {k: int(stats[k]) for k in COUNTERS}

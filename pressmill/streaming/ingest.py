@@ -12,23 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.ingest import fold
+from ..plans.ingest import commit, publish_waiting
 from ..plans.sinks import QueueSink
 from ..plans.store import SnapshotStore
 
 
 def fold_batch(store: SnapshotStore, sink: QueueSink | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function. A batch that is run again finds its keys stored, and publishes nothing twice."""
+    """A foreachBatch function. A batch that is run again finds its keys stored and publishes what is still waiting."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            out = fold(batch, store.read("articles"), store.read("article_feeds"), F.current_timestamp())
-            store.write("outbox", out["messages"])
-            store.write("article_feeds", out["article_feeds"])
-            store.write("articles", out["articles"])
+            commit(store, batch, F.current_timestamp())
             if sink is not None:
-                sink.publish(store.read("outbox"))
+                publish_waiting(store, sink)
         finally:
             batch.unpersist()
 
