@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from html.parser import HTMLParser
 
@@ -115,11 +116,54 @@ def paragraphs_of(source: str) -> dict | None:
     return {"title": page.text(page.title) if page.title else None, "authors": [], "published_at": None, "content": content, "top_image": page.image}
 
 
+#: What pages say about themselves in meta elements, the first that is there.
+META_TITLE = ("og:title", "twitter:title")
+META_AUTHOR = ("author", "article:author", "parsely-author")
+META_TIME = ("article:published_time", "datepublished", "date", "parsely-pub-date")
+
+
+class _Meta(HTMLParser):
+    """The contents of meta elements by name, property or itemprop, in order."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: dict[str, list[str]] = {}
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "meta":
+            a = {k: v or "" for k, v in attrs}
+            for key in ("name", "property", "itemprop"):
+                if a.get(key) and a.get("content", "").strip():
+                    self.found.setdefault(a[key].lower(), []).append(a["content"].strip())
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+
+def self_described(url: str, source: str) -> dict | None:
+    """A primary extractor: the paragraphs of the article container, with the title, authors and time that the page's meta
+    elements name. Addresses are no authors; times without a zone are UTC, and what is no time is left out."""
+    found = paragraphs_of(source)
+    if found is None:
+        return None
+    page = _Meta()
+    page.feed(source)
+    page.close()
+    first = lambda names: next((page.found[n] for n in names if n in page.found), [])
+    authors = [x.strip() for text in first(META_AUTHOR) for x in re.split(r"\s*(?:,|;|\band\b)\s*", text)]
+    time = pd.to_datetime(next(iter(first(META_TIME)), None), utc=True, errors="coerce")
+    return found | {
+        "title": next(iter(first(META_TITLE)), found["title"]),
+        "authors": list(dict.fromkeys(x for x in authors if x and "://" not in x)),
+        "published_at": None if time is None or pd.isna(time) else time,
+    }
+
+
 def extraction(primary: Callable[[str, str], dict | None] | None = None) -> Callable[..., Column]:
     """A function of columns (url, html, http_status, fetch_error) that gives the extraction record.
 
     primary is tried first where given: a heuristic extractor of the caller's (url, html) -> record or None, which may
-    also find authors and a time. The built-in one reads the paragraphs of the article container. It runs once a row:
+    also find authors and a time (self_described is one). The built-in one reads the paragraphs of the article container. It runs once a row:
     being declared nondeterministic, it is not repeated when a field of its result is filtered on.
     """
 

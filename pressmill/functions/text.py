@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Python's str methods and \s have it; Java's \s misses many of these.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
@@ -45,3 +47,19 @@ def feed_time(text: Column) -> Column:
 def as_utc(time: Column) -> Column:
     """An instant; times without a zone are read in the session's zone, which the engine pins to UTC."""
     return time.cast("timestamp")
+
+
+def bytes_as_text(content: Column, declared: Column) -> Column:
+    """Text of bytes in a declared encoding: Latin-1 and its kin, or else UTF-8; what isn't text is replaced."""
+    name = F.lower(F.coalesce(declared, F.lit("")))
+    latin = name.isin("iso-8859-1", "latin-1", "latin1", "windows-1252", "cp1252", "iso-8859-15", "us-ascii")
+    return F.when(latin, F.decode(content, "ISO-8859-1")).otherwise(F.make_valid_utf8(content.cast("string")))
+
+
+def utf16_as_text(content: Column) -> Column:
+    """Text of bytes in UTF-16, by their mark or else the smaller byte first; Spark's own decoding fails where they aren't."""
+
+    def run(found: pd.Series) -> pd.Series:
+        return found.map(lambda b: None if b is None else bytes(b).decode("utf-16", "replace"))
+
+    return F.pandas_udf(run, T.StringType())(content)

@@ -98,6 +98,19 @@ def decoding_parameters(page: Column) -> Column:
     return F.when(signature.isNotNull() & timestamp.isNotNull(), F.struct(signature.alias("signature"), timestamp.alias("timestamp")))
 
 
+#: The address that decodes wrapper links, and the name of the call.
+DECODER = "https://news.google.com/_/DotsSplashUi/data/batchexecute"
+DECODER_CALL = "Fbv4je"
+
+
+def decoding_request(token: Column, signature: Column, timestamp: Column) -> Column:
+    """The form field that asks for a wrapper's address: JSON in JSON, as the decoder takes it; null if a part is missing."""
+    call = F.array(F.to_json(F.array(F.lit(DECODER_CALL), F.to_json(F.array(F.array(token, signature, timestamp))))))
+    # What follows the arguments is a null and a word, which an array of strings can't hold.
+    inner = F.regexp_replace(F.element_at(call, 1), r"\]$", ',null,"generic"]')
+    return F.when(token.isNotNull() & signature.isNotNull() & timestamp.isNotNull(), F.concat(F.lit("["), inner, F.lit("]")))
+
+
 def feed_url(base: Column, query: Column, language: Column, country: Column, edition: Column) -> Column:
     """The address of a feed for a search query."""
     values = (("q", query), ("hl", language), ("gl", country), ("ceid", edition))

@@ -22,7 +22,8 @@ ARTICLES = _struct(
 ARTICLE_FEEDS = _struct(("article_key", S, False), ("feed_id", S, False), ("first_seen_at", TS, True))
 MESSAGES = _struct(("article_key", S, False), ("message", S, False))
 
-#: RSS 2.0 and Atom, as much of them as an entry needs.
+#: RSS 2.0 and 1.0 and Atom, as much of them as an entry needs.
 RSS = "struct<item: array<struct<title: string, pubDate: string, link: string, source: struct<_VALUE: string, _url: string>>>>"
 ATOM_ENTRY = "array<struct<title: string, published: string, updated: string, link: array<struct<_href: string, _rel: string>>, source: struct<title: string>>>"
-FEED_XML = f"channel {RSS}, entry {ATOM_ENTRY}"
+RDF_ITEM = "array<struct<title: string, pubDate: string, `dc:date`: string, link: string, `dc:source`: string>>"
+FEED_XML = f"channel {RSS}, entry {ATOM_ENTRY}, item {RDF_ITEM}"

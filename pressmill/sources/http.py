@@ -1,8 +1,8 @@
-"""A batch source that fetches addresses over HTTP.
+"""Fetching over HTTP: as a batch source for a few addresses, and as a plan over a table of requests.
 
-``spark.dataSource.register(HttpSource)``, then ``spark.read.format("fetch").option("urls", json_list).load()``. Each
-address is a partition of its own, unless a delay is asked for: a delay between requests is a limit for the whole run, so
-then one partition fetches all of them in turn. Errors are rows, not failures.
+``spark.dataSource.register(HttpSource)``, then ``spark.read.format("fetch").option("urls", json_list).load()``: each
+address is a partition of its own, unless a delay is asked for. ``fetched`` takes the requests as rows, however many, and
+spreads them over tasks. Errors are rows, not failures.
 """
 
 from __future__ import annotations
@@ -11,11 +11,29 @@ import json
 import time
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: What the requests say they are and take.
-AGENT = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/131.0.0.0 Safari/537.36"
-FEED_ACCEPT = "application/rss+xml, application/xml;q=0.9, text/xml;q=0.8, */*;q=0.7"
+#: What the requests say they are and take.
+AGENT = "pressmill/1.0 (feed reader)"
+FEED_HEADERS = {"User-Agent": AGENT, "Accept": "application/rss+xml, application/atom+xml, application/xml;q=0.9, */*;q=0.5"}
+ARTICLE_HEADERS = {"User-Agent": AGENT, "Accept": "text/html, application/xhtml+xml;q=0.9, */*;q=0.5", "Accept-Language": "en-IN, en;q=0.8"}
+RESULT = "url string, content binary, http_status int, fetch_error string"
+
+
+def request(session, url: str, form: dict | None, timeout: float) -> tuple:
+    """One row of RESULT: a GET, or a POST of a form. A status that is no success is an error, and has no content."""
+    import requests
+
+    try:
+        got = session.get(url, timeout=timeout, allow_redirects=True) if form is None else session.post(url, data=form, timeout=timeout)
+    except (requests.RequestException, ValueError) as e:
+        return url, None, None, str(e)
+    if not got.ok:
+        return url, None, got.status_code, f"HTTP {got.status_code} for url: {url}"
+    return url, got.content, got.status_code, None
 
 
 class HttpSource(DataSource):
@@ -24,7 +42,7 @@ class HttpSource(DataSource):
         return "fetch"
 
     def schema(self) -> str:
-        return "url string, content binary, http_status int, fetch_error string"
+        return RESULT
 
     def reader(self, schema) -> DataSourceReader:
         return HttpReader(self.options)
@@ -36,18 +54,37 @@ class HttpReader(DataSourceReader):
         self.timeout, self.delay = float(options.get("timeout", 15)), float(options.get("delay", 0))
 
     def partitions(self) -> list[InputPartition]:
+        # A delay between requests is a limit for the whole run, so then one partition fetches all of them in turn.
         return [InputPartition(self.urls)] if self.delay > 0 else [InputPartition([u]) for u in self.urls]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         import requests
 
         with requests.Session() as session:
-            session.headers.update({"User-Agent": AGENT, "Accept": FEED_ACCEPT})
+            session.headers.update(FEED_HEADERS)
             for url in partition.value:
                 if self.delay > 0:
                     time.sleep(self.delay)
-                try:
-                    got = session.get(url, timeout=self.timeout, allow_redirects=True)
-                    yield url, got.content, got.status_code, None
-                except requests.RequestException as e:
-                    yield url, None, None, str(e)
+                yield request(session, url, None, self.timeout)
+
+
+def fetched(requests_: DataFrame, headers: dict[str, str] = ARTICLE_HEADERS, timeout: float = 20, tasks: int = 32) -> DataFrame:
+    """A row of RESULT, with the request's key, for each row of url, key and form (a map for a POST, or null).
+
+    A missing column is null. Requests are spread over tasks by address and key.
+    """
+    types = {"url": "string", "key": "string", "form": "map<string,string>"}
+    wanted = requests_.select(*(F.col(c).cast(t) if c in requests_.columns else F.lit(None).cast(t).alias(c) for c, t in types.items())).where("url is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import requests
+
+        with requests.Session() as session:
+            session.headers.update(headers)
+            for batch in batches:
+                for url, key, form in zip(*(batch.column(c).to_pylist() for c in types), strict=True):
+                    row = (*request(session, url, None if form is None else dict(form), timeout), key)
+                    kinds = (pa.string(), pa.binary(), pa.int32(), pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["url", "content", "http_status", "fetch_error", "key"])
+
+    return wanted.repartition(tasks, "url", "key").mapInArrow(run, f"{RESULT}, key string")

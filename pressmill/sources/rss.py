@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_or_null
+from ..functions.text import bytes_as_text, strip_or_null, utf16_as_text
 from ..schemas import FEED_XML
 
 
 def _read(payloads: DataFrame) -> DataFrame:
     """payloads: feed_id, feed_ord and content (bytes). Adds the parsed document; null fields where it is malformed."""
-    text = F.decode("content", "UTF-8")
+    declared = F.nullif(F.regexp_extract(F.make_valid_utf8(F.substring("content", 1, 200).cast("string")), r"""<\?xml[^>]*encoding=["']([A-Za-z0-9_-]+)""", 1), F.lit(""))
+    wide = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    text = F.coalesce(utf16_as_text(F.when(wide, F.col("content"))), bytes_as_text(F.col("content"), declared))
+    # A byte order mark is no part of the document.
+    text = F.regexp_replace(text, r"^\ufeff", "")
     return payloads.withColumn("_feed", F.from_xml(text, FEED_XML, {"mode": "PERMISSIVE", "rowTag": "rss"}))
 
 
 def parse(payloads: DataFrame) -> DataFrame:
-    """One row for each entry, in document order: RSS items, or Atom entries. Titles, dates, links and sources are
+    """One row for each entry, in document order: items of RSS 2.0 or 1.0, or Atom entries. Titles, dates, links and sources are
     stripped, and null if blank. Empty channels and malformed payloads have no rows."""
     atom = F.transform(
         "_feed.entry",
@@ -27,9 +31,13 @@ def parse(payloads: DataFrame) -> DataFrame:
             F.struct(e["source"]["title"].alias("_VALUE"), F.lit(None).cast("string").alias("_url")).alias("source"),
         ),
     )
+    rdf = F.transform(
+        "_feed.item",
+        lambda e: F.struct(e["title"].alias("title"), F.coalesce(e["pubDate"], e["dc:date"]).alias("pubDate"), e["link"].alias("link"), F.struct(e["dc:source"].alias("_VALUE"), F.lit(None).cast("string").alias("_url")).alias("source")),
+    )
     return (
         _read(payloads)
-        .select("feed_id", "feed_ord", F.posexplode(F.coalesce("_feed.channel.item", atom)).alias("entry_ord", "e"))
+        .select("feed_id", "feed_ord", F.posexplode(F.coalesce("_feed.channel.item", rdf, atom)).alias("entry_ord", "e"))
         .select(
             "feed_id",
             "feed_ord",
@@ -44,4 +52,4 @@ def parse(payloads: DataFrame) -> DataFrame:
 
 def quarantined(payloads: DataFrame) -> DataFrame:
     """The payloads that are no feed at all, so that they can be counted and kept."""
-    return _read(payloads).where(F.col("_feed.channel").isNull() & F.col("_feed.entry").isNull()).drop("_feed")
+    return _read(payloads).where(F.col("_feed.channel").isNull() & F.col("_feed.entry").isNull() & F.col("_feed.item").isNull()).drop("_feed")
