@@ -94,14 +94,30 @@ def content_hash(spark, sf_dir):
     return rows.groupBy("content_hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published_at FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 6 = 5 THEN NULL ELSE strftime(CASE WHEN event_id % 6 = 3 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') END AS published_at FROM events")
 def published_time(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
+    ts, form = F.col("ts"), F.col("event_id") % 6
     # Weekdays are wrong on purpose: they must not matter.
-    said = F.concat(F.lit("Fri, "), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    said = (
+        F.when(form == 0, F.concat(F.lit("Fri, "), F.date_format(ts, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+        .when(form == 1, F.concat(F.date_format(ts + F.expr("INTERVAL '05:30' HOUR TO MINUTE"), "d MMM yyyy HH:mm:ss"), F.lit(" +0530")))
+        .when(form == 2, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+        .when(form == 3, F.concat(F.lit(" Monday, "), F.date_format(ts, "dd MMM yyyy HH:mm"), F.lit(" UT ")))
+        .when(form == 4, F.concat(F.date_format(ts - F.expr("INTERVAL '08:00' HOUR TO MINUTE"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-08:00")))
+        .otherwise("some time ago")
+    )
     return events.select("event_id", F.date_format(X.feed_time(said), "yyyy-MM-dd HH:mm:ss").alias("published_at"))
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS naive, strftime(ts - CASE WHEN event_id % 2 = 0 THEN INTERVAL 330 MINUTE ELSE INTERVAL 0 MINUTE END, '%Y-%m-%d %H:%M:%S') AS aware FROM events")
+def datetime_normalize(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    local = events["ts"].cast("timestamp_ntz")
+    zoned = F.when(F.col("event_id") % 2 == 0, F.convert_timezone(F.lit("Asia/Kolkata"), F.lit("UTC"), local)).otherwise(local)
+    return events.select("event_id", *(F.date_format(X.as_utc(c), "yyyy-MM-dd HH:mm:ss").alias(name) for name, c in (("naive", local), ("aware", zoned))))
+
+
 def _links(pages: DataFrame) -> DataFrame:
     """Even pages are reached through a wrapper."""
     return pages.select("page_id", "url", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://news.google.com/rss/articles/T"), F.col("page_id"), F.lit("?oc=5"))).otherwise(F.col("url")).alias("link"))
@@ -137,14 +153,14 @@ def decoding_parameters(spark, sf_dir):
     return found.select("page_id", "p.signature", "p.timestamp")
 
 
-@query("SELECT doc_id, 'https://news.google.com/rss/search?q=' || replace(url_encode(substr(text, 1, 40)), '%20', '+') || '&hl=en-IN&gl=IN&ceid=IN%3Aen' AS feed_url FROM documents")
+@query("SELECT doc_id, 'https://news.google.com/rss/search?q=' || replace(url_encode(text), '%20', '+') || '&hl=en-IN&gl=IN&ceid=IN%3Aen' AS feed_url FROM documents")
 def rss_build_url(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("query"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("query"))
     return feed_source.with_url(docs, feed_source.Settings()).select("doc_id", "feed_url")
 
 
 @query(f"""
-  SELECT 'feed' || doc_id AS feed_id, n AS entry_ord, nullif(trim(regexp_replace(substr(text, 1 + 30 * n, 30), '^{SPACES}|{SPACES}$', '', 'g')), '') AS rss_title,
+  SELECT 'feed' || doc_id AS feed_id, n AS entry_ord, nullif(regexp_replace(CASE WHEN n = 0 THEN text ELSE lang END, '^{SPACES}|{SPACES}$', '', 'g'), '') AS rss_title,
     CASE WHEN n = 0 THEN 'Fri, 05 Sep 2026 10:00:00 GMT' END AS rss_published, CASE WHEN n = 0 THEN source END AS rss_source, 'https://a.example/' || doc_id || '/' || n AS wrapper_link
   FROM documents, (VALUES (0), (1)) AS v(n)""")
 def rss_parse(spark, sf_dir):
@@ -153,7 +169,7 @@ def rss_parse(spark, sf_dir):
 
     def item(n: int):
         more = F.concat(F.lit("<pubDate>Fri, 05 Sep 2026 10:00:00 GMT</pubDate><source url='http://s.example'> "), escaped(F.col("source")), F.lit("\n</source>")) if n == 0 else F.lit("")
-        title = F.concat(F.lit("<title>"), escaped(F.substring("text", 1 + 30 * n, 30)), F.lit("</title>"))
+        title = F.concat(F.lit("<title>"), escaped(F.col("lang" if n else "text")), F.lit("</title>"))
         return F.concat(F.lit("<item>"), title, F.lit("<link>https://a.example/"), F.col("doc_id").cast("string"), F.lit(f"/{n}</link>"), more, F.lit("</item>"))
 
     content = F.concat(F.lit("<?xml version='1.0'?><rss version='2.0'><channel><title>c</title>"), item(0), item(1), F.lit("</channel></rss>"))
@@ -161,7 +177,34 @@ def rss_parse(spark, sf_dir):
     return rss.parse(payloads).drop("feed_ord")
 
 
-@query()
+@query("""SELECT page_id, CASE WHEN page_id % 3 > 0 THEN '[["Fbv4je","[[\\"T' || page_id || '\\",\\"s' || page_id || '\\",\\"' || page_id * 7 || '\\"]]",null,"generic"]]' END AS form FROM pages""")
+def decoding_form(spark, sf_dir):
+    page = F.col("page_id").cast("string")
+    form = U.decoding_request(F.concat(F.lit("T"), page), F.concat(F.lit("s"), page), F.when(F.col("page_id") % 3 > 0, (F.col("page_id") * 7).cast("string")))
+    return _table(spark, sf_dir, "pages").select("page_id", form.alias("form"))
+
+
+def unescaped(c: str) -> str:
+    """SQL for the character references that the pages hold."""
+    return f"replace(replace(regexp_replace({c}, '&amp;?', '&', 'g'), '&quot;', chr(34)), '&lt;', '<')"
+
+
+# SQL for the paragraphs of the articles in pages. A paragraph ends with its own end tag, or with the article.
+EXTRACTED = rf"""
+  (WITH a AS (SELECT page_id, url, html, regexp_extract_all(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>|[^<]+') AS parts FROM pages),
+  d AS (SELECT page_id, i, parts[i] AS t, sum(CASE parts[i] WHEN '<p>' THEN 1 WHEN '</p>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM a, unnest(range(1, len(parts) + 1)) AS u(i)),
+  p AS (SELECT o.page_id, o.i AS lo, min(c.i) AS hi FROM d o LEFT JOIN d c ON c.page_id = o.page_id AND c.i > o.i AND c.t = '</p>' AND c.depth < o.depth WHERE o.t = '<p>' GROUP BY ALL),
+  s AS (SELECT page_id, i, regexp_replace({unescaped("t")}, '^{SPACES}|{SPACES}$', '', 'g') AS t FROM d WHERE NOT starts_with(t, '<')),
+  x AS (SELECT p.page_id, lo, string_agg(t, ' ' ORDER BY i) AS text FROM p JOIN s ON s.page_id = p.page_id AND i > lo AND (hi IS NULL OR i < hi) WHERE t <> '' GROUP BY p.page_id, lo),
+  c AS (SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY lo) AS content FROM x WHERE length(text) >= 40 GROUP BY page_id)
+  SELECT a.page_id, url, html, page_id % 10 = 9 AS refused, CASE WHEN page_id % 10 <> 9 THEN content END AS content,
+    CASE WHEN page_id % 10 <> 9 AND content IS NOT NULL THEN regexp_replace({unescaped("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}, '^{SPACES}|{SPACES}$', '', 'g') END AS title
+  FROM a LEFT JOIN c USING (page_id))"""
+
+
+@query(f"""
+  SELECT page_id, title, content, NULL::VARCHAR AS top_image, CASE WHEN content IS NULL THEN 'failed' ELSE 'success' END AS status,
+    CASE WHEN refused THEN 'Publisher returned HTTP 403.' WHEN content IS NULL THEN 'Article content extraction failed.' END AS error FROM {EXTRACTED}""")
 def html_extract(spark, sf_dir):
     from ..functions.html import extraction
 
@@ -170,16 +213,134 @@ def html_extract(spark, sf_dir):
     return pages.select("page_id", x.alias("x")).select("page_id", "x.title", "x.content", "x.top_image", "x.status", "x.error")
 
 
+#: Pages that one feed of the registered runs names.
+FEED_PAGES = 50
+
+
+def _run(spark, sf_dir):
+    """A run over pages as feeds of FEED_PAGES entries, half of them through wrappers: the store, the queues and the counters."""
+    from .ingest import ingest
+    from .sinks import QueueSink
+    from .store import SnapshotStore
+    from .work import work_folder
+
+    pages = _table(spark, sf_dir, "pages")
+    links = _links(pages)
+    item = F.concat(F.lit("<item><title>Page "), F.col("page_id").cast("string"), F.lit("</title><link>"), F.replace("link", F.lit("&"), F.lit("&amp;")), F.lit("</link></item>"))
+    feeds = links.select((F.col("page_id") / FEED_PAGES).cast("int").alias("feed_ord"), F.struct("page_id", item.alias("item")).alias("x")).groupBy("feed_ord").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    payloads = feeds.select(F.concat(F.lit("feed"), F.col("feed_ord")).alias("feed_id"), "feed_ord", F.encode(F.concat(F.lit("<rss><channel>"), F.array_join("x.item", ""), F.lit("</channel></rss>")), "UTF-8").alias("content"))
+    publishers = links.where("page_id % 2 = 0").select(F.col("link").alias("wrapper_url"), F.col("url").alias("publisher_url"))
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
+    fetched = first.select("url", "html", F.when(F.col("page_id") % 10 == 9, 403).otherwise(200).alias("http_status"), F.lit(None).cast("string").alias("fetch_error"))
+    folder = work_folder(spark)
+    store, sink = SnapshotStore(spark, f"{folder}/store", buckets=4), QueueSink(spark, f"{folder}/queues")
+    store.initialise()
+    sink.declare()
+    sink.declare()
+    counts = ingest(spark, store, payloads, publishers, fetched, feeds.count(), F.lit(NOW).cast("timestamp"), sink)
+    return store, sink, counts
+
+
+RUN = f"""
+  (WITH e AS (SELECT * FROM {EXTRACTED}), f AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url),
+  s AS (SELECT p.page_id, p.page_id // {FEED_PAGES} AS feed_ord, sha256(k.canonical) AS article_key, coalesce(nullif(e.title, ''), 'Page ' || p.page_id) AS title, e.content
+    FROM pages p JOIN {CANONICAL} k USING (page_id) JOIN f ON f.url = p.url JOIN e ON e.page_id = f.page_id)
+  SELECT * FROM s)"""
+
+
+@query(f"""
+  SELECT article_key, nullif(trim(regexp_replace(max_by(title, page_id), '{SPACES}', ' ', 'g')), '') AS title, sha256(nullif(trim(regexp_replace(max_by(content, page_id), '{SPACES}', ' ', 'g')), '')) AS content_hash,
+    'pending' AS processing_status, count(DISTINCT feed_ord) AS n_feeds FROM {RUN} WHERE content IS NOT NULL GROUP BY article_key""")
+def ingest_run(spark, sf_dir):
+    store, _, _ = _run(spark, sf_dir)
+    feeds = store.read("article_feeds").groupBy("article_key").agg(F.count("*").alias("n_feeds"))
+    return store.read("articles").join(feeds, "article_key").select("article_key", "title", "content_hash", "processing_status", "n_feeds")
+
+
+@query(f"""SELECT DISTINCT '{{"article_key":"' || article_key || '"}}' AS message FROM {RUN} WHERE content IS NOT NULL""")
+def ingest_messages(spark, sf_dir):
+    _, sink, _ = _run(spark, sf_dir)
+    return spark.read.text(f"{sink.address}/{sink.queues[0]}").select(F.col("value").alias("message"))
+
+
+@query(f"""
+  WITH r AS (SELECT count(*) AS entries, count(content) AS good, count(DISTINCT CASE WHEN content IS NOT NULL THEN article_key END) AS fresh, count(DISTINCT feed_ord) AS feeds FROM {RUN})
+  SELECT unnest(['Feeds processed: ' || feeds, 'Rss entries: ' || entries, 'Articles discovered: ' || good, 'Articles inserted: ' || fresh,
+    'Articles updated: ' || (good - fresh), 'Articles failed: ' || (entries - good), 'Messages published: ' || fresh]) AS line FROM r""")
+def ingest_report(spark, sf_dir):
+    from .sinks import report
+
+    _, _, counts = _run(spark, sf_dir)
+    return spark.createDataFrame([(x,) for x in report(counts).splitlines()], "line string")
+
+
+@query("SELECT unnest(['article.processing', 'article.processing.dlq', 'article.processing.retry']) AS queue")
+def queue_topology(spark, sf_dir):
+    from .sinks import QueueSink
+    from .work import work_folder
+
+    sink = QueueSink(spark, work_folder(spark))
+    for _ in range(2):
+        sink.declare()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sink.address)
+    found = [x.getPath().getName() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return spark.createDataFrame([(x,) for x in found], "queue string")
+
+
 @query("""
-  SELECT doc_id, coalesce(nullif(CASE WHEN quality = 1 THEN left(text, 20) END, ''), source) AS title, lang AS source
+  SELECT doc_id, coalesce(nullif(CASE WHEN quality = 1 THEN text END, ''), source) AS title, lang AS source
   FROM documents LEFT JOIN labels USING (doc_id)""")
 def field_precedence(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
     null = F.lit(None).cast("string")
-    fields = A.precedence(F.when(F.col("quality") == 1, F.substring("text", 1, 20)), F.col("source"), null, F.col("lang"), null.cast("timestamp"), null)
+    fields = A.precedence(F.when(F.col("quality") == 1, F.col("text")), F.col("source"), null, F.col("lang"), null.cast("timestamp"), null)
     return rows.select("doc_id", fields["title"].alias("title"), fields["source"].alias("source"))
 
 
+PAIRS = [(k, v) for k, vs in feed_source.ALLOWED.items() for v in vs]
+PAIRS_SQL = f"(SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(PAIRS))}) AS v(n, feed_type, feed_value))"
+
+
+@query(f"SELECT feed_type, feed_value FROM {PAIRS_SQL}")
+def feed_vocabulary(spark, sf_dir):
+    return feed_source.vocabulary(spark)
+
+
+def _registry(spark, sf_dir):
+    """A feed for each allowed pair, with a nation as its query, from a file of YAML."""
+    import tempfile
+    from pathlib import Path
+
+    import yaml
+
+    nations = _table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(len(PAIRS)).collect()
+    feeds = [{"feed_id": f"{k}_{v}", "feed_type": k, "feed_value": v, "query": n["n_name"], "enabled": n["n_regionkey"] % 2 == 0} for (k, v), n in zip(PAIRS, nations, strict=True)]
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder) / "feeds.yaml"
+        path.write_text(yaml.safe_dump({"other": {"language": "x"}, "feeds": feeds}))
+        return feed_source.FeedRegistry.from_yaml(path)
+
+
+CONFIGURED = f"(SELECT n AS feed_ord, feed_type || '_' || feed_value AS feed_id, feed_type, feed_value, n_name AS query, n_regionkey % 2 = 0 AS enabled FROM {PAIRS_SQL} JOIN nation ON n_nationkey = n)"
+
+
+@query(f"SELECT feed_ord::INTEGER AS feed_ord, feed_id, feed_type, feed_value, query, enabled FROM {CONFIGURED}")
+def feed_config(spark, sf_dir):
+    return _registry(spark, sf_dir).frame(spark)
+
+
+@query(f"SELECT feed_id, feed_type, feed_value, query, enabled, 25 AS n_synced FROM {CONFIGURED}")
+def feed_sync(spark, sf_dir):
+    from .ingest import sync_feeds
+    from .store import SnapshotStore
+    from .work import work_folder
+
+    store = SnapshotStore(spark, work_folder(spark))
+    store.initialise()
+    synced = [sync_feeds(store, _registry(spark, sf_dir), F.lit(NOW).cast("timestamp")) for _ in range(2)]
+    return store.read("feeds").select("feed_id", "feed_type", "feed_value", "query", "enabled", F.lit(synced[-1]).alias("n_synced"))
+
+
 @query(f"""
   SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'entry has no link' WHEN page_id % 5 = 0 THEN 'HTTP 500' END AS failure,
     canonical AS url, sha256(canonical) AS article_key FROM {CANONICAL}""")
@@ -231,9 +392,9 @@ def feed_get(spark, sf_dir):
     return R.feed_by_id(_customers(spark, sf_dir), "c_7")
 
 
-@query(f"SELECT count(*) AS n_feeds FROM {CUSTOMERS}")
+@query(f"SELECT count(*) AS n_feeds FROM {CONFIGURED}")
 def feed_count(spark, sf_dir):
-    return _customers(spark, sf_dir).agg(F.count("*").alias("n_feeds"))
+    return spark.createDataFrame([(_registry(spark, sf_dir).count(),)], "n_feeds long")
 
 
 @query(f"""

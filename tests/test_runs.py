@@ -1,6 +1,9 @@
 import datetime as dt
 import json
 import random
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +11,12 @@ from pyspark.sql import functions as F
 from pressmill.operators import merge as M
 from pressmill.operators import reads as R
 from pressmill.plans import ingest as run
+from pressmill.plans import run as whole
 from pressmill.plans.sinks import QueueSink, report
 from pressmill.plans.store import SnapshotStore, ddl
 from pressmill.schemas import ARTICLES
-from pressmill.sources.feeds import FeedRegistry
-from pressmill.streaming.ingest import start
+from pressmill.sources.feeds import FeedRegistry, Settings
+from pressmill.streaming.ingest import fold_batch, start
 
 NOW = dt.datetime(2024, 1, 1)
 LONG = "This sentence is certainly longer than forty characters in all."
@@ -82,6 +86,153 @@ def test_stream(spark, store, tmp_path):
         assert store.read("articles").count() == 2
 
 
+class Broken(QueueSink):
+    def publish(self, messages, queue=None):
+        raise OSError("no broker")
+
+
+def test_nothing_is_lost_when_publishing_fails(spark, store, tmp_path):
+    args = frames(spark, payload("https://p.example/one", "https://p.example/two/"))
+    with pytest.raises(OSError, match="no broker"):
+        run.ingest(spark, store, *args, feeds_processed=1, now=now(), sink=Broken(spark, f"file://{tmp_path}/queues"))
+    assert store.read("articles").count() == 2 and store.read("outbox").count() == 2
+    sink = QueueSink(spark, f"file://{tmp_path}/queues")
+    stats = run.ingest(spark, store, *args, feeds_processed=1, now=now(), sink=sink)
+    assert stats["articles_inserted"] == 0 and store.read("outbox").isEmpty()
+    sent = {r["value"] for r in spark.read.text(f"file://{tmp_path}/queues/article.processing").collect()}
+    assert sent == {json.dumps({"article_key": r["article_key"]}, separators=(",", ":")) for r in store.read("articles").collect()}
+
+
+def test_a_stop_between_outbox_and_articles(spark, store, tmp_path, monkeypatch):
+    staged = run.entries_to_articles(*frames(spark, payload("https://p.example/one")))
+    merge = store.merge
+    monkeypatch.setattr(store, "merge", lambda table, *rest: (_ for _ in ()).throw(OSError("stop")) if table == "articles" else merge(table, *rest))
+    with pytest.raises(OSError, match="stop"):
+        run.commit(store, staged, now())
+    monkeypatch.undo()
+    sink = QueueSink(spark, f"file://{tmp_path}/queues")
+    # A message without its article waits; the run that stores the article adds no second one.
+    run.publish_waiting(store, sink)
+    assert store.read("outbox").count() == 1 and store.read("articles").isEmpty()
+    run.commit(store, staged, now())
+    run.publish_waiting(store, sink)
+    assert store.read("outbox").isEmpty() and spark.read.text(f"file://{tmp_path}/queues/article.processing").count() == 1
+
+
+def test_a_repeated_stream_batch(spark, store, tmp_path):
+    batch = run.entries_to_articles(*frames(spark, payload("https://p.example/one", "https://p.example/two/")))
+    with pytest.raises(OSError):
+        fold_batch(store, Broken(spark, f"file://{tmp_path}/queues"))(batch, 0)
+    for _ in range(2):
+        fold_batch(store, QueueSink(spark, f"file://{tmp_path}/queues"))(batch, 0)
+    assert spark.read.text(f"file://{tmp_path}/queues/article.processing").count() == 2 and store.read("articles").count() == 2
+
+
+def test_store_after_a_stop(spark, store, monkeypatch):
+    rows = spark.createDataFrame([("k", "f", NOW)], "article_key string, feed_id string, first_seen_at timestamp")
+    store.write("article_feeds", rows)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda *_: (_ for _ in ()).throw(OSError("stop")))
+        with pytest.raises(OSError, match="stop"):
+            store.write("article_feeds", rows.limit(0))
+    store.initialise()
+    assert store.read("article_feeds").count() == 1
+    # Two writers that start from one manifest: the second fails, and nothing of the first is lost.
+    late = store._numbers("article_feeds")
+    store.write("article_feeds", rows.unionAll(rows))
+    monkeypatch.setattr(store, "_numbers", lambda _: late)
+    with pytest.raises(OSError, match="meanwhile"):
+        store._commit("article_feeds", {"buckets": 16, "folders": {}})
+    monkeypatch.undo()
+    assert store.read("article_feeds").count() == 2 and store.vacuum() >= 1 and store.read("article_feeds").count() == 2
+
+
+def test_a_merge_rewrites_touched_buckets_only(spark, store):
+    links = spark.createDataFrame([(f"k{i}", "f", NOW) for i in range(200)], "article_key string, feed_id string, first_seen_at timestamp")
+    store.merge("article_feeds", links, lambda rows: M.add_links(rows, links))
+    before = store._manifest("article_feeds")["folders"]
+    new = links.where("article_key = 'k7'").withColumn("feed_id", F.lit("g"))
+    store.merge("article_feeds", new, lambda rows: M.add_links(rows, new))
+    after = store._manifest("article_feeds")["folders"]
+    assert len(before) == 16 and sum(before[k] != after[k] for k in before) == 1 and store.read("article_feeds").count() == 201
+
+
+def test_schema_statements(spark):
+    for statement in ddl():
+        spark.sql(statement.replace(" EXISTS ", " EXISTS ddl_"))
+    try:
+        assert [f.name for f in spark.table("ddl_articles").schema] == ARTICLES.fieldNames() and len(ddl()) == 4
+    finally:
+        for name in ("feeds", "articles", "article_feeds", "outbox"):
+            spark.sql(f"DROP TABLE IF EXISTS ddl_{name}")
+
+
+class Site(BaseHTTPRequestHandler):
+    """Two feeds, a wrapper and its decoder, and articles; every request is noted."""
+
+    seen: list = []
+
+    def log_message(self, *args):
+        pass
+
+    def answer(self, status, body):
+        self.seen.append((self.command, self.path, self.headers["User-Agent"], self.headers["Accept"]))
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def do_GET(self):
+        here, path = f"http://{self.headers['Host']}", self.path
+        if path.startswith("/feed?q=tcs"):
+            links = (f"{here}/rss/articles/TOKEN?oc=5", f"{here}/two", f"{here}/gone", f"{here}/rss/read/DEAD")
+            self.answer(200, bytes(payload(*links)))
+        elif path.startswith("/feed"):
+            self.answer(503, bytes(payload(f"{here}/two")))
+        elif path.startswith("/rss/articles/TOKEN"):
+            self.answer(200, b'<c-wiz data-n-a-sg="SIG" data-n-a-ts="123">')
+        elif path in ("/one", "/two"):
+            self.answer(200, f"<article><p>{LONG} {path}</p></article>".encode())
+        else:
+            self.answer(403 if path == "/gone" else 404, b"<p>" + LONG.encode())
+
+    def do_POST(self):
+        form = parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())
+        call = json.loads(form["f.req"][0])[0]
+        good = call[0] == "Fbv4je" and call[2:] == [None, "generic"] and json.loads(call[1]) == [["TOKEN", "SIG", "123"]]
+        body = json.dumps([["wrb.fr", f"http://{self.headers['Host']}/one"]]) if good else "[]"
+        self.answer(200, (")]}'\n" + body).encode())
+
+
+def test_whole_run(spark, tmp_path):
+    Site.seen = []
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        here = f"http://127.0.0.1:{server.server_port}"
+        store = SnapshotStore(spark, f"file://{tmp_path}/store")
+        sink = QueueSink(spark, f"file://{tmp_path}/queues")
+        settings = Settings(base_url=f"{here}/feed", request_delay_seconds=0.0)
+        stats = whole.run(spark, FeedRegistry(FEEDS), store, now(), sink, settings, decoder=f"{here}/decode")
+    finally:
+        server.shutdown()
+    # The second feed fails and only counts as processed; of four entries two lead to articles.
+    assert stats == {"feeds_processed": 2, "rss_entries": 4, "articles_discovered": 2, "articles_inserted": 2, "articles_updated": 0, "articles_failed": 2, "messages_published": 2}
+    assert {r["url"] for r in store.read("articles").collect()} == {f"{here}/one", f"{here}/two"}
+    assert spark.read.text(f"file://{tmp_path}/queues/article.processing").count() == 2 and store.read("feeds").count() == 3
+    asked = [x[1].split("?")[0] for x in Site.seen]
+    assert sorted(asked) == sorted(["/feed", "/feed", "/rss/articles/TOKEN", "/rss/read/DEAD", "/decode", "/one", "/two", "/gone", "/rss/read/DEAD"])
+    accepts = {x[1]: x[3] for x in Site.seen if x[0] == "GET"}
+    assert accepts["/two"].startswith("text/html") and next(v for k, v in accepts.items() if k.startswith("/feed")).startswith("application/rss+xml")
+    assert all(x[2].startswith("pressmill/") for x in Site.seen)
+
+
+def test_decoding_request(spark):
+    from pressmill.functions.url import decoding_request
+
+    got = spark.createDataFrame([('t"]', "s\\", "1"), (None, "s", "1")], "a string, b string, c string").select(decoding_request(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()
+    assert json.loads(got[0]["x"]) == [["Fbv4je", json.dumps([['t"]', "s\\", "1"]], separators=(",", ":")), None, "generic"]] and got[1]["x"] is None
+
+
 def test_fold_matches_a_sequence(spark):
     rng = random.Random(3)
     old = [(f"k{i}", f"old{i}", f"s{i}" if i % 2 else None) for i in range(10)]

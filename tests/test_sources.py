@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pressmill.functions.html import FAILED, extraction, paragraphs_of
+from pressmill.functions.html import FAILED, extraction, paragraphs_of, self_described
 from pressmill.sources import feeds as S
 from pressmill.sources import rss
 
@@ -19,14 +19,14 @@ def test_vocabulary(spark):
 @pytest.mark.parametrize(
     "bad, said",
     [
-        ("x", "must be an object"),
-        ({"feed_id": "a"}, "missing fields"),
-        (feed(feed_type="x"), "Invalid feed_type"),
-        (feed(feed_value="x"), "Invalid feed_value"),
-        (feed(feed_id="x"), "Invalid feed_id"),
-        (feed(query=" "), "non-empty query"),
-        (feed(query=3), "non-empty query"),
-        (feed(enabled="yes"), "boolean"),
+        ("x", "object"),
+        ({"feed_id": "a"}, "required"),
+        (feed(feed_type="x"), "feed_type:"),
+        (feed(feed_value="x"), "feed_value:"),
+        (feed(feed_id="x"), "feed_id:"),
+        (feed(query=" "), "query:"),
+        (feed(query=3), "query:"),
+        (feed(enabled="yes"), "enabled:"),
     ],
 )
 def test_violations(bad, said):
@@ -76,6 +76,17 @@ def test_rss(spark):
     assert [(r["feed_id"], r["rss_title"], r["wrapper_link"]) for r in rows[2:]] == [("f3", "A", "https://a/2")]
 
 
+def test_rss_in_other_forms(spark):
+    rdf = "<rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns='http://purl.org/rss/1.0/' xmlns:dc='http://purl.org/dc/elements/1.1/'><item><title>R</title><link>https://a/3</link><dc:date>2026-09-05T10:00:00Z</dc:date></item></rdf:RDF>"
+    latin = "<?xml version='1.0' encoding='ISO-8859-1'?><rss><channel><item><title>caf\u00e9</title></item></channel></rss>"
+    docs = [rdf.encode(), latin.encode("latin-1"), latin.replace("ISO-8859-1", "UTF-16").encode("utf-16"), b"<rss><channel><item><title>a\xffb</title></item></channel></rss>", b"\xff\xfe\x00", b"no feed", None]
+    payloads = spark.createDataFrame([(f"f{i}", i, None if d is None else bytearray(d)) for i, d in enumerate(docs)], "feed_id string, feed_ord int, content binary")
+    rows = {r["feed_id"]: r for r in rss.parse(payloads).collect()}
+    assert rows["f0"]["rss_title"] == "R" and rows["f0"]["rss_published"] == "2026-09-05T10:00:00Z" and rows["f0"]["wrapper_link"] == "https://a/3"
+    assert rows["f1"]["rss_title"] == rows["f2"]["rss_title"] == "caf\u00e9" and rows["f3"]["rss_title"].startswith("a") and set(rows) == {"f0", "f1", "f2", "f3"}
+    assert {r["feed_id"] for r in rss.quarantined(payloads).collect()} == {"f4", "f5", "f6"}
+
+
 def test_paragraphs():
     page = f"<html><head><title> My <b>t</b> </title><meta property='og:image' content='i.png'></head><body><nav><p>{LONG} nav</p></nav><div class='x article-body'><p>{LONG}</p><p>short</p><p>{'x' * 39}</p><p>{'y' * 40}</p></div><footer><p>{LONG}</p></footer></body></html>"
     found = paragraphs_of(page)
@@ -106,3 +117,12 @@ def test_primary_extractor(spark):
     pages = spark.createDataFrame([("u1", ""), ("u2", f"<p>{LONG}</p>")], "url string, html string")
     x = extraction(primary)("url", "html", F.lit(200), F.lit(None).cast("string"))
     assert [(r["x"]["content"], r["x"]["authors"]) for r in pages.select(x.alias("x"), "url").orderBy("url").collect()] == [("C", ["A"]), (LONG, [])]
+
+
+def test_self_described_pages(spark):
+    head = "<meta property='og:title' content='The &amp; title'><meta name='author' content='A. One, B. Two and C. Three'/><meta name='author' content='https://no.example/x'><meta property='article:published_time' content='2026-09-05T10:00:00+05:30'>"
+    rows = [("u1", f"<html><head><title>t</title>{head}</head><p>{LONG}</p></html>"), ("u2", f"<title>t</title><meta name=date content='some day'><p>{LONG}</p>"), ("u3", "<p>short</p>"), ("u4", None)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    got = {r["x"]["url"]: r["x"] for r in pages.select(extraction(self_described)("url", "html", F.lit(200), F.lit(None).cast("string")).alias("x")).collect()}
+    assert got["u1"]["title"] == "The & title" and got["u1"]["authors"] == ["A. One", "B. Two", "C. Three"] and got["u1"]["published_at"].isoformat().startswith("2026-09-05T04:30:00")
+    assert got["u2"]["title"] == "t" and got["u2"]["authors"] == [] and got["u2"]["published_at"] is None and got["u3"]["error"] == got["u4"]["error"] == FAILED
