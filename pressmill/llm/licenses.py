@@ -3,11 +3,17 @@
 Templates are short phrases and longer notices. Every run of k words of a document is hashed and joined by Spark with
 the positions of such runs in the templates: a hit at document word i and template word j votes for the diagonal
 i - j. Votes are counted by document, template and diagonal; neighbouring diagonals of a notice (words put in or left
-out) are merged; a merged span is verified by the share of the notice's runs that it holds in order.
+out) are merged; a merged span is verified by the share of the notice's runs that it holds in order: going through the
+span's hits by document word, a hit counts if it stands later in the notice than all hits before it. A run that is
+repeated counts once, and runs out of order don't count.
 
 A phrase counts only where its diagonal holds all of its runs, so that its words stand consecutively.
 
-Bounds: the templates are fixed, so their positions (TEMPLATE_WORDS in all) are the only thing that is broadcast.
+Runs are compared by hashes of 64 bits of their words; a span takes half of a notice's runs, so equal hashes of different
+words can't make one.
+
+Bounds: the templates are fixed, so their positions are the only thing that is broadcast. A diagonal has at most one hit
+for each run of its template.
 
 Defined results: null and empty texts have no words and no labels; repeated rows are scanned each; extra columns are
 ignored; an empty table gives an empty result.
@@ -89,6 +95,30 @@ NOTICES = (
         "unlicense",
     ),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software",
+        "boost",
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable "
+        "for any damages arising from the use of this software",
+        "zlib",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general "
+        "public license as published by the free software foundation",
+        "agpl",
+    ),
+    (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        "epl",
+    ),
+    (
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        "cc0",
+    ),
+    ("everyone is permitted to copy and distribute verbatim or modified copies of this license document", "wtfpl"),
 )
 NOTICE_K = 4
 #: A notice is verified if a span holds this share of its runs of words.
@@ -169,29 +199,28 @@ def spans(docs: DataFrame) -> DataFrame:
         .select("row_key", "doc_id", "n_words", "pos", F.explode(F.coalesce("places", F.array(F.struct(F.lit(-1).alias("template"), F.lit(0).alias("tpos"))))).alias("p"))
         .select("row_key", "doc_id", "n_words", "p.template", "p.tpos", "pos", (F.col("pos") - F.col("p.tpos")).alias("diagonal"))
     )
-    votes = hits.groupBy("row_key", "template", "diagonal").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.count("*").alias("votes"),
-        F.min("pos").alias("lo"),
-        F.max("pos").alias("hi"),
-        F.min("tpos").alias("tlo"),
-        F.max("tpos").alias("thi"),
-    )
+    votes = hits.groupBy("row_key", "template", "diagonal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count("*").alias("votes"), F.collect_list("tpos").alias("places"))
     votes = votes.join(F.broadcast(templates(spark)), "template", "left")
     # A notice's neighbouring diagonals become one span; those of a phrase and a document's own row stay apart.
     by_diagonal = Window.partitionBy("row_key", "template").orderBy("diagonal")
     notice = F.coalesce(~F.col("phrase"), F.lit(False))
     apart = F.when(notice, F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > DRIFT).otherwise(True)
+    of_span = F.flatten(F.collect_list(F.transform("places", lambda t: F.struct((F.col("diagonal") + t).alias("pos"), (-t).alias("back")))))
     merged = (
         votes.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int"))
         .withColumn("_group", F.sum("_new").over(by_diagonal))
         .groupBy("row_key", "template", "_group")
-        .agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "phrase", "n_grams")), F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("tlo").alias("tlo"), F.max("thi").alias("thi"))
-        .withColumn("score", F.coalesce(F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")), F.lit(0.0)))
+        .agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "phrase", "n_grams")), F.sum("votes").alias("votes"), F.array_sort(of_span).alias("_hits"))
+        .withColumn("lo", F.col("_hits")[0]["pos"])
+        .withColumn("hi", F.element_at("_hits", -1)["pos"])
     )
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n"))
+    later = lambda x, h: F.when(-h["back"] > x["last"], F.struct((-h["back"]).alias("last"), (x["n"] + 1).alias("n"))).otherwise(x)
+    in_order = F.aggregate("_hits", start, later, lambda x: x["n"])
+    # A phrase's span is one diagonal, which holds each run once.
+    merged = merged.withColumn("score", F.when(F.col("template") == -1, 0.0).otherwise(in_order / F.col("n_grams")))
     whole = (F.col("template") == -1) | (F.col("phrase") & (F.col("votes") == F.col("n_grams")))
-    verified = notice & (F.col("score") >= COVERAGE) & (F.col("thi") - F.col("tlo") + 1 >= F.col("votes") * 0.5)
+    verified = notice & (F.col("score") >= COVERAGE)
     k = F.when(notice, NOTICE_K).otherwise(PHRASE_K)
     return merged.where(whole | verified).select("row_key", "doc_id", "n_words", "template", "label", "phrase", F.col("lo").cast("long").alias("first_word"), (F.col("hi") + k).cast("long").alias("last_word"), "score")
 

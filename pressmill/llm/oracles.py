@@ -30,11 +30,12 @@ WITH w AS (SELECT row_number() OVER () AS key, doc_id, regexp_extract_all(transl
 t AS (SELECT *, string_split(text, ' ') AS words FROM (VALUES {_templates()}) AS v(template, text, label, k, phrase)),
 tg AS (SELECT template, label, k, phrase, len(words) - k + 1 AS n_grams, i - 1 AS tpos, array_to_string(words[i:i + k - 1], ' ') AS gram FROM t, unnest(range(1, len(words) - k + 2)) AS u(i)),
 g AS (SELECT key, k, i - 1 AS pos, array_to_string(words[i:i + k - 1], ' ') AS gram FROM w, (VALUES ({licenses.PHRASE_K}), ({licenses.NOTICE_K})) AS v(k), unnest(range(1, len(words) - k + 2)) AS u(i)),
-votes AS (SELECT key, template, label, k, phrase, n_grams, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS lo, max(pos) AS hi, min(tpos) AS tlo, max(tpos) AS thi FROM g JOIN tg USING (gram, k) GROUP BY ALL),
-marked AS (SELECT *, CASE WHEN phrase OR diagonal - lag(diagonal) OVER d > {licenses.DRIFT} THEN 1 ELSE 0 END AS fresh FROM votes WINDOW d AS (PARTITION BY key, template ORDER BY diagonal)),
-grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY key, template ORDER BY diagonal) AS grp FROM marked),
-spans AS (SELECT key, label, phrase, n_grams, sum(votes) AS votes, min(lo) AS lo, least(1.0::DOUBLE, sum(votes)::DOUBLE / n_grams) AS score, max(thi) - min(tlo) + 1 AS width FROM grouped GROUP BY key, template, grp, label, phrase, n_grams),
-kept AS (SELECT * FROM spans WHERE CASE WHEN phrase THEN votes = n_grams ELSE score >= {licenses.COVERAGE} AND width >= votes * 0.5 END)
+hits AS (SELECT key, template, label, phrase, n_grams, pos, tpos, pos - tpos AS diagonal FROM g JOIN tg USING (gram, k)),
+marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER d > CASE WHEN phrase THEN 0 ELSE {licenses.DRIFT} END THEN 1 ELSE 0 END AS fresh FROM hits WINDOW d AS (PARTITION BY key, template ORDER BY diagonal, pos)),
+grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY key, template ORDER BY diagonal, pos ROWS UNBOUNDED PRECEDING) AS grp FROM marked),
+ranked AS (SELECT *, tpos > coalesce(max(tpos) OVER (PARTITION BY key, template, grp ORDER BY pos, tpos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS later FROM grouped),
+spans AS (SELECT key, label, phrase, n_grams, count(*) AS votes, min(pos) AS lo, (count(*) FILTER (later))::DOUBLE / n_grams AS score FROM ranked GROUP BY key, template, grp, label, phrase, n_grams),
+kept AS (SELECT * FROM spans WHERE CASE WHEN phrase THEN votes = n_grams ELSE score >= {licenses.COVERAGE} END)
 SELECT any_value(doc_id) AS doc_id, any_value(len(words))::BIGINT AS n_words, count(*) FILTER (phrase)::BIGINT AS n_base, (min(lo) FILTER (phrase))::BIGINT AS first_word, (max(lo) FILTER (phrase))::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (phrase)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS labels, coalesce(max(score), 0.0)::DOUBLE AS score
 FROM w LEFT JOIN kept USING (key) GROUP BY key"""

@@ -37,3 +37,29 @@ def test_notices(spark, rng):
     texts = [f"intro {notice} outro", " ".join(edited), " ".join(words[:4]), " ".join(rng.sample(words, len(words)))]
     got = check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert [got[i]["labels"] for i in range(4)] == [label, label, "", ""] and got[0]["score"] == 1.0 and 0.5 <= got[1]["score"] < 1
+
+
+def test_runs_must_differ_and_be_in_order(spark, rng):
+    texts = []
+    for notice, _ in L.NOTICES:
+        words = notice.split()
+        for at in range(0, len(words) - 5, 3):
+            texts.append(" ".join(words[at : at + 5] * 14))
+        texts.append(" ".join(reversed(words)))
+        # The same runs in another order.
+        runs = [words[i : i + 5] for i in range(0, len(words), 5)]
+        texts.append(" ".join(w for r in reversed(runs) for w in r))
+    got = check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert all(set(r["labels"].split(",")) - {""} <= set(r["base_labels"].split(",")) for r in got.values())
+
+
+def test_every_notice_is_found_in_other_words(spark):
+    rows, truth = [], []
+    for i, (notice, label) in enumerate(L.NOTICES):
+        words = notice.split()
+        rows.append((2 * i, "Some words. " + notice.upper() + "; and more"))
+        # A word put in and one left out, far from each other, keep more than half of the runs in order.
+        rows.append((2 * i + 1, " ".join([*words[: len(words) // 3], "dear", *words[len(words) // 3 : -5], *words[-4 - (len(words) < 25) :]])))
+        truth += [label, label]
+    got = {r["doc_id"]: r for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(truth[i] in got[i]["labels"].split(",") for i in got) and all(got[2 * i]["score"] == 1.0 for i in range(len(L.NOTICES)))
