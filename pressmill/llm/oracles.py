@@ -43,24 +43,28 @@ FROM w LEFT JOIN kept USING (key) GROUP BY key"""
 
 def _secrets() -> str:
     quoted = {name: pattern.replace("'", "''") for name, pattern in secret_scan.KINDS}
-    # Without look-around: a bare key is a whole run of these characters.
-    run = "[A-Za-z0-9+/=_.-]+"
-    kinds = " UNION ALL ".join(
-        f"SELECT key, {k} AS kind, regexp_extract_all(text, '{run if name == 'key' else quoted[name]}') AS found, string_split_regex(text, '{run if name == 'key' else quoted[name]}') AS pieces FROM w"
-        for k, (name, _) in enumerate(secret_scan.KINDS)
-    )
+    # Without look-around: a bare key ends a whole run of these characters, but for a full stop, after one = or nothing.
+    quoted["key"] = "[A-Za-z0-9+/=_.-]+"
+    bare = "(?:^|^=|[^=]=)[A-Za-z0-9+/]{{40}}[.]?$"
+    kinds = " UNION ALL ".join(f"SELECT key, {k} AS kind, regexp_extract_all(text, '{quoted[name]}') AS found, string_split_regex(text, '{quoted[name]}') AS pieces FROM w" for k, (name, _) in enumerate(secret_scan.KINDS))
     at = {name: k for k, (name, _) in enumerate(secret_scan.KINDS)}
     names = ", ".join(f"'{name}'" for name, _ in secret_scan.KINDS)
-    near = f"OVER (PARTITION BY key ORDER BY start_at RANGE BETWEEN {secret_scan.LINK_CHARS} PRECEDING AND {secret_scan.LINK_CHARS} FOLLOWING)"
-    listing = f"string_agg([{names}][kind + 1] || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, kind, end_at)"
+    listing = f"string_agg([{names}][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e)"
+
+    def near(*kinds: str, table: str = "p") -> str:
+        gap = f"(b.s BETWEEN a.e AND a.e + {secret_scan.LINK_CHARS} OR b.e BETWEEN a.s - {secret_scan.LINK_CHARS} AND a.s)"
+        return f"EXISTS (SELECT 1 FROM {table} b WHERE b.key = a.key AND b.kind IN ({', '.join(str(at[k]) for k in kinds)}) AND {gap})"
+
+    secret = near("assign", "hex", "key")
     return rf"""
 WITH w AS (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS text FROM documents),
 x AS ({kinds}),
-m AS (SELECT key, kind, i, found[i] AS f, sum(length(pieces[i]) + length(found[i])) OVER (PARTITION BY key, kind ORDER BY i) AS end_at FROM x, unnest(range(1, len(found) + 1)) AS u(i)),
-p AS (SELECT key, kind, (end_at - length(f))::BIGINT AS start_at, end_at::BIGINT AS end_at FROM m
-  WHERE CASE kind WHEN {at["assign"]} THEN length(regexp_extract(f, '{quoted["assign"]}', 1)) >= {secret_scan.LEAST_VALUE} WHEN {at["key"]} THEN regexp_full_match(f, '[A-Za-z0-9+/]{{40}}') ELSE true END),
-l AS (SELECT *, count(*) FILTER (kind IN ({at["access"]}, {at["id"]})) {near} AS ids, count(*) FILTER (kind IN ({at["assign"]}, {at["hex"]}, {at["key"]})) {near} AS secrets FROM p),
-r AS (SELECT * FROM l WHERE kind < {len(secret_scan.STRONG)} OR kind = {at["id"]} AND secrets > 0 OR kind = {at["key"]} AND ids > 0 OR kind = {at["url"]} AND ids > 0 AND secrets > 0)
+m AS (SELECT key, kind, i, found[i] AS f, sum(length(pieces[i]) + length(found[i])) OVER (PARTITION BY key, kind ORDER BY i) AS e FROM x, unnest(range(1, len(found) + 1)) AS u(i)),
+c AS (SELECT key, kind, f, (e - CASE WHEN kind = {at["key"]} AND f LIKE '%.' THEN 1 ELSE 0 END)::BIGINT AS e FROM m
+  WHERE CASE kind WHEN {at["assign"]} THEN length(regexp_extract(f, '{quoted["assign"]}', 1)) >= {secret_scan.LEAST_VALUE} WHEN {at["key"]} THEN regexp_matches(f, '{bare.format()}') ELSE true END),
+p AS (SELECT key, kind, (e - CASE WHEN kind = {at["key"]} THEN 40 ELSE length(f) END)::BIGINT AS s, e FROM c),
+linked AS (SELECT * FROM p a WHERE kind IN ({at["access"]}, {at["id"]}) AND {secret}),
+r AS (SELECT * FROM p a WHERE kind < {len(secret_scan.STRONG)} OR kind = {at["id"]} AND {secret} OR kind = {at["key"]} AND {near("access", "id")} OR kind = {at["url"]} AND {near("access", "id", table="linked")} AND {secret})
 SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (kind = {k})::BIGINT AS n_{name}" for k, (name, _) in enumerate(secret_scan.STRONG))},
   sha256(coalesce({listing} FILTER (kind < {len(secret_scan.STRONG)}), '')) AS base_sha256, coalesce({listing} FILTER (kind IS NOT NULL), '') AS spans
 FROM w LEFT JOIN r USING (key) GROUP BY key"""

@@ -2,8 +2,9 @@
 
 Three strong kinds are reported wherever they match. Weak parts (other identifiers, bare 40-character keys, endpoints)
 are reported only where parts that complete them stand near: within one document, the scope, the parts are joined by
-interval where the gap from the end of one to the start of the other is at most LINK_CHARS, as maxima over a range of
-the points at which parts start and end.
+interval where the gap from the end of one to the start of the other is at most LINK_CHARS, as the nearest in a range of
+the points at which parts start and end. Parts that overlap don't complete each other. An identifier needs a secret, a
+bare key an identifier; an endpoint needs a secret, and an identifier that a secret completes.
 
 Positions are in code points, end exclusive. A text is split at the matches of a kind, so that a match starts at the
 sum of all pieces and matches before it; those sums are window sums over a document's matches.
@@ -77,26 +78,46 @@ def _matches(docs: DataFrame) -> DataFrame:
     return rows.withColumn("end", end).where("passes").select("row_key", "doc_id", "text_hash", "kind", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
-def _reported(matches: DataFrame) -> DataFrame:
-    """Without the weak parts that nothing near completes."""
-    name = {k: i for i, (k, _) in enumerate(KINDS)}
-    # Of the parts that start up to LINK_CHARS after the end of this one, one is near if the last end isn't too far before its start.
+#: What the parts of a secret are: the kinds that identify, and those that are secret.
+IDS, SECRETS = ("access", "id"), ("assign", "hex", "key")
+NAME = {kind: k for k, (kind, _) in enumerate(KINDS)}
+
+
+def _nearest(matches: DataFrame, **kinds: Column) -> DataFrame:
+    """matches with, for each name, the nearest part (kind, start, end) whose row the condition holds for and that lies
+    within LINK_CHARS before or after, or null."""
     points = matches.select("*", F.posexplode(F.array("start", "end")).alias("_is_end", "_at"))
-    upto = Window.partitionBy("row_key").orderBy("_at").rangeBetween(Window.unboundedPreceding, LINK_CHARS)
+    by_point = Window.partitionBy("row_key").orderBy("_at")
+    before, after = by_point.rangeBetween(-LINK_CHARS, 0), by_point.rangeBetween(0, LINK_CHARS)
+    for name, wanted in kinds.items():
+        # At a part's start the last end before it, at its end the first start after it.
+        earlier = F.max(F.when((F.col("_is_end") == 1) & wanted, F.struct("end", "start", "kind"))).over(before)
+        later = F.min(F.when((F.col("_is_end") == 0) & wanted, F.struct("start", "end", "kind"))).over(after)
+        part = F.when(F.col("_is_end") == 0, F.struct((F.col("start") - earlier["end"]).alias("gap"), earlier["kind"].alias("kind"), earlier["start"].alias("start"), earlier["end"].alias("end")))
+        part = part.otherwise(F.struct((later["start"] - F.col("end")).alias("gap"), later["kind"].alias("kind"), later["start"].alias("start"), later["end"].alias("end")))
+        points = points.withColumn(name, F.when(part["gap"].isNotNull(), part))
+    # Both points of a part are in one partition of row_key; equal parts of a row are one part.
+    return points.groupBy(*matches.columns).agg(*(F.min(name).alias(name) for name in kinds))
+
+
+def _reported(matches: DataFrame) -> DataFrame:
+    """Without the weak parts that nothing near completes; with id_part and secret_part, the nearest that do."""
     kind = F.col("kind")
+    of = lambda names: kind.isin(*(NAME[k] for k in names))
+    near = _nearest(matches, id_part=of(IDS), secret_part=of(SECRETS))
+    near = _nearest(near, linked_part=of(IDS) & F.col("secret_part").isNotNull())
+    has_id, has_secret = F.col("id_part").isNotNull(), F.col("secret_part").isNotNull()
+    keep = (kind < len(STRONG)) | ((kind == NAME["id"]) & has_secret) | ((kind == NAME["key"]) & has_id) | ((kind == NAME["url"]) & F.col("linked_part").isNotNull() & has_secret)
+    return near.where(keep).withColumn("id_part", F.when(kind == NAME["url"], F.col("linked_part")).otherwise(F.col("id_part"))).drop("linked_part")
 
-    def last_end(*kinds: str) -> Column:
-        return F.max(F.when((F.col("_is_end") == 0) & kind.isin(*(name[k] for k in kinds)), F.col("end"))).over(upto)
 
-    linked = points.withColumn("_ids", last_end("access", "id")).withColumn("_secrets", last_end("assign", "hex", "key")).where("_is_end = 1")
-    near_id, near_secret = (F.coalesce(F.col(c) >= F.col("start") - LINK_CHARS, F.lit(False)) for c in ("_ids", "_secrets"))
-    keep = (
-        (kind < len(STRONG))
-        | ((kind == name["id"]) & near_secret)
-        | ((kind == name["key"]) & near_id)
-        | ((kind == name["url"]) & near_id & near_secret)
-    )
-    return linked.where(keep).drop("_ids", "_secrets", "_is_end", "_at")
+def links(docs: DataFrame) -> DataFrame:
+    """doc_id, kind, start and end of every reported part, and the nearest identifier and secret that it goes with
+    (structs of kind, start and end, or null)."""
+    names = F.array(*(F.lit(k) for k, _ in KINDS))
+    named = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.element_at(names, F.col(c)["kind"] + 1).alias("kind"), F.col(c)["start"].alias("start"), F.col(c)["end"].alias("end")))
+    found = _reported(_matches(docs)).where("kind >= 0")
+    return found.select("doc_id", F.element_at(names, F.col("kind") + 1).alias("kind"), "start", "end", named("id_part").alias("id_part"), named("secret_part").alias("secret_part"))
 
 
 def _listing(spans: Column) -> Column:

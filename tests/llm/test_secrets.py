@@ -81,7 +81,25 @@ def test_links_are_gaps_between_parts(spark):
     kinds = {i: [x.split(":")[0] for x in s.split(",") if x] for i, s in spans.items()}
     assert kinds[0] == ["assign", "id"] and kinds[1] == ["id", "assign"] and kinds[2] == ["url", "id", "assign"]
     assert kinds[3] == ["key", "id"] and kinds[4] == [] and kinds[5] == ["id", "key"] and kinds[6] == []
-    assert kinds[7] == ["assign", "id"] and kinds[8] == ["assign"] and kinds[9] == ["assign", "id"]
+    assert kinds[7] == ["assign", "id"] and kinds[8] == ["assign"]
+    # The value takes the identifier in: parts that overlap don't complete each other.
+    assert kinds[9] == ["assign"]
+
+
+def test_parts_are_disjoint(spark):
+    texts = [
+        f"account_id: {'0a' * 16}",
+        f"account_id: {'aB3x' * 10}",
+        f"account_id: {'0a' * 16} https://host.example",
+        f"account_id: {'0a' * 16} {'0b' * 16}",
+        f"https://host.example account_id: {'0a' * 16} {'0b' * 16}",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = check(docs)
+    kinds = {i: [x.split(":")[0] for x in s.split(",") if x] for i, s in spans.items()}
+    assert kinds == {0: ["hex"], 1: [], 2: ["hex"], 3: ["id", "hex", "hex"], 4: ["url", "id", "hex", "hex"]}
+    linked = {(r["doc_id"], r["kind"]): r for r in S.links(docs).collect() if r["kind"] in ("id", "url")}
+    assert linked[3, "id"]["secret_part"] == ("hex", 45, 77) and linked[4, "url"]["id_part"] == ("id", 21, 65) and set(linked) == {(3, "id"), (4, "id"), (4, "url")}
 
 
 def test_redaction(spark, odd, sf):
