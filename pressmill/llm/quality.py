@@ -4,8 +4,8 @@ Small trees are grown on the statistics of labelled texts, each on the residuals
 root is a conjunctive rule; a lasso logistic regression weighs the rules, and those with a weight are compiled into one
 Spark column expression.
 
-Bound: a model is fitted on at most ``max_rows`` labelled rows (those with the smallest hash of their id). Scores cover
-all rows and whole texts.
+Bound: a model is fitted on at most ``max_rows`` labelled rows (those with the smallest hash of their id, of rows with one
+id those with the smallest statistics); no more are collected, however ids repeat. Scores cover all rows and whole texts.
 
 Defined results: null and empty texts have all statistics 0 and a score like any other; repeated labels each count;
 labels other than 0 and 1 are left out; with no label of one kind every score is the share of the other, smoothed;
@@ -162,11 +162,12 @@ def fit(labelled: DataFrame, max_rows: int = 20_000) -> RuleEnsemble:
     """Learn from columns doc_id, text and quality (0 or 1)."""
     names = list(statistics(F.col("text")))
     known = labelled.where(F.col("quality").isin(0, 1))
-    # Ids are ranked first, so that statistics are taken of the chosen texts alone.
-    chosen = known.select("doc_id", F.xxhash64("doc_id").alias("_h")).distinct().orderBy("_h", "doc_id").limit(max_rows)
-    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("quality"), *(c.cast("double").alias(k) for k, c in statistics(F.col("text")).items()))
-    # Sorted here, so that the order in which partitions come doesn't matter.
-    found = rows.toPandas().sort_values([*names, "quality"])
+    # Ids are ranked first, so that statistics are taken of chosen texts alone; an id's rows may pass the cut together.
+    place = F.xxhash64("doc_id")
+    cut = known.select(place.alias("_h")).orderBy("_h").limit(max_rows).agg(F.max("_h")).first()[0]
+    rows = known.where(place <= F.lit(cut).cast("long")).select(place.alias("_h"), F.col("quality"), *(c.cast("double").alias(k) for k, c in statistics(F.col("text")).items()))
+    # An order of all columns: neither the cut nor the model depends on the order in which partitions come.
+    found = rows.orderBy("_h", *names, "quality").limit(max_rows).toPandas()
     return fit_arrays(found[names].to_numpy(np.float64), found["quality"].to_numpy(np.float64), names)
 
 
