@@ -2,18 +2,22 @@
 
 A unit vector is coded as a sum of one word from each of several full-dimensional codebooks, found by beam search over
 residuals. Its norm, divided by that of the decoded sum, is stored beside the code. A query's inner products with all
-words form a lookup table; a coded vector's score is the sum of its words' entries times the stored factor. The best
-``shortlist`` of each block of candidates are ranked again by exact inner products in double precision.
-
-Candidates and queries are dealt into blocks by a hash of their id; each block of queries meets each block of
-candidates in one task of bounded size, so a task's memory doesn't grow with the table.
-
-Bounds: codebooks are trained on at most ``train_rows`` vectors (those with the smallest hash of their id); they are of
-fixed size, and nothing else is broadcast. Every vector is coded and searched.
-
-Defined results: rows whose id is null, and vectors that are null, zero, or hold null or non-finite components, or whose
-dimension isn't the most common one, take no part; rows with a query's id are its own; an id that occurs again counts
-once; ties go to the smaller id; with fewer candidates all are returned; an empty table gives an empty result.
+words form a lookup table; a coded vector's score is the sum of its words' entries times the stored factor. The
+``shortlist`` best of all candidates of a query are ranked again by exact inner products in double precision.
+
+Codes and queries are dealt into blocks by a hash of their id; each block of queries meets each block of codes in one task
+of bounded size, so a task's memory doesn't grow with the table. What travels to these tasks is codes (a byte a codebook)
+and the queries in single precision; original vectors travel to the shortlists only, in number of queries times
+``shortlist``. The comparisons grow with queries times candidates, as the query set is a fixed share of the table.
+
+Bounds: codebooks are trained on at most ``train_rows`` vectors of each dimension (those with the smallest hash of their
+id); they are of fixed size for a dimension, and nothing else is broadcast. Every vector is coded and searched.
+
+Defined results: rows whose id is null, and vectors that are null, zero, or hold null or non-finite components, take no
+part; vectors of different dimensions have no inner product, so a query finds those of its own; rows with a query's id are
+its own; an id that occurs again counts once, with its best score; ties go to the smaller id, on the shortlist too, where
+equal vectors have equal scores; with fewer candidates all are returned; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, table
@@ -104,100 +108,125 @@ def train(sample: np.ndarray, codebooks: int = 12, words: int = 256, rounds: int
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """id and vector (array of double) of the rows that take part."""
+    """id, vector (array of double) and dim, its length, of the rows that take part."""
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    sizes = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vector") == (sizes["n"] if sizes else 0))
+    return rows.withColumn("dim", F.size("vector"))
 
 
 def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, train_rows: int = 8192, block_rows: int = 4096, query_rows: int = 384, shortlist: int = 256) -> DataFrame:
+def _blocks(n: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+
+
+def _models(rows: DataFrame, dims: list[int], train_rows: int) -> dict[int, AdditiveQuantiser]:
+    """A quantiser for each dimension."""
+    place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id", "vector"))
+    chosen = rows.withColumn("_place", place).where(F.col("_place") <= train_rows).select("dim", "_place", "vector").toArrow()
+    out = {}
+    for dim in dims:
+        own = chosen.filter(pa.compute.equal(chosen["dim"], dim)).sort_by("_place")
+        sample = _matrix(own["vector"].combine_chunks(), np.float64)
+        out[dim] = train(sample / np.linalg.norm(sample, axis=1, keepdims=True))
+    return out
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, train_rows: int = 8192, block_rows: int = 16_384, query_rows: int = 512, shortlist: int = 96) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors (id, vector) that is_query holds for, its k nearest."""
     spark = vectors.sparkSession
     rows = usable(vectors)
-    counted = rows.agg(F.count("*").alias("n"), F.count_if(is_query(F.col("id"))).alias("q")).first()
-    n_blocks, n_query_blocks = max(1, -(-counted["n"] // block_rows)), max(1, -(-counted["q"] // query_rows))
-    chosen = rows.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    sample = np.array([r["vector"] for r in chosen.collect()], np.float64)
-    if not len(sample):
+    counted = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query(F.col("id"))).alias("q")).where("q > 0").collect()
+    if not counted:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast(train(sample))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each block and batch: ids, codes, stored factors and vectors as bytes."""
-        model = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "block"))
-            full = _matrix(batch.column("vector"), np.float64)
-            norms = np.linalg.norm(full, axis=1)
-            codes, decoded = model.encode((full / norms[:, None]).astype(np.float32))
-            factor = (norms / np.maximum(decoded, 1e-6)).astype(np.float32)
-            out = {"block": [], "ids": [], "codes": [], "factors": [], "vectors": []}
-            for b in np.unique(block):
-                at = np.flatnonzero(block == b)
-                for name, x in (("block", int(b)), ("ids", ids[at].tobytes()), ("codes", codes[at].tobytes()), ("factors", factor[at].tobytes()), ("vectors", full[at].tobytes())):
-                    out[name].append(x)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("ids", "codes", "factors", "vectors"))]))
-
-    packed = "block int, ids binary, codes binary, factors binary, vectors binary"
-    candidates = map_arrow(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")), pack, packed)
-    queries = map_arrow(rows.where(is_query(F.col("id"))).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_query_blocks)).cast("int")), pack, packed)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    met = candidates.select(F.col("block").alias("c"), every(n_query_blocks).alias("q"), F.lit(False).alias("asks"), "ids", "codes", "factors", "vectors").unionByName(
-        queries.select(every(n_blocks).alias("c"), F.col("block").alias("q"), F.lit(True).alias("asks"), "ids", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("factors"), "vectors")
-    )
+    dims = [r["dim"] for r in counted]
+    rows = rows.where(F.col("dim").isin(dims))
+    shared = spark.sparkContext.broadcast(_models(rows, dims, train_rows))
+    number = lambda column, size: F.element_at(F.create_map(*(F.lit(x) for r in counted for x in (r["dim"], max(1, -(-r[column] // size))))), F.col("dim"))
+    n_blocks, n_query_blocks = number("n", block_rows), number("q", query_rows)
+
+    def pack(asks: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """One row for each block and batch: ids, and queries in single precision, or codes and stored factors."""
+            for batch in batches:
+                out: dict[str, list] = {c: [] for c in ("dim", "block", "others", "ids", "queries", "codes", "factors")}
+                every, cells = batch.column("dim").to_numpy(), batch.column("block").to_numpy()
+                for dim in np.unique(every):
+                    own = np.flatnonzero(every == dim)
+                    full = _matrix(batch.column("vector").take(pa.array(own)), np.float64)
+                    ids = batch.column("id").to_numpy(zero_copy_only=False)[own].astype(np.int64)
+                    if not asks:
+                        model = shared.value[int(dim)]
+                        norms = np.linalg.norm(full, axis=1)
+                        codes, decoded = model.encode((full / norms[:, None]).astype(np.float32))
+                        factor = (norms / np.maximum(decoded, 1e-6)).astype(np.float32)
+                    for b in np.unique(cells[own]):
+                        at = np.flatnonzero(cells[own] == b)
+                        row = (int(dim), int(b), batch.column("others")[int(own[0])].as_py(), ids[at].tobytes())
+                        row += (full[at].astype(np.float32).tobytes(), None, None) if asks else (None, codes[at].tobytes(), factor[at].tobytes())
+                        for column, x in zip(out.values(), row, strict=True):
+                            column.append(x)
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("others", pa.int32()), *((c, pa.binary()) for c in ("ids", "queries", "codes", "factors"))]))
+
+        return run
+
+    packed = "dim int, block int, others int, ids binary, queries binary, codes binary, factors binary"
+    every = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    candidates = map_arrow(rows.select("id", "vector", "dim", _blocks(n_blocks, 0).alias("block"), n_query_blocks.cast("int").alias("others")), pack(False), packed)
+    queries = map_arrow(rows.where(is_query(F.col("id"))).select("id", "vector", "dim", _blocks(n_query_blocks, 1).alias("block"), n_blocks.cast("int").alias("others")), pack(True), packed)
+    met = candidates.select("dim", F.col("block").alias("c"), every.alias("q"), "ids", "queries", "codes", "factors").unionByName(queries.select("dim", every.alias("c"), F.col("block").alias("q"), "ids", "queries", "codes", "factors"))
 
     def nearest(group: pa.Table) -> pa.Table:
-        model, sides = shared.value, {}
-        width = model.books.shape[2]
-        for asks in (False, True):
-            part = group.filter(pa.compute.equal(group["asks"], asks))
-            join = lambda c: b"".join(x.as_py() or b"" for x in part[c])  # noqa: B023, E731
-            ids = np.frombuffer(join("ids"), np.int64)
-            full = np.frombuffer(join("vectors"), np.float64).reshape(len(ids), width)
-            codes = np.frombuffer(join("codes"), np.uint8).reshape(-1, len(model.books))
-            factor = np.frombuffer(join("factors"), np.float32)
-            order = np.lexsort((*full.T[::-1], ids)) if len(np.unique(ids)) < len(ids) else np.argsort(ids)
-            order = order[np.concatenate([[True], np.diff(ids[order]) != 0])] if len(ids) and not asks else order
-            sides[asks] = ids[order], full[order], codes[order] if len(codes) else codes, factor[order] if len(factor) else factor
-        (ids, full, codes, factor), (asked, wanted, _, _) = sides[False], sides[True]
+        model = shared.value[group["dim"][0].as_py()]
+        asks = pa.compute.is_valid(group["queries"])
+        sides = group.filter(pa.compute.invert(asks)), group.filter(asks)
+        join = lambda side, c: b"".join(x.as_py() for x in sides[side][c])
+        ids, asked = np.frombuffer(join(0, "ids"), np.int64), np.frombuffer(join(1, "ids"), np.int64)
         out: tuple[list, list, list] = ([], [], [])
-        if len(ids):
-            lookups = codes.T.astype(np.int64)
-            for at in range(0, len(asked), 64):
-                luts = model.tables(wanted[at : at + 64].astype(np.float32))
+        if len(ids) and len(asked):
+            codes = np.frombuffer(join(0, "codes"), np.uint8).reshape(len(ids), -1)
+            factor, wanted = np.frombuffer(join(0, "factors"), np.float32), np.frombuffer(join(1, "queries"), np.float32).reshape(len(asked), -1)
+            order = np.argsort(ids, kind="stable")
+            ids, factor, lookups = ids[order], factor[order], np.ascontiguousarray(codes[order].T).astype(np.int64)
+            for at in range(0, len(asked), 16):
+                luts = model.tables(wanted[at : at + 16])
                 rough = luts[:, 0].take(lookups[0], axis=1)
                 for m in range(1, len(lookups)):
                     rough += luts[:, m].take(lookups[m], axis=1)
                 rough *= factor
-                for i, q in enumerate(asked[at : at + 64]):
-                    near = rough[i]
-                    if len(ids) > shortlist:
-                        # All that tie with the last of the shortlist stay: equal vectors have equal codes.
-                        near = np.flatnonzero(near >= np.partition(near, len(near) - shortlist)[len(near) - shortlist])
-                    else:
-                        near = np.arange(len(ids))
-                    near = near[ids[near] != q]
-                    exact = (full[near] * wanted[at + i]).sum(1)
-                    top = np.lexsort((ids[near], -exact))[:k]
-                    out[0].append(np.full(len(top), q))
-                    out[1].append(ids[near][top])
-                    out[2].append(exact[top])
-        flat = [np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table({"query_id": flat[0].astype(np.int64), "vec_id": flat[1].astype(np.int64), "score": flat[2]})
-
-    found = met.groupBy("c", "q").applyInArrow(nearest, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                for near, q in zip(rough, asked[at : at + 16], strict=True):
+                    top = np.flatnonzero(ids != q)
+                    if len(top) > shortlist:
+                        # Of equal scores the smaller ids, which come first here.
+                        least = np.partition(near[top], len(top) - shortlist)[len(top) - shortlist]
+                        above, equal = top[near[top] > least], top[near[top] == least]
+                        top = np.concatenate([above, equal[: shortlist - len(above)]])
+                    for column, x in zip(out, (np.full(len(top), q), ids[top], near[top]), strict=True):
+                        column.append(x)
+        flat = [np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(out, (np.int64, np.int64, np.float32), strict=True)]
+        return pa.table({"query_id": flat[0], "vec_id": flat[1], "rough": flat[2]})
+
+    found = met.groupBy("dim", "c", "q").applyInArrow(nearest, "query_id long, vec_id long, rough float")
+    by_rough = Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id")
+    pairs = found.withColumn("_place", F.row_number().over(by_rough)).where(F.col("_place") <= shortlist).select("query_id", "vec_id")
+    pairs = pairs.join(rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("found"), F.col("dim").alias("found_dim")), "vec_id")
+    pairs = pairs.join(rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("vector").alias("asked"), "dim"), "query_id").where("dim = found_dim")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score, every = np.empty(batch.num_rows), batch.column("dim").to_numpy()
+            for dim in np.unique(every):
+                own = np.flatnonzero(every == dim)
+                score[own] = (_matrix(batch.column("found").take(pa.array(own)), np.float64) * _matrix(batch.column("asked").take(pa.array(own)), np.float64)).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    scored = map_arrow(pairs.select("query_id", "vec_id", "dim", "found", "asked"), exact, "query_id long, vec_id long, score double")
+    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_additive_quantisation(spark, sf_dir: str) -> DataFrame:
