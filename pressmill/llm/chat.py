@@ -1,33 +1,41 @@
 """Chat formatting in budgeted windows, in built-in expressions only.
 
-A conversation's turns, in order, are laid end to end in tokens; prefix sums say where each starts and ends. The line
-is cut at multiples of a stride, and turns that end in one stretch form a window: turns are never cut. A turn that
-reaches into a stretch from the one before joins that stretch's window only if all of it fits the stride, and is else
-a window of its own. Each window starts with the conversation's system turn, then repeats turns before it that end
-within ``history_tokens``; repeated turns are context, and only a window's own assistant texts are under the loss.
+A conversation's turns, in order, are laid end to end in tokens; prefix sums say where each starts and ends. What a system
+turn leaves of the budget is room for others; a part of it, ``history_tokens`` but a quarter of the room at most, is for
+repeated turns, and the rest is the stride. The line is cut at multiples of the stride, and turns that end in one stretch
+form a window: turns are never cut. A turn that reaches into a stretch from the one before joins that stretch's window
+only if all of it fits the stride, and is else a window of its own. Each window starts with the conversation's system turn,
+then repeats turns before it as far as history and what its own turns leave of the room allow; repeated turns are context,
+and only a window's own assistant texts are under the loss. So a window keeps to the budget, but for one whose only own
+turn, with the system turn, doesn't: that is marked over_budget.
 
 Tokens are estimated as a quarter of the UTF-8 bytes, with TURN_TOKENS for the marks; ``tokens`` takes another column.
 
-Prefix sums run over blocks of turns first and then over block totals, so that a conversation with most of the rows is
-spread over tasks.
+Texts travel twice: to the block of turns that they are sorted in, and to their windows. Prefix sums run over blocks first
+and then over block totals; windows are planned on numbers alone, and their plan comes back to the blocks. A block is
+BLOCK_TURNS numbers of turns; where more than HOT_TURNS rows fall in one (turns repeated, or without a number), it is
+divided by turn, role and the first characters of the text. Equal rows of one conversation are sorted in one task.
 
 Template: ``### role:``, a line break, the text, a line break, ``</turn>``, a line break. Inside texts and roles a
 backslash goes before each backslash, ``###`` and ``</turn>``, so a bare mark is always the template's.
 
 Defined results: null texts and roles are empty; turns are ordered by turn (nulls first), then role and text, so
-repeated rows are turns of their own; rows with a null conv_id form one conversation; a turn beyond the stride gives a
-window marked over_budget; extra columns are ignored; an empty table gives an empty result.
+repeated rows are turns of their own; rows with a null conv_id form one conversation; a system turn beyond the budget
+leaves every window over it; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import Steps, few_tasks, small, table
 
 TURN_TOKENS = 8
 BLOCK_TURNS = 256
+HOT_TURNS = 2048
+PREFIX_CHARS = 12
 #: Fixed value: the probe conversation's text.
 PROBE = "\\### Assistant: </turn> ok"
 
@@ -44,30 +52,25 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4)
 
 
-def _placed(turns: DataFrame, tokens) -> tuple[DataFrame, DataFrame]:
-    """Turns with their place (idx) and token interval; blocks with totals before them and the system turn."""
+def _rows(turns: DataFrame, tokens) -> DataFrame:
+    """Turns with key, the conversation as a string, block, in which they are sorted, and n, their tokens."""
     rows = turns.select(
-        "conv_id",
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("-")).alias("key"),
-        F.col("turn"),
-        F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 60))).alias("block"),
+        # A null is a conversation of its own, unlike any value.
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-")).alias("key"),
+        "turn",
+        F.floor(F.col("turn") / BLOCK_TURNS).alias("_block"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("n", (tokens(F.col("text")) + TURN_TOKENS).cast("long"))
-    in_block = Window.partitionBy("key", "block").orderBy("turn", "role", "text")
-    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_i", F.row_number().over(in_block)).withColumn("_end", F.sum("n").over(upto))
-    blocks = rows.groupBy("key", "block").agg(F.sum("n").alias("_sum"), F.count("*").alias("_count"), F.max(F.when((F.col("_i") == 1) & (F.col("role") == "system"), F.struct("text", "n"))).alias("_first"))
-    by_block = Window.partitionBy("key").orderBy("block")
-    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        "key",
-        "block",
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_tokens"),
-        F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_turns"),
-        F.first("_first").over(by_block).alias("system"),
     )
-    return rows, blocks
+    hot = rows.groupBy("key", F.coalesce("_block", F.lit(-(1 << 60))).alias("_at")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_TURNS).select("key", "_at")
+    hot, found = Steps(turns.sparkSession).store(hot, few_tasks(turns.sparkSession), n=F.count(F.lit(1)))
+    if found["n"]:
+        rows = rows.withColumn("_at", F.coalesce("_block", F.lit(-(1 << 60)))).join(small(hot.withColumn("_hot", F.lit(True)), found["n"]), ["key", "_at"], "left")
+        part = F.when(F.col("_hot"), F.struct("turn", "role", F.substring("text", 1, PREFIX_CHARS).alias("prefix")))
+    else:
+        part = F.lit(None).cast(T.StructType([turns.schema["turn"], T.StructField("role", T.StringType()), T.StructField("prefix", T.StringType())]))
+    rows = rows.withColumn("block", F.struct(F.col("_block").alias("number"), part.alias("part")))
+    return rows.select("key", "block", "turn", "role", "text", (tokens(F.col("text")) + TURN_TOKENS).cast("long").alias("n"))
 
 
 def windows(turns: DataFrame, max_tokens: int = 1024, history_tokens: int = 256, tokens=estimated_tokens) -> DataFrame:
@@ -76,53 +79,69 @@ def windows(turns: DataFrame, max_tokens: int = 1024, history_tokens: int = 256,
     Columns: conv_id, window (token at which its own turns start), n_tokens, over_budget, text, and turns, an array of
     (idx, repeated, loss, start, text_start, text_end, end): code points of each turn and of its text in the window.
     """
-    rows, blocks = _placed(turns, tokens)
-    placed = rows.join(blocks, ["key", "block"]).select(
-        "key",
-        "conv_id",
-        "role",
-        "text",
-        "n",
-        "system",
-        (F.col("_turns") + F.col("_i") - 1).alias("idx"),
+    in_block = Window.partitionBy("key", "block").orderBy("turn", "role", "text")
+    base = _rows(turns, tokens)
+    # All uses of rows take the same columns, so that texts are sorted once.
+    rows = base.withColumn("i", F.row_number().over(in_block)).withColumn("_end", F.sum("n").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    is_system = (F.col("i") == 1) & (F.col("role") == "system")
+    blocks = rows.groupBy("key", "block").agg(F.sum("n").alias("_sum"), F.count("*").alias("_count"), F.max(F.when(is_system, F.col("n"))).alias("_system"))
+    by_block = Window.partitionBy("key").orderBy("block")
+    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        "key", "block",
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_tokens"),
+        F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_turns"),
+        # Only the first turn of a conversation can be its system turn.
+        F.first("_system").over(by_block).alias("system_n"),
+    )
+    light = rows.select("key", "block", "i", "n", "_end").join(blocks, ["key", "block"])
+    room = F.greatest(F.lit(max_tokens) - F.coalesce("system_n", F.lit(0)), F.lit(1))
+    placed = light.select(
+        "key", "block", "i", "n", "system_n",
+        (F.col("_turns") + F.col("i") - 1).alias("idx"),
         (F.col("_tokens") + F.col("_end") - F.col("n")).alias("at"),
         (F.col("_tokens") + F.col("_end")).alias("to"),
-    )
-    system_n = F.coalesce(F.col("system.n"), F.lit(0))
-    stride = F.greatest(F.lit(max_tokens - history_tokens) - system_n, F.lit(max(1, max_tokens // 4))).cast("long")
-    placed = placed.withColumn("stride", stride).withColumn("bucket", F.floor((F.col("to") - 1) / F.col("stride")))
+        room.alias("room"),
+        F.least(F.lit(history_tokens), F.floor(room / 4)).alias("history"),
+    )
+    placed = placed.withColumn("stride", F.greatest(F.col("room") - F.col("history"), F.lit(1))).withColumn("bucket", F.floor((F.col("to") - 1) / F.col("stride")))
     # The turns that end in one stretch: at most stride tokens, and one turn that comes from before.
     stretch = Window.partitionBy("key", "bucket")
     crosses = F.col("at") < F.col("bucket") * F.col("stride")
-    placed = placed.withColumn("_alone", crosses & (F.sum("n").over(stretch) > F.col("stride")))
-    window = Window.partitionBy("key", "bucket", "_alone")
-    placed = placed.withColumn("window", F.min("at").over(window)).drop("_alone", "bucket")
-    piece = F.concat(F.lit("### "), escape(F.col("role")), F.lit(":\n"), escape(F.col("text")), F.lit("\n</turn>\n"))
-    head = F.length(escape(F.col("role"))) + 6
-    own = placed.select("key", "conv_id", "window", "idx", "n", "stride", F.lit(False).alias("repeated"), (F.col("role") == "assistant").alias("loss"), head.alias("head"), piece.alias("piece"))
-    starts = placed.where(F.col("at") == F.col("window")).select("key", "conv_id", "window", "stride", "system", "idx")
-    # Interval join: a turn is history of the windows that start within history_tokens after its start. Turns and
-    # windows meet in bins of that length, of which a turn touches three at most.
-    bin_of = lambda c: F.floor(c / history_tokens)
-    candidates = placed.where((F.col("n") <= history_tokens) & ~((F.col("idx") == 0) & (F.col("role") == "system"))).select(
-        "key", "idx", "n", "at", "to", head.alias("head"), piece.alias("piece"), F.explode(F.sequence(bin_of(F.col("to")), bin_of(F.col("at") + history_tokens))).alias("_bin")
-    )
+    placed = placed.withColumn("alone", crosses & (F.sum("n").over(stretch) > F.col("stride")))
+    window = Window.partitionBy("key", "bucket", "alone")
+    placed = placed.withColumn("window", F.min("at").over(window)).withColumn("own_n", F.sum("n").over(window))
+    own = placed.select("key", "block", "i", "idx", "window", F.lit(False).alias("repeated"))
+    allowed = F.greatest(F.lit(0), F.least(F.col("history"), F.col("room") - F.col("own_n")))
+    starts = placed.where(F.col("at") == F.col("window")).select("key", "window", "system_n", "idx", allowed.alias("allowed"))
+    # Interval join: a turn is history of the windows that start within what they allow after its start. Turns and
+    # windows meet in bins of history_tokens, of which a turn touches three at most.
+    bin_of = lambda c: F.floor(c / max(1, history_tokens))
+    is_first_system = (F.col("idx") == 0) & F.col("system_n").isNotNull()
+    candidates = placed.where((F.col("n") <= history_tokens) & ~is_first_system).select("key", "block", "i", "idx", "at", "to", F.explode(F.sequence(bin_of(F.col("to")), bin_of(F.col("at") + history_tokens))).alias("_bin"))
     history = (
-        candidates.join(starts.select("key", "conv_id", "window", "stride", bin_of(F.col("window")).alias("_bin")), ["key", "_bin"])
-        .where((F.col("window") >= F.col("to")) & (F.col("window") <= F.col("at") + history_tokens))
-        .select("key", "conv_id", "window", "idx", "n", "stride", F.lit(True).alias("repeated"), F.lit(False).alias("loss"), "head", "piece")
+        candidates.join(starts.select("key", "window", "allowed", bin_of(F.col("window")).alias("_bin")), ["key", "_bin"])
+        .where((F.col("window") >= F.col("to")) & (F.col("window") - F.col("at") <= F.col("allowed")))
+        .select("key", "block", "i", "idx", "window", F.lit(True).alias("repeated"))
     )
-    system = starts.where(F.col("system").isNotNull() & (F.col("idx") > 0)).select(
-        "key", "conv_id", "window", F.lit(0).cast("long").alias("idx"), F.col("system.n").alias("n"), "stride", F.lit(True).alias("repeated"), F.lit(False).alias("loss"), F.lit(len("### system:\n")).alias("head"),
-        F.concat(F.lit("### system:\n"), escape(F.col("system.text")), F.lit("\n</turn>\n")).alias("piece"),
-    )
-    every = own.unionByName(history).unionByName(system).repartition("key", "window")
+    # What a block's turns are used for, as one row, so that texts stay where they were sorted.
+    uses = own.unionByName(history).groupBy("key", "block", "i").agg(F.collect_list(F.struct("window", "repeated", "idx")).alias("uses"))
+    uses = uses.groupBy("key", "block").agg(F.map_from_entries(F.collect_list(F.struct("i", "uses"))).alias("uses"))
+    used = rows.join(uses, ["key", "block"]).select("key", "role", "text", "n", F.explode(F.element_at("uses", F.col("i"))).alias("use"))
+    used = used.select("key", "use.window", "use.idx", "use.repeated", "role", "text", "n")
+    first = base.groupBy("key").agg(F.min("block").alias("block"))
+    system = rows.where(is_system).select("key", "block", "text", "n").join(first, ["key", "block"]).select("key", "text", "n")
+    again = starts.where(F.col("system_n").isNotNull() & (F.col("idx") > 0)).select("key", "window").join(system, "key")
+    every = used.unionByName(again.select("key", "window", F.lit(0).cast("long").alias("idx"), F.lit(True).alias("repeated"), F.lit("system").alias("role"), "text", "n"))
+    every = every.repartition("key", "window").withColumn("piece", F.concat(F.lit("### "), escape(F.col("role")), F.lit(":\n"), escape(F.col("text")), F.lit("\n</turn>\n")))
     upto = Window.partitionBy("key", "window").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = every.withColumn("end", F.sum(F.length("piece")).over(upto)).withColumn("start", F.col("end") - F.length("piece"))
-    turn = F.struct("idx", "repeated", "loss", "start", (F.col("start") + F.col("head")).alias("text_start"), (F.col("end") - len("\n</turn>\n")).alias("text_end"), "end", "piece")
-    grouped = every.groupBy("key", "window").agg(F.first("conv_id").alias("conv_id"), F.sum("n").alias("n_tokens"), F.sum(F.when(~F.col("repeated"), F.col("n"))).alias("_own"), F.first("stride").alias("_stride"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    loss = ~F.col("repeated") & (F.col("role") == "assistant")
+    turn = F.struct("idx", "repeated", loss.alias("loss"), "start", (F.col("start") + F.length(escape(F.col("role"))) + 6).alias("text_start"), (F.col("end") - len("\n</turn>\n")).alias("text_end"), "end", "piece")
+    grouped = every.groupBy("key", "window").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    conversation = F.when(F.col("key").startswith("="), F.expr("substring(key, 2)").cast(turns.schema["conv_id"].dataType))
     return grouped.select(
-        "conv_id", "window", "n_tokens", (F.col("_own") > F.col("_stride")).alias("over_budget"), F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("text"), F.transform("turns", lambda t: t.dropFields("piece")).alias("turns")
+        conversation.alias("conv_id"), "window", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_budget"), F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("text"), F.transform("turns", lambda t: t.dropFields("piece")).alias("turns")
     )
 
 

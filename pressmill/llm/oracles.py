@@ -78,17 +78,18 @@ def _chat(max_tokens: int = 1024, history_tokens: int = 256) -> str:
     piece = lambda role, text: f"length('### ' || {role} || ':' || chr(10) || {text} || chr(10) || '</turn>' || chr(10))"
     escaped = lambda c: f"regexp_replace({c}, '(\\\\|###|</turn>)', '\\\\\\1', 'g')"
     return f"""
-WITH c AS (SELECT conv_id, coalesce(conv_id::VARCHAR, '-') AS key, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+WITH c AS (SELECT conv_id, coalesce('=' || conv_id, '-') AS key, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
     FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{probe}'), (-7, 1, 'assistant', '{probe}'))),
 n AS (SELECT *, (strlen(text) + 3) // 4 + {chat.TURN_TOKENS} AS n, {piece(escaped("role"), escaped("text"))} AS chars FROM c),
 o AS (SELECT *, row_number() OVER s - 1 AS idx, sum(n) OVER (s ROWS UNBOUNDED PRECEDING) AS upto FROM n WINDOW s AS (PARTITION BY key ORDER BY turn NULLS FIRST, role, text)),
 y AS (SELECT key, n AS system_n, chars AS system_chars FROM o WHERE idx = 0 AND role = 'system'),
-p AS (SELECT o.*, upto - n AS began, greatest({max_tokens - history_tokens} - coalesce(system_n, 0), {max(1, max_tokens // 4)}) AS stride, system_n, system_chars FROM o LEFT JOIN y USING (key)),
+r AS (SELECT o.*, upto - n AS began, greatest({max_tokens} - coalesce(system_n, 0), 1) AS room, system_n, system_chars FROM o LEFT JOIN y USING (key)),
+p AS (SELECT *, least({history_tokens}, room // 4) AS hist, greatest(room - least({history_tokens}, room // 4), 1) AS stride FROM r),
 b AS (SELECT *, (upto - 1) // stride AS bucket FROM p),
 a AS (SELECT *, began < bucket * stride AND sum(n) OVER (PARTITION BY key, bucket) > stride AS alone FROM b),
-w AS (SELECT *, min(began) OVER (PARTITION BY key, bucket, alone) AS win FROM a),
+w AS (SELECT *, min(began) OVER (PARTITION BY key, bucket, alone) AS win, sum(n) OVER (PARTITION BY key, bucket, alone) AS own_n FROM a),
 starts AS (SELECT * FROM w WHERE began = win),
-extra AS (SELECT s.key, sum(h.chars) AS chars FROM starts s JOIN p h ON h.key = s.key AND h.n <= {history_tokens} AND NOT (h.idx = 0 AND h.role = 'system') AND s.win >= h.upto AND s.win <= h.began + {history_tokens} GROUP BY s.key),
+extra AS (SELECT s.key, sum(h.chars) AS chars FROM starts s JOIN p h ON h.key = s.key AND h.n <= {history_tokens} AND NOT (h.idx = 0 AND h.role = 'system') AND s.win >= h.upto AND s.win - h.began <= greatest(0, least(s.hist, s.room - s.own_n)) GROUP BY s.key),
 again AS (SELECT key, sum(system_chars) AS chars FROM starts WHERE idx > 0 AND system_chars IS NOT NULL GROUP BY key),
 d AS (SELECT key, any_value(conv_id) AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars) AS chars FROM o GROUP BY key)

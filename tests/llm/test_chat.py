@@ -54,6 +54,37 @@ def test_windows(spark):
     assert any(t["repeated"] and t["idx"] for w in found for t in w["turns"])
 
 
+def test_budget_with_a_long_system_turn(spark):
+    rows = [(c, 0, "system", "s" * size) for c, size in ((1, 2400), (2, 3900), (3, 8000))]
+    rows += [(c, i, "user" if i % 2 else "assistant", f"{i} " + "word " * (5 + 7 * i % 40)) for c in (1, 2, 3) for i in range(1, 40)]
+    rows += [(4, 0, "user", "x" * 9000), (4, 1, "assistant", "short")]
+    found = chat.windows(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert digest(chat.windows(spark.createDataFrame(rows, SCHEMA))) == expected(rows)
+    cost = {(c, i): -(-len(x.encode()) // 4) + chat.TURN_TOKENS for c, i, _, x in rows}
+    for w in found:
+        assert w["n_tokens"] == sum(cost[w["conv_id"], t["idx"]] for t in w["turns"])
+        assert w["over_budget"] == (w["n_tokens"] > 1024)
+        own = [t["idx"] for t in w["turns"] if not t["repeated"]]
+        system = cost[w["conv_id"], 0] if w["conv_id"] < 4 and own[0] else 0
+        # Only a turn that can't fit is over the budget, and then nothing but the system turn is with it.
+        assert not w["over_budget"] or len(own) == 1 and system + cost[w["conv_id"], own[0]] > 1024 and len(w["turns"]) == 1 + (system > 0)
+    assert not any(w["over_budget"] for w in found if w["conv_id"] == 1) and all(w["over_budget"] for w in found if w["conv_id"] == 3)
+    assert [w["over_budget"] for w in sorted((w for w in found if w["conv_id"] == 4), key=lambda w: w["window"])] == [True, False]
+    assert any(t["repeated"] and t["idx"] for w in found for t in w["turns"] if w["conv_id"] == 1)
+
+
+def test_hot_conversations_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(chat, "HOT_TURNS", 20)
+    rows = [(7, t, r, f"{i % 50} some words {i}") for i in range(300) for t, r in ((None, "user"), (3, "assistant"), (i, "user"))]
+    rows += [(None, 1, "user", "same")] * 60 + [(8, i, "user", "few") for i in range(5)] + ODD
+    turns = spark.createDataFrame(rows, SCHEMA)
+    for name in ("key", "block", "window", "n", "i", "idx", "turns", "uses"):
+        turns = turns.selectExpr("*", f"'clash' as {name}")
+    assert digest(chat.windows(turns)) == expected(rows)
+    blocks = chat._rows(turns, chat.estimated_tokens).groupBy("key", "block").count()
+    assert blocks.where("count > 60").isEmpty() and chat.read_back(chat.windows(turns.limit(0))).isEmpty()
+
+
 def test_plan_is_native(spark, sf):
     plan = chat.op1_chat_windows(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
