@@ -48,7 +48,7 @@ class LanguageModel:
     recheck: float = 0.05
     recheck_level: int = 12
     #: A text is accepted if the second best language needs this much more than the best.
-    margin: float = 0.002
+    margin: float = 0.005
 
 
 def fit(train: DataFrame, docs_per_language: int = 160, dictionary_bytes: int = 64 * 1024, model_bytes: int = 32 << 20) -> LanguageModel:

@@ -55,9 +55,11 @@ def test_jaccard_of_odd_documents(spark, odd):
     assert J.join(odd.limit(0)).isEmpty()
 
 
-@pytest.mark.parametrize("block", [4, 128])
-def test_jaccard_of_near_copies(spark, rng, monkeypatch, block):
+@pytest.mark.parametrize(("block", "size", "hot"), [(4, 4096, 20), (128, J.BLOCK_BYTES, J.HOT_SHINGLE)])
+def test_jaccard_of_near_copies(spark, rng, monkeypatch, block, size, hot):
     monkeypatch.setattr(J, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(J, "BLOCK_BYTES", size)
+    monkeypatch.setattr(J, "HOT_SHINGLE", hot)
     vocabulary = [f"w{i}" for i in range(3000)]
     base = rng.choices(vocabulary, k=120)
     rows = []
@@ -82,8 +84,13 @@ def test_tree():
         x = base[rng.random(80) > rng.random() * 0.3]
         sets[i] = np.unique(np.concatenate([x, rng.choice(10_000, rng.integers(0, 15)).astype(np.uint64)]))
         tree.add(i, sets[i])
-    probe = set(base.tolist())
-    assert sorted(tree.similar(base)) == [i for i, x in sets.items() if 100 * len(probe & set(x.tolist())) >= 75 * len(probe | set(x.tolist()))]
+    probes = [base, sets[7], sets[20], base[:3]]
+    wanted = [(1 << 60) - 1, (1 << 60) - 1, 0b1010101010 << 20, 1 << 4]
+    expected = []
+    for i, probe in enumerate(probes):
+        held = set(probe.tolist())
+        expected += [(i, k) for k, x in sets.items() if wanted[i] >> k & 1 and 100 * len(held & set(x.tolist())) >= 75 * len(held | set(x.tolist()))]
+    assert sorted(tree.similar(probes, wanted)) == expected and len(expected) > 40
 
 
 def test_components(spark, rng):
@@ -141,8 +148,97 @@ def test_recall_of_edited_leaks(spark, sf, rng):
     assert len(truth & got) / len(truth) >= 0.97
 
 
+def all_pairs(docs, items):
+    """The least edits of every (document, item) within the bound, by the whole computation for every pair."""
+    import numpy as np
+
+    number = {}
+    coded = lambda t: [number.setdefault(w, len(number) + 1) for w in ITEM.findall((t or "").lower())]
+    docs, items = ([(i, coded(t)) for i, t in rows] for rows in (docs, items))
+    out = {}
+    for d, text in docs:
+        held = set(text)
+        for i, item in items:
+            # No text within the bound lacks more of the item's words than the bound has edits.
+            if item and sum(w not in held for w in item) <= D.max_edits(len(item)):
+                edits = int(D.distances(np.array([item], np.uint64), np.array([len(item)]), np.array([text + [0]], np.uint64))[0][0])
+                if edits <= D.max_edits(len(item)):
+                    out[d, i] = min(edits, out.get((d, i), 99))
+    return out
+
+
+def edited(rng, words, n, kind, vocabulary):
+    words = list(words)
+    for at in sorted(rng.sample(range(len(words)), n), reverse=True):
+        do = rng.choice(("out", "in", "other")) if kind == "mixed" else kind
+        words[at : at + (do != "in")] = [] if do == "out" else [rng.choice(vocabulary)]
+    return words
+
+
+def test_leaks_against_all_pairs(spark, sf, rng):
+    source = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()][:40]
+    vocabulary = [w for _, t in source for w in t.split()]
+    short = [(900, "Zebra"), (901, "quiet zebra"), (902, "a b c"), (903, "one two three four"), (904, "zebra"), (905, "!!"), (906, None)]
+    docs = []
+    for d in range(120):
+        words = rng.choices(vocabulary, k=rng.randrange(10, 60))
+        if d % 3:
+            _, text = rng.choice(source)
+            item = text.split()
+            words[5:5] = edited(rng, item, rng.randrange(0, len(item) // 3), "mixed", vocabulary)
+        if d % 10 == 0:
+            words[3:3] = rng.choice(["quiet ZEBRA", "zebra", "a b, c", "one two three", "one two three four", "one two x four"]).split()
+        docs.append((d, " ".join(words)))
+    items = source + short
+    expected = all_pairs(docs, items)
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    of_short = lambda found: {p for p in found if p[1] >= 900}
+    assert set(got) <= set(expected) and of_short(got) == of_short(expected) and all(got[p] == 0 for p in of_short(got))
+    assert {p for p, e in expected.items() if e == 0} <= set(got) and len(expected) > 60
+    assert len(got) / len(expected) >= 0.99 and all(got[p] >= expected[p] for p in got)
+
+
+@pytest.mark.parametrize("kind", ["out", "in", "other", "mixed"])
+def test_recall_at_the_bound(spark, rng, kind):
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    source = [(r["item_id"], r["text"].split()) for r in items.orderBy("item_id").collect()]
+    vocabulary = [w for _, t in source for w in t]
+    rows, truth = [], set()
+    for k in range(400):
+        i, words = rng.choice(source)
+        words = edited(rng, words, int(0.25 * len(words)), kind, vocabulary)
+        rows.append((k, " ".join(rng.choices(vocabulary, k=rng.randrange(40)) + words + rng.choices(vocabulary, k=rng.randrange(40)))))
+        truth.add((k, i))
+    got = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert len(truth & got) / len(truth) >= 0.99
+
+
+def test_leaks_by_row(spark, sf):
+    source = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").limit(2).collect()]
+    miss = " ".join(w if i % 2 else "other" for i, w in enumerate(source[0].split()))
+    rows = [(1, miss)] * 50 + [(1, source[0]), (1, source[1]), (None, source[0]), (None, "clean"), (2, miss), (3, None), (3, "")]
+    items = spark.createDataFrame([(5, source[0]), (5, source[1]), (None, source[0])], "item_id long, text string")
+    found = []
+    for order in (rows, rows[::-1], rows[25:] + rows[:25]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").selectExpr("*", "'clash' as place", "0 as row_file", "0 as item_row")
+        found.append(sorted(((r["doc_id"], r["item_id"], r["edits"]) for r in D.find_leaks(docs.repartition(3), items).collect()), key=repr))
+    assert found[0] == found[1] == found[2] == sorted([(1, 5, 0), (1, None, 0), (None, 5, 0), (None, None, 0)], key=repr)
+
+
+def test_long_items_are_verified_in_bounded_pieces(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    items = [rng.integers(1, 1 << 62, n).astype(np.uint64) for n in (3000, 40, 5, 4, 2, 700)]
+    around = [np.concatenate([rng.integers(1, 1 << 62, 10).astype(np.uint64), np.delete(x, [0]) if len(x) > 4 else x]) for x in items]
+    whole = D._verified(items, around)
+    monkeypatch.setattr(D, "VERIFY_CELLS", 10)
+    pieces = D._verified(items, around)
+    assert list(whole[0]) == [1, 1, 1, 0, 0, 1] == list(pieces[0]) and list(whole[1]) == list(pieces[1])
+
+
 def test_leaks_of_odd_tables(spark, odd):
-    items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "the same text twice over"), (4, "the same text twice over"), (5, "lorem ipsum dolor sit amet")], "item_id long, text string")
-    got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in D.find_leaks(odd, items).collect())
-    assert got == [(4, 5, 0), (7, 4, 0)]
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "the same text twice over"), (4, "the same text twice over"), (5, "lorem ipsum dolor sit amet"), (6, "one"), (None, "words here")], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["edits"]) for r in D.find_leaks(odd, items).collect()), key=repr)
+    assert got == [(4, 5, 0), (6, 6, 0), (7, 4, 0), (None, None, 0)]
     assert D.find_leaks(odd.limit(0), items).isEmpty() and D.find_leaks(odd, items.limit(0)).isEmpty()

@@ -1,3 +1,7 @@
+import math
+import re
+import unicodedata
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -32,6 +36,76 @@ def test_every_part_of_a_long_text_counts(spark):
         assert (name, accepted) == (k, True) and score > 0.5 * sizer.predict(v[:30_000])[1]
 
 
+def test_languages_are_all_learned_within_the_bound(spark):
+    words = {f"x{i:02}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in ("alo", "beri", "condu", "dask", "ento")] for i in range(70)}
+    rows = [(i, " ".join(w[(i + j) % 5] for j in range(60)), k) for i in range(6) for k, w in words.items()]
+    # One id on many rows, and one long text, take no more than their share.
+    rows += [(1000, " ".join(words["x00"] * 40), "x00")] * 500 + [(1001, "zz " * 50_000, "x01")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(train, docs_per_language=8, dictionary_bytes=4096)
+    assert len(model.dictionaries) == 70 and all(len(d) <= 4096 for _, d in model.dictionaries) and model.dictionaries[0][0] == "x00"
+    assert dict(model.dictionaries)["x01"].count(b"zz") < 1100
+    assert sum(len(d) for _, d in language.fit(train, model_bytes=20_000).dictionaries) <= 20_000
+    docs = spark.createDataFrame([(i, " ".join(w[:3] * 9)) for i, w in enumerate(words.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert [got[i] for i in range(70)] == list(words)
+
+
+def test_mixed_texts_are_rejected_before_clean_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    sizer = language._Sizer(language.fit(language.training_rows(docs)))
+    by = {k: [r["text"] for r in docs.where(docs.lang == k).orderBy("doc_id").limit(60).collect()] for k in ("en", "fr", "de", "es")}
+    clean = [sizer.predict(t)[2] for k in by for t in by[k]]
+    mixed = [sizer.predict(f"{a[:400]} {b[:400]}") for a, b in zip(by["en"], by["fr"], strict=True)]
+    assert sum(clean) >= 0.99 * len(clean) and sum(1 for x in mixed if x[1] < 0.1) > 0 and sizer.predict("zq xw")[1] <= 1.0
+    # Equal sizes are a tie: the language with the most texts, without a margin.
+    tie = language._Sizer(language.LanguageModel((("aa", b"one two three"), ("bb", b"one two three"))))
+    assert tie.predict("one two three four") == ("aa", 0.0, False)
+
+
+def test_quality_bound_holds_for_repeated_ids(spark, monkeypatch):
+    rows = [(1, f"text {i % 7} of one id " * (1 + i % 3), i % 2) for i in range(3000)] + [(i, f"other {i}", i % 2) for i in range(2, 11)]
+    seen = []
+    fit_arrays = quality.fit_arrays
+    monkeypatch.setattr(quality, "fit_arrays", lambda x, y, names: seen.append((x.copy(), y.copy())) or fit_arrays(x, y, names))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    quality.fit(labelled, max_rows=10)
+    quality.fit(labelled.repartition(7).orderBy(F.desc("text")), max_rows=10)
+    assert all(len(y) == 10 for _, y in seen) and np.array_equal(seen[0][0], seen[1][0]) and np.array_equal(seen[0][1], seen[1][1])
+
+
+def plain_statistics(text):
+    """The statistics by loops over characters."""
+    t = text or ""
+    n, tokens, lines = max(len(t), 1), re.split("[ \n]", t), t.split("\n")
+    count = lambda kept: sum(1 for c in t if kept(c)) / n
+    runs, inside = 0, 0
+    for c in t + " ":
+        inside = inside + 1 if c in "#*$%&!?" else 0 * (runs := runs + (inside >= 2))
+    return {
+        "log_chars": math.log1p(len(t)), "token_length": n / len(tokens), "line_length": math.log1p(n / len(lines)), "distinct_tokens": len(set(tokens)) / len(tokens),
+        "distinct_lines": len(set(lines)) / len(lines), "symbols": count(lambda c: c in "#*$%&|~^_=+<>{}[]\\@"), "marks": count(lambda c: c in "!?"), "stops": count(lambda c: c in ".,;:"),
+        "digits": count(lambda c: c in "0123456789"), "capitals": count(lambda c: unicodedata.category(c) == "Lu"), "quotes": count(lambda c: c in "\"'()"), "symbol_runs": runs / len(tokens), "bars": count(lambda c: c == "|"),
+    }
+
+
+def test_quality_scores_against_loops(spark, odd):
+    """Every score of a table, by the rules read one by one."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs.join(labels, "doc_id").select("doc_id", "text", "quality"))
+    assert model.rules
+    for table in (docs, odd):
+        texts = [(r["doc_id"], r["text"]) for r in table.collect()]
+        expected = []
+        for i, t in texts:
+            x = plain_statistics(t)
+            z = model.intercept + sum(r.weight for r in model.rules if all((x[name] > cut) == above for name, above, cut in r.conditions))
+            expected.append((i, round(1 / (1 + math.exp(-z)), 9)))
+        got = [(r["doc_id"], round(r["score"], 9)) for r in quality.score(table, model).collect()]
+        assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_quality(spark, odd):
     sf = "/root/testdata/sf0.01"
     got = quality.op2_quality_rules(spark, sf)
@@ -70,6 +144,11 @@ def test_ann(spark):
         assert list(found["rank"]) == list(range(1, 21)) and np.array_equal(found["score"], [(x[i] * x[q]).sum() for i in found["vec_id"]])
         assert list(found["vec_id"]) == sorted(found["vec_id"], key=lambda i: (-scores[i], i))
     assert got["query_id"].nunique() == 75 and hits / (75 * 20) >= 0.9
+    assert ann.search(vectors.withColumn("dim", F.lit("clash")).withColumn("block", F.lit(0)), lambda i: i % 20 == 0).count() == 75 * 20
+    # A second dimension is searched on its own.
+    plane = spark.createDataFrame([(20_000 + i, [float(i), 1.0]) for i in range(1, 31)] + [(20_000, [1.0, 0.0])], "id long, vector array<double>")
+    both = ann.search(vectors.unionByName(plane), lambda i: i % 20 == 0).toPandas()
+    assert list(both[both["query_id"] == 20_000].sort_values("rank")["vec_id"]) == [20_030 - i for i in range(20)] and both["query_id"].nunique() == 77
     few = ann.search(vectors.where("id in (20, 40, 41)"), lambda i: i % 20 == 0)
     assert sorted((r["query_id"], r["vec_id"]) for r in few.collect()) == [(20, 40), (20, 41), (40, 20), (40, 41)]
     assert ann.search(vectors.limit(0), lambda i: i % 20 == 0).isEmpty()
