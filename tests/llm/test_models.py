@@ -167,6 +167,21 @@ def test_beam_search_is_no_worse_than_greedy():
     assert error[8] <= error[1] < 0.8
 
 
+def test_recall_of_the_query(spark):
+    """All queries of a table of 10,000 vectors against the whole computation."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist(), np.float64)
+    got = ann.op7_additive_quantisation(spark, sf).toPandas()
+    hits = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        scores = x @ x[i]
+        order = np.lexsort((ids, -scores))
+        best = [ids[j] for j in order if j != i][:20]
+        hits += len(set(best) & set(got.loc[got["query_id"] == ids[i], "vec_id"]))
+    assert len(got) == 20 * (ids % 20 == 0).sum() and hits / len(got) >= 0.97
+
+
 def test_ann_query(spark, sf):
     got = ann.op7_additive_quantisation(spark, sf)
     assert got.count() == 25 * 20 and got.where(F.col("query_id") == F.col("vec_id")).isEmpty()
