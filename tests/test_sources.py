@@ -53,6 +53,23 @@ def test_registry(tmp_path, spark):
     assert rows[0]["feed_url"] == "https://news.google.com/rss/search?q=TCS&hl=en-IN&gl=IN&ceid=IN%3Aen"
 
 
+def test_settings(monkeypatch):
+    """The defaults, and what the environment changes."""
+    names = "APP_NAME ENVIRONMENT GOOGLE_NEWS_BASE_URL GOOGLE_NEWS_LANGUAGE GOOGLE_NEWS_COUNTRY GOOGLE_NEWS_CEID REQUEST_TIMEOUT ARTICLE_TIMEOUT REQUEST_DELAY_SECONDS MAX_ARTICLES_PER_FEED DATABASE_URL RABBITMQ_URL ARTICLE_QUEUE ARTICLE_RETRY_QUEUE ARTICLE_DLQ"
+    for name in names.split():
+        monkeypatch.delenv(name, raising=False)
+    s = S.Settings()
+    assert (s.request_timeout, s.article_timeout, s.request_delay_seconds, s.max_articles_per_feed) == (15, 20, 1.0, 20)
+    assert (s.language, s.country, s.edition) == ("en-IN", "IN", "IN:en") and s.base_url.endswith("/rss/search") and s.database_url == s.broker_url == ""
+    assert (s.article_queue, s.retry_queue, s.dead_letter_queue) == ("article.processing", "article.processing.retry", "article.processing.dlq")
+    monkeypatch.setenv("REQUEST_TIMEOUT", "3")
+    monkeypatch.setenv("ARTICLE_QUEUE", "q")
+    assert S.Settings().request_timeout == 3 and S.Settings().article_queue == "q" and s.request_timeout == 15
+    monkeypatch.setenv("REQUEST_DELAY_SECONDS", "soon")
+    with pytest.raises(ValueError):
+        S.Settings()
+
+
 def test_feed_rows(spark):
     rows = [(0, "company_tcs", "company", "tcs", "q", True), (1, "company_tcs", "company", "tcs", "q", True), (2, "x_y", "x", "y", "q", True), (3, "company_y", "company", "y", "q", True), (4, "z", "sector", "it", "q", True), (5, "etf_gold", "etf", "gold", " ", True), (6, "macro_rbi", "macro", "rbi", "q", None)]
     checked = S.validate(spark.createDataFrame(rows, "feed_ord int, feed_id string, feed_type string, feed_value string, query string, enabled boolean"), S.vocabulary(spark))
