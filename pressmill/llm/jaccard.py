@@ -60,7 +60,7 @@ HOT_SHINGLE = 50_000
 #: Bytes of the sets that meet in a task, and pairs, on average; and sets on either side of a block of a family.
 BLOCK_BYTES = 8 << 20
 BLOCK_PAIRS = 1024
-FAMILY_BLOCK = 128
+FAMILY_BLOCK = 32
 #: Tree nodes per set that are walked one by one; the rest of each path is one leaf, counted at once.
 TREE_DEPTH = 24
 
@@ -444,7 +444,8 @@ def join(docs: DataFrame) -> DataFrame:
     grouped, found = steps.store(smallest.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class")), tasks_for(n_rows), n=F.count(F.lit(1)))
     least = grouped.groupBy("component").agg(F.min("own").alias("component_id"))
     named, _ = steps.store(grouped.join(least, "component").select("class", "component_id"), tasks_for(found["n"]))
-    out = of_docs.join(small(named, found["n"]), "class", "left")
+    # Both sides are read from storage, so Spark can split the rows of a class with many copies.
+    out = of_docs.join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out, _ = result.store(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")), tasks_for(n_rows))
     steps.clear()
