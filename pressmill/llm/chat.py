@@ -63,11 +63,13 @@ def _rows(turns: DataFrame, tokens) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     hot = rows.groupBy("key", F.coalesce("_block", F.lit(-(1 << 60))).alias("_at")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_TURNS).select("key", "_at")
-    hot, found = Steps(turns.sparkSession).store(hot, few_tasks(turns.sparkSession), n=F.count(F.lit(1)))
+    steps = Steps(turns.sparkSession)
+    hot, found = steps.store(hot, few_tasks(turns.sparkSession), n=F.count(F.lit(1)))
     if found["n"]:
         rows = rows.withColumn("_at", F.coalesce("_block", F.lit(-(1 << 60)))).join(small(hot.withColumn("_hot", F.lit(True)), found["n"]), ["key", "_at"], "left")
         part = F.when(F.col("_hot"), F.struct("turn", "role", F.substring("text", 1, PREFIX_CHARS).alias("prefix")))
     else:
+        steps.clear()
         part = F.lit(None).cast(T.StructType([turns.schema["turn"], T.StructField("role", T.StringType()), T.StructField("prefix", T.StringType())]))
     rows = rows.withColumn("block", F.struct(F.col("_block").alias("number"), part.alias("part")))
     return rows.select("key", "block", "turn", "role", "text", (tokens(F.col("text")) + TURN_TOKENS).cast("long").alias("n"))

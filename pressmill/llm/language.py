@@ -59,7 +59,8 @@ def fit(train: DataFrame, docs_per_language: int = 160, dictionary_bytes: int =
     ranked = known.select("lang", place.alias("place")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
     cuts = ranked.where(F.col("rank") <= docs_per_language).groupBy("lang").agg(F.max("place").alias("cut"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n_texts")).join(cuts, "lang")
-    counts, found = Steps(train.sparkSession).store(counts, few_tasks(train.sparkSession), n=F.count(F.lit(1)))
+    steps = Steps(train.sparkSession)
+    counts, found = steps.store(counts, few_tasks(train.sparkSession), n=F.count(F.lit(1)))
     dictionary_bytes = max(64, min(dictionary_bytes, model_bytes // max(1, found["n"])))
     rows = known.join(small(counts, found["n"]), "lang").where(place <= F.col("cut"))
     # Of rows with one id those with the smallest hash of their text, so that the bound holds however ids repeat.
@@ -72,6 +73,7 @@ def fit(train: DataFrame, docs_per_language: int = 160, dictionary_bytes: int =
     for row in rows.select("lang", "n_texts", "place", "digest", F.col("text").substr(F.lit(1), share).alias("text")).orderBy("lang", "place", "digest").collect():
         texts.setdefault(row["lang"], []).append(row["text"].lower())
         sizes[row["lang"]] = row["n_texts"]
+    steps.clear()
     by_size = sorted(texts, key=lambda k: (-sizes[k], k))
     return LanguageModel(tuple((k, _shares([t.encode() for t in texts[k]], dictionary_bytes)) for k in by_size))
 
