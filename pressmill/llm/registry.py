@@ -6,10 +6,12 @@ from . import mixture, oracles
 from .ann import op7_additive_quantisation
 from .chat import op1_chat_windows
 from .decontaminate import op8_decontamination
+from .fill_in_middle import op11_fill_in_middle
 from .html_text import op3_wrapper_induction
 from .jaccard import op9_ngram_jaccard
 from .language import op6_language_id
 from .licenses import op4_license_scan
+from .line_dedup import op12_line_dedup
 from .quality import op2_quality_rules
 from .secret_scan import op5_secret_scan
 
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mixture": mixture.op10_mixture,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_line_dedup": op12_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_secret_scan": oracles.SECRETS,
     "op9_ngram_jaccard": oracles.JACCARD,
     "op10_mixture": mixture.ORACLE_SQL,
+    "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
+    "op12_line_dedup": oracles.LINES,
 }
