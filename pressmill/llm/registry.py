@@ -14,6 +14,7 @@ from .licenses import op4_license_scan
 from .line_dedup import op12_line_dedup
 from .quality import op2_quality_rules
 from .secret_scan import op5_secret_scan
+from .token_alignment import op13_token_alignment
 
 QUERIES = {
     "op1_chat_windows": op1_chat_windows,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_mixture": mixture.op10_mixture,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_line_dedup": op12_line_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
