@@ -8,7 +8,7 @@ logarithm of the batches. Keys that have reached the threshold in a run are sett
 
 `drop_frequent` gives every document of a table without its frequent lines: the batches of the table go through the runs
 one after the other, and the frequent keys are then joined to the lines. Lines travel as hashes; texts travel once, to
-their dropped places, and not at all where few places are dropped. A key that stands in a large share of the documents is spread over
+their dropped places. A key that stands in a large share of the documents is spread over
 SALTS tasks; there are at most HOT_SHARE such keys, whatever the size of the table, so that list is broadcast.
 
 Defined results: a null or empty text is one empty line; a key shorter than `min_chars` (1, so the empty one) is never
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, Steps, few_tasks, keyed, lower_ascii, small, table
+from .common import ROW_KEY, Steps, few_tasks, keyed, lower_ascii, table
 
 #: Fixed value: what is stripped at the ends of a line.
 WHITE = " \t\n\v\f\r"
@@ -119,10 +119,10 @@ def drop_frequent(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batch
     for i in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64(*ROW_KEY), F.lit(batches)) == i))
     frequent, _ = runs.steps.store(runs.frequent(), few_tasks(spark))
-    dropped, places = runs.steps.store(_dropped_places(lines, frequent, found["n"]), few_tasks(spark), n=F.sum(F.size("dropped")))
+    dropped = _dropped_places(lines, frequent, found["n"])
     # Lines are split below the join, so that each is reached by its place and not by splitting the text again.
     split = rows.select(*ROW_KEY, *kept, F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("_lines"))
-    joined = split.join(small(dropped, places["n"] or 0), list(ROW_KEY), "left")
+    joined = split.join(dropped.hint("merge"), list(ROW_KEY), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("dropped"))
     text = F.when(F.col("dropped").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
     n_dropped = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
