@@ -26,6 +26,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -78,15 +79,22 @@ class Tokenizers:
     def _piece(piece: str, is_byte: bool) -> bytes:
         return bytes((int(piece[3:-1], 16),)) if is_byte else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """The ids of A and B, and whether both give back the text after a space."""
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """The ids of A and B for each text, and whether both give back the text after a space."""
         of_a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         of_b = self.b.encode(texts, num_threads=1)
-        out = []
-        for text, a, b in zip(texts, of_a, of_b, strict=True):
-            data = b" " + text.encode()
-            out.append((a, b, b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))))
-        return out
+        data = [b" " + t.encode() for t in texts]
+        return of_a, of_b, self._same(data, of_a, self.a_bytes) & self._same(data, of_b, self.b_bytes)
+
+    @staticmethod
+    def _same(data: list[bytes], ids: list[list[int]], token: list[bytes]) -> np.ndarray:
+        """Whether the tokens' bytes are each text's; seldom they aren't, so all are compared together first."""
+        tokens = [token[i] for i in chain.from_iterable(ids)]
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *map(len, ids)])]
+        if np.array_equal(ends[1:], np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))) and b"".join(tokens) == b"".join(data):
+            return np.ones(len(data), bool)
+        return np.array([b"".join(map(token.__getitem__, x)) == d for x, d in zip(ids, data, strict=True)], bool)
 
 
 @lru_cache(maxsize=1)
@@ -96,25 +104,36 @@ def _open(byte_bpe: bytes, pieces: bytes) -> tuple[Tokenizers, _Pieces]:
     return made, _Pieces(made)
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.empty(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.empty(max(len(values), len(self.room)), self.room.dtype)])
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class _Ids:
     """Ids of many pieces, end to end."""
 
     def __init__(self) -> None:
-        self.values, self.ends = np.empty(1 << 12, np.int32), [0]
+        self.values, self.ends = _Grown(np.int32), _Grown(np.int64)
+        self.ends.add(np.zeros(1, np.int64))
 
-    def add(self, ids: list[int]) -> None:
-        begin, end = self.ends[-1], self.ends[-1] + len(ids)
-        if end > len(self.values):
-            self.values = np.concatenate([self.values, np.empty(max(end, len(self.values)), np.int32)])
-        self.values[begin:end] = ids
-        self.ends.append(end)
+    def add(self, ids: list[list[int]]) -> None:
+        self.ends.add(self.values.n + np.cumsum([len(x) for x in ids]))
+        self.values.add(np.fromiter(chain.from_iterable(ids), np.int32))
 
     def of(self, pieces: np.ndarray) -> np.ndarray:
         """The ids of these pieces, one after the other."""
-        ends = np.asarray(self.ends)
-        begin, n = ends[pieces], ends[pieces + 1] - ends[pieces]
+        begin = self.ends.room[pieces]
+        n = self.ends.room[pieces + 1] - begin
         before = np.cumsum(n) - n
-        return self.values[np.repeat(begin - before, n) + np.arange(int(n.sum()))]
+        return self.values.room[np.repeat(begin - before, n) + np.arange(int(n.sum()))]
 
 
 class _Pieces:
@@ -126,18 +145,19 @@ class _Pieces:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.a, self.b, self.same, self.chars = _Ids(), _Ids(), [], 0
+        self.a, self.b, self.same, self.chars = _Ids(), _Ids(), _Grown(bool), 0
 
     def learn(self, pieces: set[str]) -> None:
         if self.chars > KEPT_CHARS or len(self.number) > KEPT_PIECES:
             self._forget()
         new = [x for x in pieces if x not in self.number]
-        for x, (a, b, same) in zip(new, self.tokenizers.encode(new), strict=True):
-            self.number[x] = len(self.same)
-            self.a.add(a)
-            self.b.add(b)
-            self.same.append(same)
-            self.chars += len(x)
+        if new:
+            of_a, of_b, same = self.tokenizers.encode(new)
+            self.number.update(zip(new, range(self.same.n, self.same.n + len(new)), strict=True))
+            self.a.add(of_a)
+            self.b.add(of_b)
+            self.same.add(same)
+            self.chars += sum(map(len, new))
 
 
 def spans(text: str, divides: bool) -> Iterator[list[str]]:
@@ -223,11 +243,10 @@ def _rows(texts: list[str | None], tokenizers: Tokenizers, pieces: _Pieces, writ
 
     def flush() -> None:
         pieces.learn({x for _, span in waiting for x in span})
-        same = np.array(pieces.same, bool)
         for i, span in waiting:
             at = np.fromiter(map(pieces.number.__getitem__, span), np.int64, len(span))
             text = known[i]
-            text.same = text.same and bool(same[at].all())
+            text.same = text.same and bool(pieces.same.room[at].all())
             if text.same:
                 text.add(pieces.a.of(at), pieces.b.of(at), a_lengths, b_lengths, write)
         waiting.clear()

@@ -109,9 +109,10 @@ def test_pieces_have_the_tokens_of_the_whole(both, spark, sf, rng):
         if not text:
             continue
         pieces = [x for span in ta.spans(text, True) for x in span]
-        parts = both.encode(pieces)
-        assert [i for a, _, _ in parts for i in a] == both.a.encode(" " + text, add_special_tokens=False).ids
-        assert [i for _, b, _ in parts for i in b] == both.b.encode(text)
+        of_a, of_b, same = both.encode(pieces)
+        assert [i for a in of_a for i in a] == both.a.encode(" " + text, add_special_tokens=False).ids
+        assert [i for b in of_b for i in b] == both.b.encode(text)
+        assert bool(same.all()) == (whole(both, text) is not None)
         assert " ".join(pieces) == text
 
 
