@@ -177,6 +177,30 @@ def rss_parse(spark, sf_dir):
     return rss.parse(payloads).drop("feed_ord")
 
 
+@query(f"""
+  WITH d AS (SELECT doc_id, doc_id % 6 AS form, nullif(regexp_replace(text, '^{SPACES}|{SPACES}$', '', 'g'), '') AS text, lang, source FROM documents),
+  s AS (SELECT doc_id, form, n, 'https://a.example/' || doc_id || '/' || n || '?a=1&b=2' AS link, text, lang, source FROM d, (VALUES (0), (1)) AS v(n))
+  SELECT 'feed' || doc_id AS feed_id, n AS entry_ord, CASE n WHEN 0 THEN CASE form WHEN 0 THEN 'R&D ' || chr(233) || ' ' || coalesce(text, '') ELSE text END ELSE lang END AS rss_title,
+    CASE WHEN n = 0 THEN 'Fri, 05 Sep 2026 10:00:00 GMT' END AS rss_published, CASE WHEN n = 0 THEN source END AS rss_source, CASE WHEN n = 1 AND form = 3 THEN NULL ELSE link END AS wrapper_link
+  FROM s WHERE form <> 5""")
+def rss_recover(spark, sf_dir):
+    """A feed of every document, broken in one of five ways by its id; every sixth is no feed."""
+    docs = _table(spark, sf_dir, "documents")
+    form, ident = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    raw = F.concat(F.lit("<![CDATA["), F.replace("text", F.lit("]]>"), F.lit("]]&gt;")), F.lit("]]>"))
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    title = F.when(form == 0, F.concat(F.lit("R&D &eacute; "), escaped)).when(form == 4, raw).otherwise(escaped)
+    link = [F.concat(F.lit("https://a.example/"), ident, F.lit(f"/{n}?a=1&b=2")) for n in (0, 1)]
+    date, source = F.lit("<pubDate>Fri, 05 Sep 2026 10:00:00 GMT</pubDate>"), F.concat(F.lit("<source url=http://s.example> "), F.col("source"), F.lit("\n</source>"))
+    # 1: tags that don't match; 2: items and titles that aren't closed; 3: a cut end.
+    ends = F.when(form == 1, "</b></TITLE>").when(form == 2, "").otherwise("</title>")
+    first = F.concat(F.lit("<item><title>"), title, ends, F.lit("<link>"), link[0], F.lit("</link>"), date, source, F.when(form == 2, "").otherwise("</item>"))
+    second = F.concat(F.lit("<item><title>"), F.col("lang"), ends, F.lit("<link>"), link[1])
+    payload = F.concat(F.lit("<?xml version='1.0'?><rss version='2.0'><channel><title>of all</title>"), first, second, F.when(form == 3, "").otherwise("</link></item></channel></rss>"))
+    content = F.when(form == 5, F.col("text")).otherwise(payload)
+    return rss.parse(docs.select(F.concat(F.lit("feed"), ident).alias("feed_id"), F.lit(0).alias("feed_ord"), F.encode(content, "UTF-8").alias("content"))).drop("feed_ord")
+
+
 @query("""SELECT page_id, CASE WHEN page_id % 3 > 0 THEN '[["Fbv4je","[[\\"T' || page_id || '\\",\\"s' || page_id || '\\",\\"' || page_id * 7 || '\\"]]",null,"generic"]]' END AS form FROM pages""")
 def decoding_form(spark, sf_dir):
     page = F.col("page_id").cast("string")

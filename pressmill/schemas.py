@@ -26,4 +26,4 @@ MESSAGES = _struct(("article_key", S, False), ("message", S, False))
 RSS = "struct<item: array<struct<title: string, pubDate: string, link: string, source: struct<_VALUE: string, _url: string>>>>"
 ATOM_ENTRY = "array<struct<title: string, published: string, updated: string, link: array<struct<_href: string, _rel: string>>, source: struct<title: string>>>"
 RDF_ITEM = "array<struct<title: string, pubDate: string, `dc:date`: string, link: string, `dc:source`: string>>"
-FEED_XML = f"channel {RSS}, entry {ATOM_ENTRY}, item {RDF_ITEM}"
+FEED_XML = f"channel {RSS}, entry {ATOM_ENTRY}, item {RDF_ITEM}, _corrupt_record string"

@@ -104,6 +104,52 @@ def test_rss_in_other_forms(spark):
     assert {r["feed_id"] for r in rss.quarantined(payloads).collect()} == {"f4", "f5", "f6"}
 
 
+BROKEN = {
+    "<rss><channel><title>c</title><item><title>Q&A &nbsp;&eacute; 1 < 2</title><link>https://a/1?x=1&y=2</link></item></channel></rss>": [("Q&A \u00a0\u00e9 1 < 2", None, None, "https://a/1?x=1&y=2")],
+    "<rss><channel><item><title>one<link>https://a/1<item><title>two</title><link>https://a/2</link></channel></rss>": [("one", None, None, "https://a/1"), ("two", None, None, "https://a/2")],
+    "<rss><channel><item><title>one</title></item><item><title>two</title><link>https://a/2ha": [("one", None, None, None), ("two", None, None, None)],
+    "<rss><channel><item><title>one</title></item><item>": [("one", None, None, None)],
+    "<rss><channel><item></channel>": [(None, None, None, None)],
+    "<rss><channel><item></b><title><![CDATA[a <b> & c]]></title><!-- <title>no</title> --><pubDate> d </pubDate><source url=x>S</source></item>": [("a <b> & c", "d", "S", None)],
+    "<feed><title>f</title><entry><title type=text>A & B</title><updated>u</updated><link rel=self href=no><link href='https://a/2?b&c'/><source><title>S</title></source></entry></feed>": [("A & B", "u", "S", "https://a/2?b&c")],
+    "<feed><entry><updated>u</updated><published>p</published><title/><title>later</title></entry><title>not & this</title></feed>": [("later", "p", None, None)],
+    "<feed><entry><title>a</title></entry><entry><title>b & c</title></entry><entry><title>d</title></entry></feed>": [("a", None, None, None), ("b & c", None, None, None), ("d", None, None, None)],
+    "<rdf:RDF><item><title>R & r</title><dc:date>d</dc:date><dc:source>s</dc:source><link>l</link></item></rdf:RDF>": [("R & r", "d", "s", "l")],
+    "<rss><channel><title>empty & open": [],
+    "<item><title> </title><link>https://a/1</link><link>https://a/2</link></item> & <item/>": [(None, None, None, "https://a/1"), (None, None, None, None)],
+    "<RSS><Channel><Item><Title>up</Title></Item>": [("up", None, None, None)],
+}
+
+
+def test_broken_feeds(spark):
+    """Entries that can be recovered from each broken payload; none of these payloads is put away."""
+    payloads = spark.createDataFrame([(f"f{i}", i, bytearray(x, "utf-8")) for i, x in enumerate(BROKEN)], "feed_id string, feed_ord int, content binary")
+    rows = rss.parse(payloads).orderBy("feed_ord", "entry_ord").collect()
+    for i, (payload, wanted) in enumerate(BROKEN.items()):
+        got = [r for r in rows if r["feed_ord"] == i]
+        assert [(r["rss_title"], r["rss_published"], r["rss_source"], r["wrapper_link"]) for r in got] == wanted, payload
+        assert [r["entry_ord"] for r in got] == list(range(len(wanted)))
+    assert rss.quarantined(payloads).count() == 0
+    # Rows with one id are payloads of their own, and their entries aren't mixed.
+    both = payloads.where("feed_ord = 1").union(payloads.where("feed_ord = 1"))
+    assert sorted(r["rss_title"] for r in rss.parse(both).collect()) == ["one", "one", "two", "two"]
+
+
+def test_broken_feeds_as_any_cut(spark):
+    """However a feed is cut, what comes before the cut is as it was, and nothing is made up."""
+    items = "".join(f"<item><title>T{i} &amp; x</title><link>https://a/{i}</link><source url='u'>S{i}</source></item>" for i in range(3))
+    whole = f"<rss><channel><title>c</title>{items}</channel></rss>"
+    payloads = spark.createDataFrame([(str(n), n, bytearray(whole[:n], "utf-8")) for n in range(len(whole) + 1)], "feed_id string, feed_ord int, content binary")
+    rows = rss.parse(payloads).collect()
+    for n in range(len(whole) + 1):
+        got = sorted((r for r in rows if r["feed_ord"] == n), key=lambda r: r["entry_ord"])
+        done = whole[:n].count("</item>")
+        assert done <= len(got) <= done + 1
+        for i, r in enumerate(got):
+            want = (f"T{i} & x", f"https://a/{i}", f"S{i}")
+            assert all(g == w or (g is None and i == done) for g, w in zip((r["rss_title"], r["wrapper_link"], r["rss_source"]), want, strict=True))
+
+
 def test_paragraphs():
     page = f"<html><head><title> My <b>t</b> </title><meta property='og:image' content='i.png'></head><body><nav><p>{LONG} nav</p></nav><div class='x article-body'><p>{LONG}</p><p>short</p><p>{'x' * 39}</p><p>{'y' * 40}</p></div><footer><p>{LONG}</p></footer></body></html>"
     found = paragraphs_of(page)
