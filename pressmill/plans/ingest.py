@@ -27,7 +27,7 @@ def stream_order() -> Column:
 
 def sync_feeds(store: SnapshotStore, registry: FeedRegistry, now: Column) -> int:
     """Store all configured feeds, disabled ones too."""
-    store.write("feeds", M.upsert_feeds(store.read("feeds"), registry.frame(store.spark), now))
+    store.rewrite("feeds", lambda rows: M.upsert_feeds(rows, registry.frame(store.spark), now))
     return registry.count()
 
 
@@ -57,19 +57,21 @@ def commit(store: SnapshotStore, staged: DataFrame, now: Column) -> None:
     """Store what a staged stream makes of the store's tables; only buckets that its keys fall in are read and rewritten."""
     last, links = incoming(staged, now)
     known = store.read("articles", store.touched("articles", last))
-    waiting = store.read("outbox")
     # The outbox goes first: what is stored as an article always has its message.
-    store.write("outbox", waiting.unionByName(M.messages(M.new_keys(M.new_keys(last, known), waiting))))
+    store.rewrite("outbox", lambda waiting: waiting.unionByName(M.messages(M.new_keys(M.new_keys(last, known), waiting))))
     store.merge("article_feeds", links, lambda rows: M.add_links(rows, links))
     store.merge("articles", last, lambda rows: M.upsert_articles(rows, last, now))
 
 
 def publish_waiting(store: SnapshotStore, sink: QueueSink) -> None:
     """Publish the messages of stored articles, and take them out of the outbox when that is done."""
-    waiting = store.read("outbox")
-    known = store.read("articles", store.touched("articles", waiting)).select("article_key")
-    sink.publish(waiting.join(known, "article_key", "left_semi").select(waiting.columns))
-    store.write("outbox", waiting.join(known, "article_key", "left_anti").select(waiting.columns))
+
+    def publish(waiting: DataFrame) -> DataFrame:
+        known = store.read("articles", store.touched("articles", waiting)).select("article_key")
+        sink.publish(waiting.join(known, "article_key", "left_semi").select(waiting.columns))
+        return waiting.join(known, "article_key", "left_anti").select(waiting.columns)
+
+    store.rewrite("outbox", publish)
 
 
 def counters(staged: DataFrame, feeds_processed: int, stored_articles: DataFrame) -> DataFrame:

@@ -25,9 +25,11 @@ Fetch = Callable[[DataFrame], DataFrame]
 
 
 def fetch_feeds(spark: SparkSession, feeds: DataFrame, settings: Settings) -> DataFrame:
-    """feed_id, feed_ord and content of the feeds (with feed_url) that answer with success, one after another."""
+    """feed_id, feed_ord and content of the feeds (with feed_url) that answer with success, one after another.
+
+    Feeds of one address are fetched together, once, and each has its payload."""
     spark.dataSource.register(http.HttpSource)
-    urls = [r["feed_url"] for r in feeds.orderBy("feed_ord").collect()]  # the configuration is small
+    urls = list(dict.fromkeys(r["feed_url"] for r in feeds.orderBy("feed_ord").collect()))  # the configuration is small
     if not urls:
         return feeds.select("feed_id", "feed_ord", F.lit(None).cast("binary").alias("content")).limit(0)
     got = spark.read.format("fetch").option("urls", json.dumps(urls)).option("timeout", settings.request_timeout).option("delay", settings.request_delay_seconds).load()

@@ -48,23 +48,27 @@ class SnapshotStore:
         return sorted(int(x.removeprefix("manifest-")) for x in self._names(table) if x.startswith("manifest-"))
 
     def _manifest(self, table: str) -> dict | None:
-        """buckets, and the folder of each bucket that has rows."""
+        """Its number, buckets, and the folder of each bucket that has rows."""
         numbers = self._numbers(table)
         if not numbers:
             return None
-        return json.loads(self.spark.read.text(self._path(table, f"manifest-{numbers[-1]}").toString(), wholetext=True).first()[0])
+        text = self.spark.read.text(self._path(table, f"manifest-{numbers[-1]}").toString(), wholetext=True).first()[0]
+        return json.loads(text) | {"number": numbers[-1]}
 
     def _commit(self, table: str, manifest: dict) -> None:
-        """Move a manifest into place under the next number; another writer that took that number first makes it fail."""
-        files, numbers = self._files(), self._numbers(table)
-        temporary, final = self._path(table, f".{uuid.uuid4().hex}"), self._path(table, f"manifest-{(numbers or [0])[-1] + 1}")
+        """Move a manifest into place under the number after that of the manifest that it was made from. If another writer
+        has taken that number since, or a later one, nothing changes and this fails."""
+        files, number = self._files(), manifest.get("number", (self._numbers(table) or [0])[-1]) + 1
+        temporary, final = self._path(table, f".{uuid.uuid4().hex}"), self._path(table, f"manifest-{number}")
         out = files.create(temporary, True)
-        out.write(bytearray(json.dumps(manifest), "utf-8"))
+        out.write(bytearray(json.dumps({k: v for k, v in manifest.items() if k != "number"}), "utf-8"))
         out.close()
-        if files.exists(final) or not files.rename(temporary, final):
+        taken = any(n >= number for n in self._numbers(table)) or files.exists(final)
+        if taken or not files.rename(temporary, final):
+            files.delete(temporary, False)
             raise OSError(f"Another run has written {table} meanwhile.")
-        for number in numbers[: 1 - KEPT]:
-            files.delete(self._path(table, f"manifest-{number}"), False)
+        for old in self._numbers(table)[:-KEPT]:
+            files.delete(self._path(table, f"manifest-{old}"), False)
 
     def vacuum(self) -> int:
         """Delete the versions that no kept manifest names, and give their number. For times when no run writes."""
@@ -84,7 +88,7 @@ class SnapshotStore:
         """Make the tables that don't exist yet."""
         for name in TABLES:
             if not self._numbers(name):
-                self._commit(name, {"buckets": self.buckets if name in KEYED else 1, "folders": {}})
+                self._commit(name, {"number": 0, "buckets": self.buckets if name in KEYED else 1, "folders": {}})
 
     def _existing(self, table: str) -> dict:
         manifest = self._manifest(table)
@@ -97,25 +101,37 @@ class SnapshotStore:
 
     def read(self, table: str, only: Iterable[int] | None = None) -> DataFrame:
         """The rows of a table, or of some of its buckets."""
-        folders, schema = self._existing(table)["folders"], _nullable(TABLES[table])
+        return self._rows(table, self._existing(table), only)
+
+    def _rows(self, table: str, manifest: dict, only: Iterable[int] | None = None) -> DataFrame:
+        folders, schema = manifest["folders"], _nullable(TABLES[table])
         paths = [f"{self.root}/{table}/{folder}" for bucket, folder in sorted(folders.items()) if only is None or int(bucket) in set(only)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def write(self, table: str, rows: DataFrame) -> None:
-        """Replace a whole table."""
+        """Replace a whole table by rows that aren't made of its own."""
         manifest = self._existing(table)
         self._replace(table, rows, manifest, range(manifest["buckets"]))
 
+    def rewrite(self, table: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace a whole table by what change makes of its rows; fails if another run writes it meanwhile."""
+        manifest = self._existing(table)
+        self._replace(table, change(self._rows(table, manifest)), manifest, range(manifest["buckets"]))
+
     def merge(self, table: str, incoming: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Replace the buckets that the keys of incoming fall in by what change makes of their rows."""
+        """Replace the buckets that the keys of incoming fall in by what change makes of their rows; fails if another run
+        writes the table meanwhile."""
         manifest = self._existing(table)
-        touched = self.touched(table, incoming)
+        touched = self._touched(table, incoming, manifest)
         if touched:
-            self._replace(table, change(self.read(table, touched)), manifest, touched)
+            self._replace(table, change(self._rows(table, manifest, touched)), manifest, touched)
 
     def touched(self, table: str, incoming: DataFrame) -> list[int]:
         """The buckets that the keys of incoming fall in."""
-        return sorted(r[0] for r in incoming.select(self._bucket(table, self._existing(table)["buckets"])).distinct().collect())
+        return self._touched(table, incoming, self._existing(table))
+
+    def _touched(self, table: str, incoming: DataFrame, manifest: dict) -> list[int]:
+        return sorted(r[0] for r in incoming.select(self._bucket(table, manifest["buckets"])).distinct().collect())
 
     def _replace(self, table: str, rows: DataFrame, manifest: dict, touched: Iterable[int]) -> None:
         version = f"v-{uuid.uuid4().hex}"
