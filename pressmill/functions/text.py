@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,3 +65,9 @@ def utf16_as_text(content: Column) -> Column:
         return found.map(lambda b: None if b is None else bytes(b).decode("utf-16", "replace"))
 
     return F.pandas_udf(run, T.StringType())(content)
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded, those of HTML too; bare ampersands stay. Only texts with an ampersand go to Python."""
+    run = F.pandas_udf(lambda found: found.map(lambda x: None if x is None else html.unescape(x)), T.StringType())
+    return F.when(text.contains("&"), run(F.when(text.contains("&"), text))).otherwise(text)

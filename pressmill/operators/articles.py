@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.html import extraction
 from ..functions.text import collapse_space, feed_time, first_filled, sha256_hex, strip_or_null
 from ..functions.url import canonical_url, resolved
+from . import content
+
+#: The primary extractor that scores the blocks of pages.
+SCORED = "scored"
 
 
 def resolve(entries: DataFrame, publishers: DataFrame) -> DataFrame:
@@ -19,10 +23,13 @@ def resolve(entries: DataFrame, publishers: DataFrame) -> DataFrame:
 def extract(entries: DataFrame, pages: DataFrame, primary=None) -> DataFrame:
     """entries with x, the extraction record of article_url. pages: url, html, http_status, fetch_error.
 
-    Each page is extracted once, however many entries lead to it.
+    Each page is extracted once, however many entries lead to it. primary: SCORED, or a function of a page's url and html.
     """
     wanted = pages.join(entries.select(F.col("article_url").alias("url")).distinct(), "url", "left_semi")
-    found = wanted.select(F.col("url").alias("article_url"), extraction(primary)("url", "html", "http_status", "fetch_error").alias("x"))
+    if primary == SCORED:
+        found = content.extracted(wanted).withColumnRenamed("url", "article_url")
+    else:
+        found = wanted.select(F.col("url").alias("article_url"), extraction(primary)("url", "html", "http_status", "fetch_error").alias("x"))
     return entries.join(found, "article_url", "left")
 
 

@@ -237,6 +237,29 @@ def html_extract(spark, sf_dir):
     return pages.select("page_id", x.alias("x")).select("page_id", "x.title", "x.content", "x.top_image", "x.status", "x.error")
 
 
+# SQL for the scored blocks of the advert and of the article of each page, which are containers side by side.
+SCORED = rf"""
+  (WITH a AS (SELECT page_id, 0 AS container, regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') AS held FROM pages UNION ALL
+    SELECT page_id, 1, regexp_extract(html, '<article>(.*?)</article>', 1, 's') FROM pages),
+  b AS (SELECT page_id, container, i, nullif(trim(regexp_replace({unescaped("regexp_replace(replace(parts[i], '<br>', ' '), '<[^>]*>', '', 'g')")}, '{SPACES}', ' ', 'g')), '') AS text
+    FROM (SELECT page_id, container, string_split_regex(regexp_replace(held, '<h1>.*?</h1>', '<p>', 'gs'), '</?p>') AS parts FROM a), unnest(range(1, len(parts) + 1)) AS u(i))
+  SELECT page_id, container, sum(1 + length(text) - length(replace(text, ',', '')) + least(length(text) // 100, 3)) AS score, string_agg(text, chr(10) || chr(10) ORDER BY i) AS content
+  FROM b WHERE length(text) >= 25 GROUP BY page_id, container)"""
+
+
+@query(f"""
+  WITH s AS (SELECT page_id, coalesce(max(score) FILTER (container = 0), 0) AS ad, coalesce(max(score) FILTER (container = 1), 0) AS article,
+    max(content) FILTER (container = 0) AS ad_text, max(content) FILTER (container = 1) AS text FROM {SCORED} GROUP BY page_id)
+  SELECT page_id, nullif(trim(regexp_replace({unescaped("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}, '{SPACES}', ' ', 'g')), '') AS title,
+    CASE WHEN article > ad THEN text WHEN ad > article THEN ad_text ELSE ad_text || chr(10) || chr(10) || text END AS content FROM s JOIN pages USING (page_id)""")
+def primary_extract(spark, sf_dir):
+    """Pages without article tags and class names, so that scores alone choose between the advert and the article."""
+    from ..operators.content import primary
+
+    bare = F.regexp_replace(F.regexp_replace("html", "(</?)article>", "$1div>"), ' class="[^"]*"', "")
+    return primary(_table(spark, sf_dir, "pages").select("page_id", bare.alias("html")), "page_id").select("page_id", "title", "content")
+
+
 #: Pages that one feed of the registered runs names.
 FEED_PAGES = 50
 

@@ -8,14 +8,10 @@ the end of the document cuts is left out, as its text may be half, and so is an
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import bytes_as_text, strip_or_null, utf16_as_text
+from ..functions.text import bytes_as_text, strip_or_null, unescaped, utf16_as_text
 from ..schemas import FEED_XML
 
 
@@ -48,12 +44,6 @@ FIELDS = {"title": "title", "link": "link", "pubdate": "time", "published": "tim
 TOKEN = r"<!\[CDATA\[[\s\S]*?(?:\]\]>|$)|<!--[\s\S]*?(?:-->|$)|</?[A-Za-z!?][^<>]*>?|[^<]+|<"
 
 
-@F.pandas_udf(T.StringType())
-def _unescaped(text: pd.Series) -> pd.Series:
-    """Character references decoded, those of HTML too; bare ampersands stay."""
-    return text.map(lambda x: None if x is None else html.unescape(x))
-
-
 def _attribute(token: Column, name: str) -> Column:
     found = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     return F.coalesce(*(F.nullif(F.regexp_extract(token, found, i), F.lit("")) for i in (1, 2, 3)))
@@ -93,9 +83,9 @@ def recovered(payloads: DataFrame) -> DataFrame:
     in_order = Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tokens = tokens.withColumn("field", F.last(F.when(F.col("mark").isNotNull(), F.struct(F.when(F.col("in_entry"), kind).alias("kind"), F.col("pos"), F.col("alone"))), ignorenulls=True).over(in_order))
     raw = F.col("token").startswith("<![CDATA[")
-    said = F.when(raw, F.regexp_replace("token", r"^<!\[CDATA\[|\]\]>$", "")).when(F.col("name").isNull() & ~F.col("token").rlike("^<[!?]"), _unescaped(F.col("token")))
+    said = F.when(raw, F.regexp_replace("token", r"^<!\[CDATA\[|\]\]>$", "")).when(F.col("name").isNull() & ~F.col("token").rlike("^<[!?]"), unescaped(F.col("token")))
     # Of links, the address may be an attribute; links to other things than the article don't count.
-    href = F.when((F.col("mark.name") == "link") & (F.coalesce(_attribute(F.col("token"), "rel"), F.lit("alternate")) == "alternate"), _unescaped(_attribute(F.col("token"), "href")))
+    href = F.when((F.col("mark.name") == "link") & (F.coalesce(_attribute(F.col("token"), "rel"), F.lit("alternate")) == "alternate"), unescaped(_attribute(F.col("token"), "href")))
     inside = F.col("in_entry") & F.col("field.kind").isNotNull() & ((F.col("pos") == F.col("field.pos")) | ~F.col("field.alone"))
     # What the last mark opens is cut by the end of the document.
     whole = (F.col("field.pos") < F.col("last_mark")) | F.col("field.alone")
