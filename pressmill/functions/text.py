@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import html
 
 import pandas as pd
@@ -52,10 +53,26 @@ def as_utc(time: Column) -> Column:
 
 
 def bytes_as_text(content: Column, declared: Column) -> Column:
-    """Text of bytes in a declared encoding: Latin-1 and its kin, or else UTF-8; what isn't text is replaced."""
+    """Text of bytes in a declared encoding, or else UTF-8; what isn't text is replaced.
+
+    UTF-8 and Latin-1 are decoded by built-in expressions; other encodings that are known, and only those, go to Python.
+    """
     name = F.lower(F.coalesce(declared, F.lit("")))
-    latin = name.isin("iso-8859-1", "latin-1", "latin1", "windows-1252", "cp1252", "iso-8859-15", "us-ascii")
-    return F.when(latin, F.decode(content, "ISO-8859-1")).otherwise(F.make_valid_utf8(content.cast("string")))
+    latin = name.isin("iso-8859-1", "latin-1", "latin1", "us-ascii", "ascii")
+    utf8 = name.isin("", "utf-8", "utf8")
+    other = F.pandas_udf(lambda found, names: pd.Series([_decoded(b, n) for b, n in zip(found, names, strict=True)], dtype=object), T.StringType())
+    plain = F.make_valid_utf8(content.cast("string"))
+    return F.when(latin, F.decode(content, "ISO-8859-1")).when(utf8, plain).otherwise(F.coalesce(other(F.when(~latin & ~utf8, content), name), plain))
+
+
+def _decoded(content: bytes | None, name: str) -> str | None:
+    """None where there is nothing, or nobody knows the encoding."""
+    if content is None:
+        return None
+    try:
+        return bytes(content).decode(name, "replace") if codecs.lookup(name)._is_text_encoding else None
+    except (LookupError, ValueError):
+        return None
 
 
 def utf16_as_text(content: Column) -> Column:

@@ -6,7 +6,6 @@ sources.http.RESULT with the key for each. Feeds and pages that can't be fetched
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -25,14 +24,11 @@ Fetch = Callable[[DataFrame], DataFrame]
 
 
 def fetch_feeds(spark: SparkSession, feeds: DataFrame, settings: Settings) -> DataFrame:
-    """feed_id, feed_ord and content of the feeds (with feed_url) that answer with success, one after another.
+    """feed_id, feed_ord and content of the feeds (with feed_url) that answer with success; requests to one host are paced.
 
     Feeds of one address are fetched together, once, and each has its payload."""
-    spark.dataSource.register(http.HttpSource)
-    urls = list(dict.fromkeys(r["feed_url"] for r in feeds.orderBy("feed_ord").collect()))  # the configuration is small
-    if not urls:
-        return feeds.select("feed_id", "feed_ord", F.lit(None).cast("binary").alias("content")).limit(0)
-    got = spark.read.format("fetch").option("urls", json.dumps(urls)).option("timeout", settings.request_timeout).option("delay", settings.request_delay_seconds).load()
+    wanted = feeds.select(F.col("feed_url").alias("url")).distinct()
+    got = http.fetched(wanted, http.FEED_HEADERS, settings.request_timeout, delay=settings.request_delay_seconds)
     return feeds.join(got.where("content is not null"), F.col("feed_url") == F.col("url")).select("feed_id", "feed_ord", "content")
 
 
@@ -49,9 +45,13 @@ def resolve_wrappers(links: DataFrame, fetch: Fetch, decoder: str = DECODER) ->
 
 
 def as_pages(fetched: DataFrame) -> DataFrame:
-    """Fetched articles as url, html, http_status and fetch_error."""
+    """Fetched articles as url, html, http_status and fetch_error. The encoding is what the header of the answer names, or
+    else what the page does, or else UTF-8."""
     content = F.col("content")
-    declared = F.nullif(F.regexp_extract(F.make_valid_utf8(F.substring(content, 1, 2048).cast("string")), r"""(?i)charset=["']?([A-Za-z0-9_-]+)""", 1), F.lit(""))
+    header = F.col("content_type") if "content_type" in fetched.columns else F.lit(None).cast("string")
+    named = r"""(?i)charset\s*=\s*["']?([A-Za-z0-9_.:-]+)"""
+    own = F.make_valid_utf8(F.substring(content, 1, 2048).cast("string"))
+    declared = F.coalesce(*(F.nullif(F.regexp_extract(x, named, 1), F.lit("")) for x in (header, own)))
     return fetched.select("url", bytes_as_text(content, declared).alias("html"), "http_status", F.when(F.col("http_status").isNull(), F.col("fetch_error")).alias("fetch_error"))
 
 
@@ -64,7 +64,7 @@ def run(
     Payloads that are no feed are kept in the store's folder quarantine.
     """
     settings = settings or Settings()
-    fetch = fetch or (lambda wanted: http.fetched(wanted, timeout=settings.article_timeout))
+    fetch = fetch or (lambda wanted: http.fetched(wanted, timeout=settings.article_timeout, delay=settings.request_delay_seconds))
     store.initialise()
     sync_feeds(store, registry, now)
     if sink is not None:
