@@ -189,15 +189,25 @@ def search(vectors: DataFrame, is_query, k: int = 20, train_rows: int = 8192, bl
         if len(ids) and len(asked):
             codes = np.frombuffer(join(0, "codes"), np.uint8).reshape(len(ids), -1)
             factor, wanted = np.frombuffer(join(0, "factors"), np.float32), np.frombuffer(join(1, "queries"), np.float32).reshape(len(asked), -1)
-            order = np.argsort(ids, kind="stable")
+            order, asks_in_order = np.argsort(ids, kind="stable"), np.argsort(asked, kind="stable")
             ids, factor, lookups = ids[order], factor[order], np.ascontiguousarray(codes[order].T).astype(np.int64)
+            asked, wanted = asked[asks_in_order], wanted[asks_in_order]
+            # All rows of an id are in this block. An id counts once, with its best score, on either side.
+            ids, first = np.unique(ids, return_index=True)
+            pending = None
             for at in range(0, len(asked), 16):
                 luts = model.tables(wanted[at : at + 16])
                 rough = luts[:, 0].take(lookups[0], axis=1)
                 for m in range(1, len(lookups)):
                     rough += luts[:, m].take(lookups[m], axis=1)
                 rough *= factor
-                for near, q in zip(rough, asked[at : at + 16], strict=True):
+                if len(first) < len(factor):
+                    rough = np.maximum.reduceat(rough, first, axis=1)
+                for i, near in enumerate(rough, at):
+                    q, pending = asked[i], near if pending is None else np.maximum(pending, near)
+                    if i + 1 < len(asked) and asked[i + 1] == q:
+                        continue
+                    near, pending = pending, None
                     top = np.flatnonzero(ids != q)
                     if len(top) > shortlist:
                         # Of equal scores the smaller ids, which come first here.
@@ -207,13 +217,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, train_rows: int = 8192, bl
                     for column, x in zip(out, (np.full(len(top), q), ids[top], near[top]), strict=True):
                         column.append(x)
         flat = [np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(out, (np.int64, np.int64, np.float32), strict=True)]
-        return pa.table({"query_id": flat[0], "vec_id": flat[1], "rough": flat[2]})
-
-    found = met.groupBy("dim", "c", "q").applyInArrow(nearest, "query_id long, vec_id long, rough float")
-    by_rough = Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id")
-    pairs = found.withColumn("_place", F.row_number().over(by_rough)).where(F.col("_place") <= shortlist).select("query_id", "vec_id")
-    pairs = pairs.join(rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("found"), F.col("dim").alias("found_dim")), "vec_id")
-    pairs = pairs.join(rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("vector").alias("asked"), "dim"), "query_id").where("dim = found_dim")
+        dim = pa.array(np.full(len(flat[0]), group["dim"][0].as_py(), np.int32))
+        return pa.table({"query_id": flat[0], "vec_id": flat[1], "dim": dim, "rough": flat[2]})
+
+    found = met.groupBy("dim", "c", "q").applyInArrow(nearest, "query_id long, vec_id long, dim int, rough float")
+    # One row for each query and id: a shortlist is of ids, however many rows these have.
+    by_rough = Window.partitionBy("query_id", "dim").orderBy(F.desc("rough"), "vec_id")
+    pairs = found.withColumn("_place", F.row_number().over(by_rough)).where(F.col("_place") <= shortlist).select("query_id", "vec_id", "dim")
+    pairs = pairs.join(rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("found"), "dim"), ["vec_id", "dim"])
+    pairs = pairs.join(rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("vector").alias("asked"), "dim"), ["query_id", "dim"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pressmill.llm import ann, language, quality
@@ -185,3 +186,24 @@ def test_recall_of_the_query(spark):
 def test_ann_query(spark, sf):
     got = ann.op7_additive_quantisation(spark, sf)
     assert got.count() == 25 * 20 and got.where(F.col("query_id") == F.col("vec_id")).isEmpty()
+
+
+@pytest.mark.parametrize("repeated", [20, 7])
+def test_ids_count_once_before_the_shortlist_is_cut(spark, repeated):
+    """300 rows of one id, of a query or not, and of different vectors: every query has its 20 nearest ids."""
+    rng = np.random.default_rng(repeated)
+    rows = [(i, rng.normal(size=8)) for i in range(200)] + [(repeated, rng.normal(size=8)) for _ in range(300)] + [(40, rng.normal(size=8)) for _ in range(3)]
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "id long, vector array<double>")
+    for block_rows, query_rows in ((16_384, 512), (100, 4)):
+        got = ann.search(vectors, lambda i: i % 20 == 0, block_rows=block_rows, query_rows=query_rows, shortlist=200).toPandas()
+        for q in range(0, 200, 20):
+            scores = {}
+            for i, x in rows:
+                for j, y in rows:
+                    if j == q and i != q:
+                        scores[i] = max(scores.get(i, -np.inf), float(x @ y))
+            wanted = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))[:20]
+            own = got[got["query_id"] == q].sort_values("rank")
+            assert own["vec_id"].tolist() == [i for i, _ in wanted] and np.allclose(own["score"], [s for _, s in wanted])
+    few = ann.search(vectors, lambda i: i % 20 == 0, shortlist=96).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in few} == dict.fromkeys(range(0, 200, 20), 20)
