@@ -17,7 +17,10 @@ article that a page names lies outside the slot.
 Bounds: references are made of pages of at most REFERENCE_CHARS where a group has such. They are broadcast only if all of
 them together are measured to be at most BROADCAST_CHARS, and else travel with the pages of their group by a join on the
 group, which Spark can split where a host is hot. Reading a page takes time in proportion to its length; rows of
-children that would take more than ALIGN_CELLS steps are matched greedily. Trees are flattened below MAX_DEPTH.
+children that would take more than ALIGN_CELLS steps are matched greedily, and a matching looks ALIGN_DEPTH levels ahead.
+Elements may be nested to any depth.
+
+Where a page names several articles, the smallest node that holds all of them is read, so headings between them are too.
 
 Defined results: null and empty pages give an empty text; pages with a null url share one empty host; broken markup is
 read leniently, and a tag that never ends is text, with all after it; repeated rows give repeated results and count once
@@ -28,7 +31,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
@@ -45,7 +48,7 @@ from .common import Steps, few_tasks, map_arrow, stored, table
 REFERENCE_CHARS = 4096
 REFERENCE_PAGES = 3
 BROADCAST_CHARS = 16 << 20
-MAX_DEPTH = 120
+ALIGN_DEPTH = 120
 #: A slot is template if its text is that of the reference on this share of the group's different pages that have it, and on so many.
 TEMPLATE_SHARE = 0.9
 TEMPLATE_PAGES = 6
@@ -159,7 +162,24 @@ def parse(source: str, names: list[str] | None = None) -> Node:
     tags as they come, ends with a slash."""
     root = Node("#page")
     stack = [root]
-    flat: dict[str, int] = {}
+    # Where elements of each tag, and elements that hold others, stand on the stack: none is looked for one by one.
+    open_at: dict[str, list[int]] = {}
+    holders: list[int] = []
+
+    def close(i: int) -> None:
+        for x in reversed(stack[i:]):
+            open_at[x.tag].pop()
+            if x.tag in HOLDERS:
+                holders.pop()
+        del stack[i:]
+
+    def close_last(tags: Iterable[str]) -> None:
+        """Close the innermost open element of these, with what is open inside it, unless an element that holds others is
+        further in."""
+        last = max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+        if last > (holders[-1] if holders else 0):
+            close(last)
+
     at, n = 0, len(source)
     unpaired: set[str] = set()
     while at < n:
@@ -176,27 +196,14 @@ def parse(source: str, names: list[str] | None = None) -> Node:
         if names is not None and tag not in NOT_BLOCKS and (closes or tag not in RAW):
             names.append(f"/{tag}" if closes else tag)
         if closes:
-            if flat.get(tag):  # the end of an element that isn't on the stack
-                flat[tag] -= 1
-            elif any(x.tag == tag for x in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if open_at.get(tag):
+                close(open_at[tag][-1])
             continue
         if tag not in INLINE:
             # A new block ends an open paragraph, with what is open inside it.
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in HOLDERS:
-                    break
+            close_last(("p",))
         if tag in CLOSES_ITSELF:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES_ITSELF[tag]:
-                    del stack[i:]
-                    break
-                if stack[i].tag in HOLDERS:
-                    break
+            close_last(CLOSES_ITSELF[tag])
         node = Node(tag, attrs)
         stack[-1].parts.append(node)
         if tag in RAW:
@@ -204,10 +211,10 @@ def parse(source: str, names: list[str] | None = None) -> Node:
             node.parts.append(source[at:stop])
             at = end
         elif tag not in VOID and not attrs.endswith("/"):
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
-            else:
-                flat[tag] = flat.get(tag, 0) + 1
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in HOLDERS:
+                holders.append(len(stack))
+            stack.append(node)
     return root
 
 
@@ -224,8 +231,11 @@ def blocks(node: Node, leave_out) -> list[tuple[Node, str]]:
             if text:
                 out.append((holder, text))
 
-    def walk(x: Node, holder: Node) -> None:
-        for part in x.parts:
+    # The parts that are left of each open node, and the block element that holds its text.
+    todo = [(iter(node.parts), node)]
+    while todo:
+        parts, holder = todo[-1]
+        for part in parts:
             if isinstance(part, str):
                 run.append(part)
             elif part.tag == "br":
@@ -233,27 +243,32 @@ def blocks(node: Node, leave_out) -> list[tuple[Node, str]]:
             elif leave_out(part):
                 if part.tag not in INLINE:
                     flush(holder)
-            elif part.tag in INLINE:
-                walk(part, holder)
             else:
+                if part.tag not in INLINE:
+                    flush(holder)
+                todo.append((iter(part.parts), holder if part.tag in INLINE else part))
+                break
+        else:
+            todo.pop()
+            if not todo or todo[-1][1] is not holder:
                 flush(holder)
-                walk(part, part)
-                flush(part)
-
-    walk(node, node)
-    flush(node)
     return out
 
 
 def _elements(node: Node) -> list[Node]:
     """Block elements below, inline ones looked through."""
-    out = []
-    for part in node.parts:
-        if not isinstance(part, str):
+    out, todo = [], [iter(node.parts)]
+    while todo:
+        for part in todo[-1]:
+            if isinstance(part, str):
+                continue
             if part.tag in INLINE:
-                out += _elements(part)
-            elif part.tag not in RAW:
+                todo.append(iter(part.parts))
+                break
+            if part.tag not in RAW:
                 out.append(part)
+        else:
+            todo.pop()
     return out
 
 
@@ -269,26 +284,26 @@ def _tree(root: Node) -> list[Node]:
     return order
 
 
-def _weight(a: Node, b: Node, known: dict) -> int:
-    """Size of the largest simple matching of two trees."""
+def _weight(a: Node, b: Node, known: dict, depth: int) -> int:
+    """Size of the largest simple matching of two trees; below ALIGN_DEPTH children count as matched."""
     if a.tag != b.tag:
         return 0
     if not a.children or not b.children:
         return 1
     key = (a.slot, b.slot)
     if key not in known:
-        small = len(a.children) * len(b.children) <= ALIGN_CELLS
-        known[key] = 1 + (_rows(a.children, b.children, known)[-1][-1] if small else min(len(a.children), len(b.children)))
+        small = len(a.children) * len(b.children) <= ALIGN_CELLS and depth < ALIGN_DEPTH
+        known[key] = 1 + (_rows(a.children, b.children, known, depth + 1)[-1][-1] if small else min(len(a.children), len(b.children)))
     return known[key]
 
 
-def _rows(left: list[Node], right: list[Node], known: dict) -> list[list[int]]:
+def _rows(left: list[Node], right: list[Node], known: dict, depth: int = 0) -> list[list[int]]:
     above = [0] * (len(right) + 1)
     rows = [above]
     for x in left:
         row, best = [0], 0
         for j, y in enumerate(right):
-            w = _weight(x, y, known)
+            w = _weight(x, y, known, depth)
             best = max(best, above[j + 1], above[j] + w) if w else max(best, above[j + 1])
             row.append(best)
         rows.append(row)
@@ -323,29 +338,43 @@ def align(page: Node, reference: Node) -> dict[int, int]:
     return out
 
 
-def article_of(root: Node) -> tuple[Node, bool]:
-    """The node that holds the main text, and whether the page names it as such."""
-    named: list[tuple[int, Node]] = []
-
-    def walk(x: Node, inside: bool) -> None:
-        for part in x.parts:
+def article_of(root: Node, chars: dict[int, int]) -> tuple[Node, bool]:
+    """The node that holds the main text, and whether the page names it as such. Of several the smallest node around all.
+    chars: as _masses gives them."""
+    # By rank, articles before main elements: the first with text, the least height of the stack since, the node there.
+    first: dict[int, Node] = {}
+    low: dict[int, int] = {}
+    around: dict[int, Node] = {}
+    empty: dict[int, Node] = {}
+    # The parts that are left of each open node, and whether it lies in a main element.
+    todo = [(root, iter(root.parts), False)]
+    while todo:
+        x, parts, in_main = todo[-1]
+        for part in parts:
             if isinstance(part, str) or part.tag in RAW:
                 continue
-            if part.is_article() and not part.surrounds():
-                named.append((2, part))
-            elif part.is_main():
-                named.append((1, part))
-                walk(part, True)
-            elif part.tag not in ("nav", "aside", "footer", "head"):
-                walk(part, inside)
-
-    walk(root, False)
-    if not named:
-        body = next((x for x in _iter(root) if x.tag == "body"), root)
-        return body, False
-    best = max(rank for rank, _ in named)
-    found = [x for rank, x in named if rank == best]
-    return (max(found, key=lambda x: sum(len(t) for _, t in blocks(x, Node.surrounds))) if len(found) > 1 else found[0]), True
+            article = part.is_article() and not part.surrounds()
+            main = not article and part.is_main()
+            if article or main and not in_main:
+                rank = 2 if article else 1
+                if not chars[id(part)]:
+                    empty.setdefault(rank, part)
+                elif rank not in first:
+                    first[rank], low[rank] = part, len(todo)
+                else:
+                    around[rank] = todo[low[rank] - 1][0]
+            if article or not main and part.tag in ("nav", "aside", "footer", "head"):
+                continue
+            todo.append((part, iter(part.parts), in_main or main))
+            break
+        else:
+            todo.pop()
+            for rank in low:
+                low[rank] = min(low[rank], len(todo))
+    for rank in (2, 1):
+        if rank in first or rank in empty:
+            return around.get(rank) or first.get(rank) or empty[rank], True
+    return next((x for x in _iter(root) if x.tag == "body"), root), False
 
 
 def _iter(root: Node) -> Iterator[Node]:
@@ -356,13 +385,18 @@ def _iter(root: Node) -> Iterator[Node]:
         todo += [p for p in reversed(x.parts) if not isinstance(p, str)]
 
 
-def _chars(node: Node) -> int:
-    return sum(len(p.strip()) for x in _iter(node) if x.tag not in RAW for p in x.parts if isinstance(p, str))
-
-
-def _linked_chars(node: Node) -> int:
-    """Characters of a node that are in links."""
-    return sum(len(p) for x in _iter(node) if x.tag == "a" for y in _iter(x) for p in y.parts if isinstance(p, str))
+def _masses(root: Node) -> tuple[dict[int, int], dict[int, int]]:
+    """The characters of text below each node, by id, and those of them that are in links."""
+    chars: dict[int, int] = {}
+    whole: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    for x in reversed(list(_iter(root))):  # parts come before what holds them
+        texts = [p for p in x.parts if isinstance(p, str)]
+        nodes = [id(p) for p in x.parts if not isinstance(p, str)]
+        whole[id(x)] = sum(map(len, texts)) + sum(map(whole.__getitem__, nodes))
+        chars[id(x)] = (0 if x.tag in RAW else sum(len(p.strip()) for p in texts)) + sum(map(chars.__getitem__, nodes))
+        linked[id(x)] = whole[id(x)] if x.tag == "a" else sum(map(linked.__getitem__, nodes))
+    return chars, linked
 
 
 def _hash(text: str) -> bytes:
@@ -400,17 +434,17 @@ def merged(sources: list[str]) -> str:
                     at += 1
     out: list[str] = []
 
-    def write(x: Node) -> None:
-        for part in x.parts:
-            if isinstance(part, str):
-                out.append(part)
-            else:
-                out.append(f"<{part.tag}{part.attrs}>")
-                write(part)
-                if part.tag not in VOID:
-                    out.append(f"</{part.tag}>")
-
-    write(first)
+    # Parts yet to be written, the next one last; end tags are among them.
+    todo: list[Node | str] = list(reversed(first.parts))
+    while todo:
+        part = todo.pop()
+        if isinstance(part, str):
+            out.append(part)
+        else:
+            out.append(f"<{part.tag}{part.attrs}>")
+            if part.tag not in VOID:
+                todo.append(f"</{part.tag}>")
+            todo += reversed(part.parts)
     return "".join(out)
 
 
@@ -444,6 +478,8 @@ def _content_slot(root: Node, varying: dict[int, int], named: bool) -> int | Non
     while True:
         if named and (node.is_article() or node.is_main()):
             break
+        if named and sum(c.is_article() and mass.get(c.slot, 0) > 0 for c in node.children) > 1:
+            break
         best = max(node.children, key=lambda c: mass.get(c.slot, 0), default=None)
         if best is None or not best.children or mass.get(best.slot, 0) < CONTENT_SHARE * mass.get(node.slot, 0):
             break
@@ -500,25 +536,22 @@ def _extracted(root: Node, wrappers: Sequence[Wrapper], named: bool) -> tuple[st
 
 def _main_text(root: Node, same: set[int], content: Node | None, named: bool) -> str:
     """The main text of a parsed page without the slots that are template."""
-    holder, told = article_of(root) if named else (root, False)
+    chars, links = _masses(root)
+    holder, told = article_of(root, chars) if named else (root, False)
     if content is not None:
         inside = told and (content is holder or any(x is holder for x in _iter(content)))
         if not told or not inside and any(x is content for x in _iter(holder)):
             holder = content
         told = True
-    whole = _chars(holder)
+    whole = chars[id(holder)]
 
     def leave_out(x: Node) -> bool:
         # Without a named article, what holds most of a page isn't its surroundings, whatever its class says.
-        return x.tag in SURROUNDINGS or named and x.surrounds() and (told or 2 * _chars(x) <= whole)
+        return x.tag in SURROUNDINGS or named and x.surrounds() and (told or 2 * chars[id(x)] <= whole)
 
     found = [(x, t) for x, t in blocks(holder, leave_out) if x.slot not in same or x.slot is None]
     if not told:
-        linked: dict[int, int] = {}
-        for x, _ in found:
-            if x is not holder and x.tag != "p" and id(x) not in linked:
-                linked[id(x)] = _linked_chars(x)
-        found = [(x, t) for x, t in found if 2 * linked.get(id(x), 0) <= len(t)]
+        found = [(x, t) for x, t in found if x is holder or x.tag == "p" or 2 * links[id(x)] <= len(t)]
     return "\n".join(t for _, t in found)
 
 

@@ -3,6 +3,8 @@ import re
 import time
 from collections import Counter
 
+import pytest
+
 from pressmill.llm import html_text as H
 
 PAGE = """<html><head><title>T</title></head><body><header>Site head</header><div class="cookie-notice">We use cookies</div><nav><a>x</a></nav>
@@ -129,3 +131,38 @@ def test_long_malformed_pages_end_soon():
 def test_ends_below_the_greatest_depth():
     deep = "<article><div>" + "<div>" * 300 + "deep" + "</div>" * 300 + "<p>after</p></div></article><div>outside</div>"
     assert H.main_text(deep) == "deep\nafter"
+
+
+@pytest.mark.parametrize("depth", [0, 100, 113, 116, 500, 5000])
+def test_surroundings_are_left_out_at_any_depth(depth):
+    inner = "<p>kept</p><aside>side</aside><nav><p>menu</p></nav><div class='comments'><p>said</p></div><p>also</p>"
+    assert H.main_text(f"<body><article>{'<div>' * depth}{inner}{'</div>' * depth}</article><p>out</p></body>") == "kept\nalso"
+    assert H.main_text(f"<body>{'<div>' * depth}<article>{inner}</article>{'</div>' * depth}</body>") == "kept\nalso"
+    # Without an article, and with a wrapper.
+    page = "<body>" + "<div>" * depth + "<div><p>{}</p><aside>side</aside></div>" + "</div>" * depth + "</body>"
+    one, two = H.parse(page.format("one")), H.parse(page.format("two"))
+    H._tree(one), H._tree(two)
+    assert H.main_text(page.format("one")) == "one" and len(H.align(one, two)) == len(H._tree(one))
+
+
+def test_all_articles_of_a_page():
+    two = "<header>name</header><h1>Head</h1><article><p>first, short</p></article><aside>a</aside><article><p>second, which is much longer than the first</p></article><footer>f</footer>"
+    assert H.main_text(f"<body><div>{two}</div><div><p>out of it</p></div></body>") == "Head\nfirst, short\nsecond, which is much longer than the first"
+    # Empty articles and those among comments don't count; articles go before main elements.
+    alone = "<article></article><div><article><p>only</p></article></div><div class=comments><article class=comment><p>said</p></article></div><p>out</p>"
+    assert H.main_text(f"<body>{alone}</body>") == "only"
+    assert H.main_text("<body><main><p>x</p><article><p>a</p></article></main><p>y</p></body>") == "a"
+    assert H.main_text("<body><div><main><p>x</p></main><main><p>y</p><main>z</main></main></div><p>out</p></body>") == "x\ny\nz"
+    assert H.main_text("<body><article> </article><p>out</p></body>") == ""
+
+
+def test_all_articles_with_the_wrapper_in_play(spark):
+    def made(i):
+        parts = f"<h1>Head {i}</h1><article><p>Part one of {i}</p></article><article><p>{f'Part two of {i} ' * 20}</p></article>"
+        return f"<body><div class=x1><p>Always the same notice</p></div><div>{parts}</div></body>"
+
+    rows = [(i, f"http://parts.example/{i}", made(i)) for i in range(8)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        i = r["page_id"]
+        assert r["text"] == f"Head {i}\nPart one of {i}\n{' '.join([f'Part two of {i}'] * 20)}" and r["by_wrapper"]
