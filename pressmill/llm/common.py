@@ -79,7 +79,8 @@ def few_tasks(spark: SparkSession) -> int:
     return 8 + int(spark.conf.get("spark.sql.shuffle.partitions")) // 16
 
 
-ROW_KEY = ("row_file", "row_index")
+#: Names kept for the key of rows; other columns, whatever their names, go through.
+ROW_KEY = ("_pressmill_row_file", "_pressmill_row_index")
 
 
 def _reads_files(docs: DataFrame) -> bool:

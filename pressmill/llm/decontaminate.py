@@ -307,8 +307,17 @@ def _verified(wanted: list[np.ndarray], around: list[np.ndarray]) -> tuple[np.nd
     return edits, end
 
 
+def _begin(wanted: list[np.ndarray], around: list[np.ndarray]) -> np.ndarray:
+    """Where the stretch with the least edits begins that ends first, of surroundings cut at the end of one: read from
+    behind, it is a stretch that ends first."""
+    _, back = _verified([x[::-1] for x in wanted], [x[::-1] for x in around])
+    return np.array([len(x) for x in around], np.int64) - back
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> DataFrame:
-    """doc_id, item id, first_word, n_words (of the item) and edits, for each document and item that it holds."""
+    """doc_id, item id, first_word, n_words (of the item) and edits, for each document and item that it holds.
+
+    first_word is where a stretch of the document's words with so many edits begins, the shortest that ends there."""
     spark = docs.sparkSession
     n_repetitions = repetitions()
     docs = keyed(docs).select(*ROW_KEY, "doc_id", F.lower("text").alias("text"))
@@ -334,9 +343,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> D
             wanted, around = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in ("item_words", "around"))
             lengths = np.array([len(x) for x in wanted], np.int64)
             edits, end = _verified(wanted, around)
-            keep = pa.array(edits <= max_edits(lengths))
-            first = np.maximum(0, end - lengths) + batch.column("place").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(key), pa.array(first), pa.array(lengths), pa.array(edits)], names=["doc_id", key, "first_word", "n_words", "edits"]).filter(keep)
+            kept = np.flatnonzero(edits <= max_edits(lengths))
+            first = batch.column("place").to_numpy()[kept] + _begin([wanted[i] for i in kept], [around[i][: end[i]] for i in kept])
+            rows = batch.take(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column(key), pa.array(first), pa.array(lengths[kept]), pa.array(edits[kept])], names=["doc_id", key, "first_word", "n_words", "edits"])
 
     verified = map_arrow(pairs.select("doc_id", "place", key, "around", "item_words"), verify, schema)
     best = F.min(F.struct("edits", "first_word", "n_words")).alias("b")

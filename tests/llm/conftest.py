@@ -14,7 +14,7 @@ def odd(spark):
         (8, "1234 ### !!! 99", "en", "src2", 15), (9, "ÄÖ 漢字 😀 é", "de", "src9999999999", 9),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for name in ("score", "predicted", "labels", "n_words", "row_key", "kind", "class", "component_id", "spans", "host", "domain", "language", "epoch", "key", "accepted", "lang_pred", "place", "item_id"):
+    for name in ("score", "predicted", "labels", "n_words", "row_key", "kind", "class", "component_id", "spans", "host", "domain", "language", "epoch", "key", "accepted", "lang_pred", "place", "item_id", "row_file", "row_index"):
         docs = docs.selectExpr("*", f"'clash' as {name}")
     return docs
 

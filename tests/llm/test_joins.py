@@ -242,3 +242,34 @@ def test_leaks_of_odd_tables(spark, odd):
     got = sorted(((r["doc_id"], r["item_id"], r["edits"]) for r in D.find_leaks(odd, items).collect()), key=repr)
     assert got == [(4, 5, 0), (6, 6, 0), (7, 4, 0), (None, None, 0)]
     assert D.find_leaks(odd.limit(0), items).isEmpty() and D.find_leaks(odd, items.limit(0)).isEmpty()
+
+
+def stretch_edits(item, words, first):
+    """The least edits between the item and a stretch that begins at this word."""
+    row = list(range(len(words) - first + 1))
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(words[first:], 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("kind", ["out", "in", "other", "mixed", "none"])
+def test_places_of_leaks(spark, rng, kind):
+    """first_word begins a stretch with the reported edits, however words were left out or put in."""
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    source = {r["item_id"]: re.findall("[a-z0-9\x80-\uffff]+", r["text"].lower()) for r in items.collect()}
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in source.items()], "item_id long, text string")
+    plain = list(source.items())
+    rows = []
+    for k in range(60):
+        _, words = plain[k % len(plain)]
+        words = words if kind == "none" else edited(rng, words, int(0.2 * len(words)), kind, [f"new{i}" for i in range(50)])
+        rows.append((k, [f"lead{rng.randrange(99)}" for _ in range(100)] + words + [f"tail{i}" for i in range(30)]))
+    got = D.find_leaks(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string"), items).collect()
+    words_of = dict(rows)
+    assert len({r["doc_id"] for r in got}) >= 59
+    for r in got:
+        assert stretch_edits(source[r["item_id"]], words_of[r["doc_id"]], r["first_word"]) == r["edits"]
+        assert kind != "none" or r["edits"] or r["first_word"] == 100

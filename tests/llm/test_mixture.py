@@ -160,6 +160,7 @@ def test_stages_decide_on_rows(spark, sf):
     docs = spark.createDataFrame([(*r, "en", "src1", 0, "clash") for r in rows], schema)
     kept = sorted(((r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, docs, sf).collect()), key=repr)
     assert kept == sorted([(1, copy), (1, other), (None, None), (None, ""), (3, None)], key=repr)
+    assert {r["row_file"] for r in P.drop_near_duplicates(spark, docs, sf).collect()} == {"clash"}
     only = docs.where("doc_id is null and text <> ''")
     assert P.drop_near_duplicates(spark, only, sf).count() == 1
     item = table(spark, sf, "benchmark").orderBy("item_id").first()["text"]
@@ -185,8 +186,9 @@ def test_ties_of_one_id_are_taken_together(spark):
 
 def test_pipeline_of_odd_documents(spark, odd, sf):
     docs = odd
-    for _, stage in P.STAGES:
+    for name, stage in P.STAGES:
         docs = stored(stage(spark, docs, sf))
+        assert name == "mixture" or docs.columns == odd.columns
     empty = odd.limit(0)
     for _, stage in P.STAGES:
         empty = stored(stage(spark, empty, sf))
