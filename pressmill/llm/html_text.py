@@ -167,11 +167,11 @@ def parse(source: str, names: list[str] | None = None) -> Node:
     holders: list[int] = []
 
     def close(i: int) -> None:
-        for x in reversed(stack[i:]):
-            open_at[x.tag].pop()
-            if x.tag in HOLDERS:
+        while len(stack) > i:
+            tag = stack.pop().tag
+            open_at[tag].pop()
+            if tag in HOLDERS:
                 holders.pop()
-        del stack[i:]
 
     def close_last(tags: Iterable[str]) -> None:
         """Close the innermost open element of these, with what is open inside it, unless an element that holds others is
@@ -196,12 +196,14 @@ def parse(source: str, names: list[str] | None = None) -> Node:
         if names is not None and tag not in NOT_BLOCKS and (closes or tag not in RAW):
             names.append(f"/{tag}" if closes else tag)
         if closes:
-            if open_at.get(tag):
-                close(open_at[tag][-1])
+            if places := open_at.get(tag):
+                close(places[-1])
             continue
         if tag not in INLINE:
             # A new block ends an open paragraph, with what is open inside it.
-            close_last(("p",))
+            paragraphs = open_at.get("p")
+            if paragraphs and paragraphs[-1] > (holders[-1] if holders else 0):
+                close(paragraphs[-1])
         if tag in CLOSES_ITSELF:
             close_last(CLOSES_ITSELF[tag])
         node = Node(tag, attrs)
@@ -211,7 +213,10 @@ def parse(source: str, names: list[str] | None = None) -> Node:
             node.parts.append(source[at:stop])
             at = end
         elif tag not in VOID and not attrs.endswith("/"):
-            open_at.setdefault(tag, []).append(len(stack))
+            if tag in open_at:
+                open_at[tag].append(len(stack))
+            else:
+                open_at[tag] = [len(stack)]
             if tag in HOLDERS:
                 holders.append(len(stack))
             stack.append(node)
@@ -338,9 +343,12 @@ def align(page: Node, reference: Node) -> dict[int, int]:
     return out
 
 
-def article_of(root: Node, chars: dict[int, int]) -> tuple[Node, bool]:
-    """The node that holds the main text, and whether the page names it as such. Of several the smallest node around all.
-    chars: as _masses gives them."""
+def _has_text(node: Node) -> bool:
+    return any(isinstance(p, str) and p.strip() for x in _iter(node) if x.tag not in RAW for p in x.parts)
+
+
+def article_of(root: Node) -> tuple[Node, bool]:
+    """The node that holds the main text, and whether the page names it as such. Of several the smallest node around all."""
     # By rank, articles before main elements: the first with text, the least height of the stack since, the node there.
     first: dict[int, Node] = {}
     low: dict[int, int] = {}
@@ -357,7 +365,7 @@ def article_of(root: Node, chars: dict[int, int]) -> tuple[Node, bool]:
             main = not article and part.is_main()
             if article or main and not in_main:
                 rank = 2 if article else 1
-                if not chars[id(part)]:
+                if not _has_text(part):
                     empty.setdefault(rank, part)
                 elif rank not in first:
                     first[rank], low[rank] = part, len(todo)
@@ -536,14 +544,15 @@ def _extracted(root: Node, wrappers: Sequence[Wrapper], named: bool) -> tuple[st
 
 def _main_text(root: Node, same: set[int], content: Node | None, named: bool) -> str:
     """The main text of a parsed page without the slots that are template."""
-    chars, links = _masses(root)
-    holder, told = article_of(root, chars) if named else (root, False)
+    holder, told = article_of(root) if named else (root, False)
     if content is not None:
         inside = told and (content is holder or any(x is holder for x in _iter(content)))
         if not told or not inside and any(x is content for x in _iter(holder)):
             holder = content
         told = True
-    whole = chars[id(holder)]
+    # Needed only where no article is named.
+    chars, links = ({}, {}) if told else _masses(holder)
+    whole = chars.get(id(holder), 0)
 
     def leave_out(x: Node) -> bool:
         # Without a named article, what holds most of a page isn't its surroundings, whatever its class says.
