@@ -26,8 +26,9 @@ def _text() -> Column:
 
 def _read(payloads: DataFrame) -> DataFrame:
     """payloads: feed_id, feed_ord and content (bytes). Adds the text and the parsed document; null fields where it is malformed."""
-    texts = payloads.withColumn("_text", _text())
-    return texts.withColumn("_feed", F.from_xml("_text", FEED_XML, {"mode": "PERMISSIVE", "rowTag": "rss"}))
+    # Generators are made once: a filter on what is parsed isn't moved below them, which would parse again for each use.
+    texts = payloads.withColumn("_text", F.explode(F.array(_text())))
+    return texts.withColumn("_feed", F.explode(F.array(F.from_xml("_text", FEED_XML, {"mode": "PERMISSIVE", "rowTag": "rss"}))))
 
 
 def _broken() -> Column:
