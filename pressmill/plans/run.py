@@ -64,12 +64,26 @@ def run(
     Payloads that are no feed are kept in the store's folder quarantine.
     """
     settings = settings or Settings()
-    fetch = fetch or (lambda wanted: http.fetched(wanted, timeout=settings.article_timeout, delay=settings.request_delay_seconds))
+    prepare(store, registry, now, sink)
+    enabled = with_url(registry.frame(spark).where("enabled"), settings)
+    return follow(spark, store, feeds(spark, enabled, settings), len(registry.enabled()), now, sink, settings, fetch, decoder, primary)
+
+
+def prepare(store: SnapshotStore, registry: FeedRegistry, now: Column, sink: QueueSink | None = None) -> None:
+    """What a run needs before its first feed: tables, the configured feeds, queues."""
     store.initialise()
     sync_feeds(store, registry, now)
     if sink is not None:
         sink.declare()
-    enabled = with_url(registry.frame(spark).where("enabled"), settings)
+
+
+def follow(
+    spark: SparkSession, store: SnapshotStore, payloads: DataFrame, feeds_processed: int, now: Column, sink: QueueSink | None = None,
+    settings: Settings | None = None, fetch: Fetch | None = None, decoder: str = DECODER, primary=None,
+) -> dict[str, int]:
+    """From payloads (feed_id, feed_ord, content) to stored articles; the counters."""
+    settings = settings or Settings()
+    fetch = fetch or (lambda wanted: http.fetched(wanted, timeout=settings.article_timeout, delay=settings.request_delay_seconds))
     folder = f"{store.root}/fetched/{uuid.uuid4().hex}"
 
     def kept(name: str, df: DataFrame) -> DataFrame:
@@ -77,10 +91,10 @@ def run(
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    payloads = kept("feeds", feeds(spark, enabled, settings))
+    payloads = kept("feeds", payloads)
     rss.quarantined(payloads).select("feed_id", "content").write.mode("append").parquet(f"{store.root}/quarantine")
     links = rss.parse(payloads).select("wrapper_link").where("wrapper_link is not null").distinct()
     publishers = kept("publishers", resolve_wrappers(links, fetch, decoder))
     resolved = links.join(publishers, F.col("wrapper_link") == F.col("wrapper_url"), "left").select(F.coalesce("publisher_url", "wrapper_link").alias("url")).distinct()
     pages = kept("pages", as_pages(fetch(resolved)))
-    return ingest(spark, store, payloads, publishers, pages, len(registry.enabled()), now, sink, primary)
+    return ingest(spark, store, payloads, publishers, pages, feeds_processed, now, sink, primary)
