@@ -599,3 +599,21 @@ def ordered_fold(spark, sf_dir):
     last = M.last_per_key(rows, ["article_key"], stream_order())
     seen = rows.groupBy("article_key").agg(F.count("*").alias("sightings"))
     return last.join(seen, "article_key").select("article_key", F.col("doc_id").alias("last_doc"), "sightings", "lang")
+
+
+@query("""
+  SELECT 'k' || doc_id % 300 AS article_key, max(doc_id) AS last_doc, max_by({'title': lang}, doc_id).title AS title, count(DISTINCT source) AS n_feeds, 1 AS n_new FROM documents GROUP BY ALL""")
+def stream_sightings(spark, sf_dir):
+    """Documents as a stream of sightings, with state: the order is that of their ids, whatever the order of arrival."""
+    from ..streaming import sightings as S
+    from .work import work_folder
+
+    docs, folder = _table(spark, sf_dir, "documents"), work_folder(spark)
+    # A pattern, as streams take no single file by its name.
+    arriving = spark.readStream.schema(docs.schema).parquet(f"{sf_dir.rstrip('/')}/documents.parque[t]")
+    entries = arriving.select(F.concat(F.lit("k"), F.col("doc_id") % 300).alias("article_key"), F.col("source").alias("feed_id"), F.col("doc_id").alias("sighted"), F.col("lang").alias("title"))
+    S.start(entries, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    seen = S.links(spark, f"{folder}/log").groupBy("article_key").agg(F.count("*").alias("n_feeds"))
+    new = S.new_messages(spark, f"{folder}/log").groupBy("article_key").agg(F.count("*").alias("n_new"))
+    last = S.latest(spark, f"{folder}/log").select("article_key", F.col("sighted").alias("last_doc"), "title")
+    return last.join(new, "article_key").join(seen, "article_key", "left").withColumn("n_feeds", F.coalesce("n_feeds", F.lit(0)))

@@ -1,0 +1,82 @@
+"""Sightings with state against the batch fold: shuffled micro-batches, restarts, expiry."""
+
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from pressmill.operators import merge as M
+from pressmill.streaming import sightings as S
+
+SCHEMA = "article_key string, feed_id string, sighted long, title string, authors array<string>"
+
+
+def run(spark, folder, schema=SCHEMA, **options):
+    entries = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    S.start(entries, f"{folder}/log", f"{folder}/checkpoint", **options).awaitTermination(120) or pytest.fail("still running")
+
+
+def arrive(spark, folder, rows):
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+@pytest.fixture
+def folder(tmp_path):
+    return f"file://{tmp_path}"
+
+
+def test_any_order_of_arrival_gives_the_batch_fold(spark, folder):
+    rng = random.Random(5)
+    # A third of all rows have one key.
+    rows = [("hot" if rng.random() < 0.33 else f"k{rng.randrange(25)}", rng.choice(["a", "b", None]), i, None if i % 7 == 0 else f"t{i}", [f"x{i}"]) for i in range(400)]
+    rng.shuffle(rows)
+    parts = [rows[i::4] for i in range(4)]
+    for part in parts[:2]:
+        arrive(spark, folder, part)
+    run(spark, folder)
+    for part in parts[2:]:
+        arrive(spark, folder, part)
+    run(spark, folder)  # a restart from the checkpoint
+    run(spark, folder)  # nothing has arrived
+    all_rows = spark.createDataFrame(rows, SCHEMA)
+    batch = M.last_per_key(all_rows.drop("feed_id"), ["article_key"], F.col("sighted"))
+    assert sorted(map(tuple, S.latest(spark, f"{folder}/log").select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+    pairs = {(r[0], r[1]) for r in rows if r[1] is not None}
+    assert sorted(map(tuple, S.links(spark, f"{folder}/log").collect())) == sorted(pairs)
+    log = spark.read.parquet(f"{folder}/log")
+    assert log.select(F.explode("new_feeds")).count() == len(pairs)  # each link is new once
+    sent = [r["article_key"] for r in S.new_messages(spark, f"{folder}/log").collect()]
+    assert sorted(sent) == sorted({r[0] for r in rows})
+    # The hot key has one row for each micro-batch at most.
+    assert log.where("article_key = 'hot'").count() <= 4
+
+
+def test_a_micro_batch_adds_what_it_changes(spark, folder):
+    arrive(spark, folder, [("k", "a", 5, "five", None), (None, "a", 9, "no key", None), ("n", None, None, "no order", None)])
+    run(spark, folder)
+    arrive(spark, folder, [("k", "a", 3, "older", None)])
+    run(spark, folder)
+    arrive(spark, folder, [("k", "b", 4, "older, by another feed", None), ("n", None, 0, "order", None)])
+    run(spark, folder)
+    arrive(spark, folder, [("k", "b", 5, "same order", [None])])
+    run(spark, folder)
+    log = sorted((r["article_key"], r["is_new"], tuple(r["new_feeds"]), r["sighted"], r["title"]) for r in spark.read.parquet(f"{folder}/log").collect() if r["sighted"] is not None)
+    assert log == [("k", False, (), 5, "same order"), ("k", True, ("a",), 5, "five"), ("n", False, (), 0, "order"), ("n", True, (), S.LOWEST, "no order")]
+    late = [tuple(r) for r in spark.read.parquet(f"{folder}/log").where("sighted is null").collect()]
+    assert late == [("k", False, ["b"], None, None, None)]
+
+
+def test_forgotten_keys_are_new_again(spark, folder):
+    for _ in range(2):
+        arrive(spark, folder, [("k", "a", 1, "t", None)])
+        run(spark, folder, expire_ms=500)
+        time.sleep(1)
+    assert spark.read.parquet(f"{folder}/log").where("is_new").count() == 2
+
+
+def test_the_settings_of_the_session_stay(spark, folder):
+    before = {k: spark.conf.get(k, None) for k in S.CONF}
+    arrive(spark, folder, [])
+    run(spark, folder)
+    assert {k: spark.conf.get(k, None) for k in S.CONF} == before
