@@ -617,3 +617,19 @@ def stream_sightings(spark, sf_dir):
     new = S.new_messages(spark, f"{folder}/log").groupBy("article_key").agg(F.count("*").alias("n_new"))
     last = S.latest(spark, f"{folder}/log").select("article_key", F.col("sighted").alias("last_doc"), "title")
     return last.join(new, "article_key").join(seen, "article_key", "left").withColumn("n_feeds", F.coalesce("n_feeds", F.lit(0)))
+
+
+@query(ORACLE_SQL["article_upsert"])
+def bucketed_upsert(spark, sf_dir):
+    """The upsert of articles through a bucketed table of the catalog."""
+    from uuid import uuid4
+
+    from .bucketed import BucketedTable
+    from .work import work_folder
+
+    new, old = _sightings(spark, sf_dir)
+    table = BucketedTable(spark, f"articles_{uuid4().hex}", "article_key", work_folder(spark))
+    table.create(old.drop("doc_id").schema)
+    table.merge(old.drop("doc_id"), lambda stored, rows: rows)
+    table.merge(M.last_per_key(new, ["article_key"], F.col("doc_id")), lambda stored, rows: M.upsert_articles(stored, rows, now()))
+    return table.read().select("article_key", "title", "url", F.element_at("authors", 1).alias("author"), "content", "summary", "processing_status", "created_at", "updated_at")
