@@ -633,3 +633,19 @@ def bucketed_upsert(spark, sf_dir):
     table.merge(old.drop("doc_id"), lambda stored, rows: rows)
     table.merge(M.last_per_key(new, ["article_key"], F.col("doc_id")), lambda stored, rows: M.upsert_articles(stored, rows, now()))
     return table.read().select("article_key", "title", "url", F.element_at("authors", 1).alias("author"), "content", "summary", "processing_status", "created_at", "updated_at")
+
+
+@query("""
+  WITH r AS (SELECT *, rank() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS nth, l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AS has_order,
+    l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AS has_supplier FROM lineitem)
+  SELECT CASE WHEN nth > 1 THEN 'key' WHEN NOT has_order THEN 'reference l_orderkey' WHEN NOT has_supplier THEN 'reference l_suppkey' ELSE 'kept' END AS rule, count(*) AS n_rows, sum(l_linenumber)::BIGINT AS lines
+  FROM r GROUP BY ALL""")
+def constraint_violations(spark, sf_dir):
+    """Line items as links: one of a supplier for each order, finished orders, suppliers in credit."""
+    from ..operators.constraints import Rules, checked
+
+    links = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    orders = _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    suppliers = _table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    found = checked(links, Rules((), ("l_orderkey", "l_suppkey"), {"l_orderkey": orders, "l_suppkey": suppliers}), F.col("l_linenumber"))
+    return found.groupBy(F.coalesce("violation", F.lit("kept")).alias("rule")).agg(F.count("*").alias("n_rows"), F.sum("l_linenumber").cast("long").alias("lines"))
