@@ -602,7 +602,7 @@ def ordered_fold(spark, sf_dir):
 
 
 @query("""
-  SELECT 'k' || doc_id % 300 AS article_key, max(doc_id) AS last_doc, max_by({'title': lang}, doc_id).title AS title, count(DISTINCT source) AS n_feeds, 1 AS n_new FROM documents GROUP BY ALL""")
+  SELECT 'k' || doc_id % 300 AS article_key, max(doc_id) AS last_doc, max_by({'title': lang}, doc_id).title AS title, count(DISTINCT source) AS n_feeds, 1::BIGINT AS n_new FROM documents GROUP BY ALL""")
 def stream_sightings(spark, sf_dir):
     """Documents as a stream of sightings, with state: the order is that of their ids, whatever the order of arrival."""
     from ..streaming import sightings as S
