@@ -207,3 +207,38 @@ def test_ids_count_once_before_the_shortlist_is_cut(spark, repeated):
             assert own["vec_id"].tolist() == [i for i, _ in wanted] and np.allclose(own["score"], [s for _, s in wanted])
     few = ann.search(vectors, lambda i: i % 20 == 0, shortlist=96).groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in few} == dict.fromkeys(range(0, 200, 20), 20)
+
+
+@pytest.mark.parametrize("rows", ["even", "unseen groups", "lengths", "signs"])
+def test_no_neighbour_is_lost_where_codes_fit_badly(spark, rows):
+    """Vectors that codebooks describe badly: without structure, in groups outside the sample, of any length, with ties."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 96))
+    if rows == "unseen groups":
+        x[:1500] = rng.normal(size=(10, 96))[rng.integers(0, 10, 1500)] + 0.01 * rng.normal(size=(1500, 96))
+    elif rows == "lengths":
+        x *= 10.0 ** rng.uniform(-160, 140, size=(4000, 1))
+    elif rows == "signs":
+        x = np.sign(x)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = ann.search(vectors, lambda i: i % 20 == 0, train_rows=512, block_rows=1500, query_rows=150).toPandas().sort_values("rank")
+    found = {q: own for q, own in got.groupby("query_id")}
+    for q in range(0, 4000, 20):
+        scores = (x * x[q]).sum(1)
+        wanted = [i for i in np.lexsort((np.arange(4000), -scores)) if i != q][:20]
+        assert found[q]["vec_id"].tolist() == wanted and np.array_equal(found[q]["score"], scores[wanted])
+
+
+def test_bounds_hold_and_exclude():
+    """Scores by code are off by the bound at most; where codes fit, bounds leave few vectors to check."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(30, 32))[rng.integers(0, 30, 3000)] * rng.uniform(0.1, 9, size=(3000, 1)) + 0.05 * rng.normal(size=(3000, 32))
+    model = ann.train(x[:1000] / np.linalg.norm(x[:1000], axis=1, keepdims=True), codebooks=6, words=64)
+    codes, factor, bound, fine, fine_factor, fine_bound = model.bounded(x)
+    q = x[::20] / np.linalg.norm(x[::20], axis=1, keepdims=True)
+    exact = q @ x.T
+    rough = sum(model.tables(q.astype(np.float32))[:, m].take(codes[:, m], axis=1) for m in range(6)) * factor
+    finer = rough + sum(model.fine_tables(q.astype(np.float32))[:, m].take(fine[:, m], axis=1) for m in range(16)) * fine_factor
+    for scores, off, left in ((rough, bound, 0.1), (finer, fine_bound, 0.02)):
+        assert (np.abs(scores - exact) <= off).all()
+        assert (scores + off >= np.sort(exact, axis=1)[:, -20:][:, :1]).mean() < left
